@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,3 +34,14 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     if not base:
         raise ValueError("spark.checkpoint.dir is not set; it must name a folder shared by all executors")
     return "/".join([base.rstrip(os.sep), *parts, uuid.uuid4().hex])
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Run ``df`` once and go on from its written result.
+
+    For results that must not be computed twice, such as generated text: the
+    written table survives the loss of executors and cuts the lineage.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

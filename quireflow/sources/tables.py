@@ -55,7 +55,7 @@ def read_submissions(
     """Read a header-first table of submissions from CSV, JSON or Parquet.
 
     Rows of a distributed read have no inherent order, so the source row
-    number travels as a column of the data.
+    number travels as a column of the data. An empty CSV cell is NULL.
     """
     reader = spark.read
     if fmt == "csv":

@@ -59,8 +59,9 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(
+def as_submissions(part: DataFrame) -> DataFrame:
+    """Parts as title submissions; also used on a stream of parts."""
+    return part.selectExpr(
         "CAST(p_partkey + 2 AS INT) AS row_number",
         """CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 17 = 1 THEN ''
                 WHEN p_partkey % 17 = 2 THEN '  '
@@ -70,6 +71,10 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_submissions(table(spark, sf_dir, "part"))
+
+
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_partkey % 50 = 0").selectExpr("p_name AS title").distinct()
 
@@ -124,6 +129,8 @@ def markdown_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(doc_id % 8 + 1 AS INT) AS chapter_number",
         "CASE WHEN doc_id % 9 = 4 THEN NULL ELSE 'Part ' || CAST(doc_id AS STRING) || ' <&>' END AS title",
         "CASE WHEN doc_id % 10 = 9 THEN NULL ELSE content END AS content",
+        "'generated' AS status",
+        "'pending' AS notes_status",
     )
 
 
@@ -174,9 +181,9 @@ def wide_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chapter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_chapter_changes(events: DataFrame) -> DataFrame:
     """A change feed: each event sets the state of one chapter of one book."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return events.selectExpr(
         "event_id AS seq",
         "user_id AS book_id",
         "CAST(event_id % 4 + 1 AS INT) AS chapter_number",
@@ -187,3 +194,13 @@ def chapter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
              ELSE 'pending' END AS notes_status""",
         "ts AS changed_at",
     )
+
+
+def chapter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_chapter_changes(table(spark, sf_dir, "events"))
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of one table as a stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
