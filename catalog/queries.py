@@ -608,7 +608,7 @@ def bold_runs(spark, sf):
 
 @query
 def word_wrap(spark, sf):
-    docs = v.table(spark, sf, "documents")
+    docs = v.documents(spark, sf)
     return docs.select("doc_id", F.posexplode(tx.word_wrap(F.col("text"), 68)).alias("line_no", "line"))
 
 

@@ -15,8 +15,12 @@ SPACES = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set as the inside of a regular-expression character class.
-SPACE_SET = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The same set as the inside of a regular-expression character class. Code
+# points beyond Latin-1 sit behind one range test, which keeps the class cheap
+# on ordinary text.
+_WIDE = r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+_RARE_SET = r"\x0b\f\x1c\x1d\x1e\x1f\x85\xa0" + _WIDE
+SPACE_SET = r"\t\n\r\x20" + _RARE_SET
 SPACE = f"[{SPACE_SET}]"
 
 UNTITLED = "Untitled"
@@ -66,6 +70,23 @@ def center_line(c: Column, width: int = 72) -> Column:
     )
 
 
+def single_spaced(c: Column) -> Column:
+    """Every run of whitespace as one space, none at the ends.
+
+    Common line ends and tabs are replaced as plain text; the regular
+    expressions run only on texts that hold something they would change.
+    """
+    for mark in ("\n", "\t", "\r"):
+        c = F.replace(c, F.lit(mark), F.lit(" "))
+    collapsed = let(
+        c,
+        lambda t: F.when(t.rlike(f"[{_RARE_SET}]"), F.regexp_replace(t, SPACE + "+", " "))
+        .when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " "))
+        .otherwise(t),
+    )
+    return F.trim(collapsed)
+
+
 def word_wrap(c: Column, width: int) -> Column:
     """Greedy wrap to an array of lines; words longer than a line stay whole.
 
@@ -75,11 +96,13 @@ def word_wrap(c: Column, width: int) -> Column:
     """
     if width < 2:
         raise ValueError("width must be at least 2")
-    words = strip(F.regexp_replace(c, SPACE + "+", " "))
     first = rf"\A(?:[^ ]{{{width},}}|.{{1,{width - 1}}})"
     later = rf"[^ ]{{{width + 1},}}|.{{1,{width}}}"
-    lines = F.regexp_extract_all(words, F.lit(rf"({first}|{later})(?: |\z)"), 1)
-    return F.when(words == "", F.array(F.lit(""))).otherwise(lines)
+    pattern = F.lit(rf"({first}|{later})(?: |\z)")
+    return let(
+        single_spaced(c),
+        lambda t: F.when(t == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(t, pattern, 1)),
+    )
 
 
 def safe_title(c: Column) -> Column:

@@ -8,6 +8,8 @@ numbering a book's rows, so no step needs a book in one place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quireflow.functions.markdown import blocks, bold_runs, clean_markdown
@@ -34,11 +36,12 @@ def date_line(as_of: Column) -> Column:
 
 
 def render_blocks(content: Column) -> Column:
-    """Blocks of a text with cleaned text and cleaned items."""
+    """Blocks of a text: type, raw text, cleaned text, cleaned items."""
     return F.transform(
         blocks(content),
         lambda b: F.struct(
             b["type"].alias("type"),
+            b["text"].alias("raw"),
             clean_markdown(b["text"]).alias("text"),
             F.transform(b["items"], clean_markdown).alias("items"),
         ),
@@ -218,6 +221,7 @@ def path_patches(results: DataFrame) -> DataFrame:
 # -- rows for page writers ----------------------------------------------------
 
 RUN = "struct<text:string,bold:boolean>"
+ROWS = f"array<struct<kind:string,style:string,runs:array<{RUN}>>>"
 
 
 def _run(text: Column, bold: bool = False) -> Column:
@@ -233,43 +237,62 @@ def _row(kind: str, style: str, runs: Column | None = None) -> Column:
     )
 
 
-def _assemble(books: DataFrame, chapters: DataFrame, front: list, before: list, entry, head, block_rows, after: list):
-    """Lay out a document: front page, contents, chapters, each with fixed rows.
-
-    Orders by (section, chapter_number, seq, item); the fixed rows around the
-    contents have chapter number NULL and sections of their own.
+def _assemble(
+    books: DataFrame,
+    chapters: DataFrame,
+    front: list[Column],
+    before: list[Column],
+    entry: Column,
+    opening: Column,
+    block_rows: Callable[[Column], Column],
+    page: Column,
+) -> DataFrame:
+    """Lay out documents: front page, contents, chapters, a page break after each.
+
+    Rows are ordered by (section, chapter_number, seq, item); the fixed rows
+    around the contents have no chapter number and sections of their own. The
+    rows of a book come from one pass over books, those of a chapter, contents
+    entry included, from one pass over chapters.
     """
-    ids = books.select(F.col("id").alias("book_id"), "title")
-
-    def fixed(section: int, rows: list) -> DataFrame:
-        return ids.select(
-            "book_id",
-            F.lit(section).alias("section"),
-            F.lit(None).cast("int").alias("chapter_number"),
-            F.lit(0).alias("seq"),
-            F.posexplode(F.array(*rows)).alias("item", "r"),
-        )
-
-    kept = chapters.where(has(F.col("content")))
-    per_block = F.transform(blocks(F.col("content")), block_rows)
-    laid = F.concat(F.array(F.array(head)), per_block, F.array(F.array(*after)))
-    contents = kept.select(
+    groups = ((0, front), (1, before), (3, [page]))
+    fixed = books.select(
+        F.col("id").alias("book_id"),
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(section).alias("section"), F.lit(item).alias("item"), row.alias("r"))
+                    for section, rows in groups
+                    for item, row in enumerate(rows)
+                ]
+            )
+        ).alias("x"),
+    ).select(
         "book_id",
-        F.lit(2).alias("section"),
-        "chapter_number",
+        "x.section",
+        F.lit(None).cast("int").alias("chapter_number"),
         F.lit(0).alias("seq"),
-        F.lit(0).alias("item"),
-        entry.alias("r"),
+        "x.item",
+        "x.r",
     )
-    body = (
-        kept.select(
-            "book_id", F.lit(4).alias("section"), "chapter_number", F.posexplode(laid).alias("seq", "rs")
+    laid = F.concat(
+        F.array(F.array(entry), F.array(opening)),
+        F.transform(render_blocks(F.col("content")), block_rows),
+        F.array(F.array(page)),
+    )
+    flowing = (
+        chapters.where(has(F.col("content")))
+        .select("book_id", "chapter_number", F.posexplode(laid).alias("_at", "_rows"))
+        .select(
+            "book_id",
+            F.when(F.col("_at") == 0, 2).otherwise(4).alias("section"),
+            "chapter_number",
+            F.greatest(F.col("_at") - 1, F.lit(0)).alias("seq"),
+            F.posexplode("_rows").alias("item", "r"),
         )
-        .select("book_id", "section", "chapter_number", "seq", F.posexplode("rs").alias("item", "r"))
     )
-    parts = fixed(0, front).unionByName(fixed(1, before)).unionByName(contents)
-    parts = parts.unionByName(fixed(3, after)).unionByName(body)
-    return parts.select("book_id", "section", "chapter_number", "seq", "item", "r.kind", "r.style", "r.runs")
+    return fixed.unionByName(flowing).select(
+        "book_id", "section", "chapter_number", "seq", "item", "r.kind", "r.style", "r.runs"
+    )
 
 
 def render_rows_word(books: DataFrame, chapters: DataFrame, as_of: Column) -> DataFrame:
@@ -286,31 +309,33 @@ def render_rows_word(books: DataFrame, chapters: DataFrame, as_of: Column) -> Da
     before = [_row("heading", "Heading 1", _run(F.lit("Table of Contents"))), blank]
 
     def block_rows(b: Column) -> Column:
-        kind, text = b["type"], b["text"]
+        kind = b["type"]
 
         def one(k: str, style: str, runs: Column) -> Column:
             return F.array(_row(k, style, runs))
 
-        plain = _run(clean_markdown(text))
+        def items(style: str) -> Column:
+            return F.transform(b["items"], lambda i: _row("list", style, _run(i)))
+
+        plain = _run(b["text"])
         cleaned_runs = F.transform(
-            bold_runs(text),
+            bold_runs(b["raw"]),
             lambda r: F.struct(clean_markdown(r["text"]).alias("text"), r["bold"].alias("bold")).cast(RUN),
         )
-        out = F.when(kind == "h4", one("h4", "Normal", _run(clean_markdown(text), True)))
+        out = F.when(kind == "h4", one("h4", "Normal", _run(b["text"], True)))
         for level in (1, 2, 3):
             out = out.when(kind == f"h{level}", one("heading", f"Heading {level}", plain))
-        for k, style in (("bullet_list", "List Bullet"), ("numbered_list", "List Number")):
-            rows = F.transform(b["items"], lambda i: _row("list", style, _run(clean_markdown(i))))
-            out = out.when(kind == k, rows)
         return (
-            out.when(kind == "quote", one("quote", "Normal", plain))
-            .when(kind == "code", one("code", "Normal", _run(text)))
+            out.when(kind == "bullet_list", items("List Bullet"))
+            .when(kind == "numbered_list", items("List Number"))
+            .when(kind == "quote", one("quote", "Normal", plain))
+            .when(kind == "code", one("code", "Normal", _run(b["raw"])))
             .otherwise(one("paragraph", "Normal", cleaned_runs))
         )
 
-    head = _row("heading", "Heading 1", _run(name))
+    opening = _row("heading", "Heading 1", _run(name))
     return _assemble(
-        books, chapters, front, before, _row("toc", "Normal", _run(name)), head, block_rows, [page]
+        books, chapters, front, before, _row("toc", "Normal", _run(name)), opening, block_rows, page
     )
 
 
@@ -333,26 +358,26 @@ def render_rows_pdf(books: DataFrame, chapters: DataFrame, as_of: Column) -> Dat
 
     def block_rows(b: Column) -> Column:
         kind = b["type"]
-        text = escape_markup(clean_markdown(b["text"]))
+        text = _run(escape_markup(b["text"]))
 
         def item(prefix: Column, i: Column) -> Column:
-            return _row("body", "BookBody", _run(F.concat(prefix, escape_markup(clean_markdown(i)))))
+            return _row("body", "BookBody", _run(F.concat(prefix, escape_markup(i))))
 
-        bullets = F.transform(b["items"], lambda i: item(F.lit("• "), i))
+        bullets = F.transform(b["items"], lambda i: item(F.lit("\u2022 "), i))
         numbers = F.transform(
             b["items"], lambda i, at: item(F.concat((at + 1).cast("string"), F.lit(". ")), i)
         )
-        body = F.array(_row("body", "BookBody", _run(text)))
         return (
-            F.when(kind.isin("h1", "h2"), F.array(_row("heading2", "Heading2Custom", _run(text))))
-            .when(kind.isin("h3", "h4"), F.array(_row("heading3", "Heading3Custom", _run(text))))
+            F.when(kind.isin("h1", "h2"), F.array(_row("heading2", "Heading2Custom", text)))
+            .when(kind.isin("h3", "h4"), F.array(_row("heading3", "Heading3Custom", text)))
             .when(kind == "bullet_list", bullets)
             .when(kind == "numbered_list", numbers)
-            .when(kind == "quote", F.array(_row("quote", "Quote", _run(text))))
-            .otherwise(F.filter(body, lambda r: r["runs"][0]["text"] != ""))
+            .when(kind == "quote", F.array(_row("quote", "Quote", text)))
+            .when(b["text"] != "", F.array(_row("body", "BookBody", text)))
+            .otherwise(F.array().cast(ROWS))
         )
 
-    head = _row("chapter_title", "ChapterTitle", _run(name))
+    opening = _row("chapter_title", "ChapterTitle", _run(name))
     return _assemble(
-        books, chapters, front, before, _row("toc", "TOC", _run(name)), head, block_rows, [page]
+        books, chapters, front, before, _row("toc", "TOC", _run(name)), opening, block_rows, page
     )

@@ -7,12 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The last setting stops PySpark from recording a call site for every column
+# expression, which is most of the driver's time on long expressions.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -70,6 +70,18 @@ def scan(
     return conform(spark.read.format(fmt).load(path), table, id_type)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that would leave cores idle; leave any other one alone.
+
+    A small file is one row group and so one task, however many cores wait. A
+    scan with at least one split per core, as every large table has, comes
+    back unchanged and is not shuffled. The check looks at the planned splits
+    only and runs no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def row_id(*key: Column) -> Column:
     """Deterministic id: the same key gives the same id on every run."""
     return F.sha2(F.concat_ws("|", *[k.cast("string") for k in key]), 256)

@@ -8,11 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quireflow.sources.tables import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores: text work outweighs moving the text."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(
         "conv_id * 100 + turn AS id",
@@ -118,7 +125,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 7 THEN 'a **b** _c_ ' || l
         WHEN 8 THEN '#### ' || l
         ELSE l END), '\\n\\n')"""
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{dressed} AS content")
+    return documents(spark, sf_dir).selectExpr("doc_id", f"{dressed} AS content")
 
 
 def markdown_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:

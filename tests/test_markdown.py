@@ -16,7 +16,7 @@ def test_clean_golden(many):
         "x\n---\ny": "x\n\ny",
         "x\n\n\n\ny": "x\n\ny",
         "***": "",
-        " 　pad\t": "pad",
+        " \u3000pad\t": "pad",
         "**a\nb**": "a\nb",
         "a * b": "a * b",
         "line\r---\nz": "line\r---\nz",

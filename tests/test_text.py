@@ -15,7 +15,7 @@ def test_presence(many):
 
 
 def test_strip_uses_unicode_whitespace(many):
-    values = ["\xa0\x1c\ta b　\r\n", " ", "", None, "x"]
+    values = ["\xa0\x1c\ta b\u3000\r\n", "\u2028", "", None, "x"]
     assert many(values, tx.strip) == [v.strip() if v is not None else None for v in values]
 
 
@@ -48,7 +48,7 @@ def test_word_wrap_equals_counting(many):
     for width in (12, 68):
         texts = [
             rng.choice(["", " ", "\n"]).join([""])
-            + rng.choice([" ", "\n", "\t ", " "]).join(
+            + rng.choice([" ", "\n", "\t ", "\u2003"]).join(
                 "w" * rng.choice([1, 2, 3, width - 2, width - 1, width, width + 1, 2 * width])
                 for _ in range(rng.randint(0, 25))
             )
