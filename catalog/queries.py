@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quireflow.functions import markdown as md, text as tx
 from quireflow.functions.outline import unreadable_numbers
 from quireflow.operators import audit, context, gates, generate, ingest, mutations, notify, prompts, queues, rollups
 from quireflow.plans import render
 from quireflow.schemas import conform
-from quireflow.session import shared_dir
+from quireflow.session import shared_dir as _shared_dir
 from quireflow.sources import tables, views as v
 from quireflow.streaming import streams
-from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,13 @@ LONG = T.LongType()
 BOOK, CHAPTER, UP_TO = 7, 702, 3
 
 
+def shared_dir(spark, name):
+    """A folder for written results; a local session without one gets its own."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shared-"))
+    return _shared_dir(spark, name)
+
+
 def as_of():
     return F.lit("2024-06-30 12:00:00").cast("timestamp_ntz")
 

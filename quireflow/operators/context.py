@@ -51,6 +51,9 @@ def _running(chapters: DataFrame, entry: Column, separator: str, segment: int |
         )
         segments = (
             narrow.join(long_books, "book_id", "left_semi")
+            # Without this the layout of the join, by book, would serve the
+            # grouping too and hold a long book in one task.
+            .repartition("book_id", "_seg")
             .groupBy("book_id", "_seg")
             .agg(
                 F.transform(ordered, lambda x: x["_entry"]).alias("_texts"),
