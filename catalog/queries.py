@@ -434,7 +434,7 @@ def apply_outlines(spark, sf):
 @query
 def apply_regeneration(spark, sf):
     chapters = v.chapters(spark, sf)
-    made = chapters.where(gates.chapter_action() == "regenerate").select(
+    made = chapters.where(gates.chapter_action(chapters) == "regenerate").select(
         "id",
         F.lit("revised").alias("content"),
         F.lit("sum").alias("summary"),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The 29 code points that count as whitespace.
 SPACES = (
@@ -36,6 +36,18 @@ def has(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+def written(chapters: DataFrame) -> Column:
+    """Whether a chapter has content.
+
+    Stored chapters carry the answer in ``has_content`` (see
+    ``store_chapters``), so that gates and rollups read a flag and leave the
+    text, which is nearly all of the corpus, on disk.
+    """
+    if "has_content" in chapters.columns:
+        return chapters["has_content"]
+    return has(chapters["content"])
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quireflow.functions.text import has, title_or_default
+from quireflow.functions.outline import outline_chapters
+from quireflow.functions.text import has, title_or_default, written
 
 SEGMENT = 256
 
@@ -113,7 +114,7 @@ def prompt_context(chapters: DataFrame, segment: int | None = SEGMENT) -> DataFr
 
 def table_of_contents(chapters: DataFrame) -> DataFrame:
     """One entry per chapter with content; (book_id, chapter_number) orders it."""
-    return chapters.where(has(F.col("content"))).select(
+    return chapters.where(written(chapters)).select(
         "book_id",
         "chapter_number",
         chapter_name(F.col("chapter_number"), F.col("title")).alias("entry"),
@@ -122,8 +123,6 @@ def table_of_contents(chapters: DataFrame) -> DataFrame:
 
 def initial_chapters(books: DataFrame, chapters: DataFrame) -> DataFrame:
     """Existing chapters, plus those an outline names for books without any."""
-    from quireflow.functions.outline import outline_chapters
-
     started = chapters.select(F.col("book_id").alias("id")).distinct()
     fresh = (
         books.where(has(F.col("outline")))
@@ -138,13 +137,13 @@ def initial_chapters(books: DataFrame, chapters: DataFrame) -> DataFrame:
             F.lit("pending").alias("notes_status"),
         )
     )
+    if "has_content" in chapters.columns:
+        fresh = fresh.withColumn("has_content", F.lit(False))
     return chapters.unionByName(fresh, allowMissingColumns=True)
 
 
 def parse_outlines(books: DataFrame, id_column: str = "book_id") -> DataFrame:
     """Chapter rows of every outline."""
-    from quireflow.functions.outline import outline_chapters
-
     return books.select(
         F.col(id_column).alias("book_id"), F.explode(outline_chapters(F.col("outline"))).alias("c")
     ).select("book_id", "c.chapter_number", "c.title", "c.description")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quireflow.functions.outline import outline_chapters
-from quireflow.functions.text import has
+from quireflow.functions.text import has, written
 from quireflow.operators.queues import APPROVED, is_status
 from quireflow.operators.rollups import with_counts
 
@@ -56,13 +56,13 @@ def outline_action() -> Column:
     )
 
 
-def chapter_action() -> Column:
-    written, asked = has(F.col("content")), F.col("notes_status") == "yes"
+def chapter_action(chapters: DataFrame) -> Column:
+    full, asked = written(chapters), F.col("notes_status") == "yes"
     return (
         F.when((F.col("notes_status") == APPROVED) | (F.col("status") == "approved"), "skip")
-        .when(written & has(F.col("notes")) & asked, "regenerate")
-        .when(written & asked, "wait")
-        .when(~written, "generate")
+        .when(full & has(F.col("notes")) & asked, "regenerate")
+        .when(full & asked, "wait")
+        .when(~full, "generate")
         .otherwise("pause")
     )
 
@@ -78,7 +78,7 @@ def chapter_gate(chapters: DataFrame) -> DataFrame:
     """Adds action, message and the status the decision refers to."""
     gate_status = F.when(F.col("action") == "generate", F.col("status")).otherwise(F.col("notes_status"))
     return (
-        chapters.withColumn("action", chapter_action())
+        chapters.withColumn("action", chapter_action(chapters))
         .withColumn("message", _message(F.col("action"), CHAPTER_MESSAGES, F.col("notes_status")))
         .withColumn("gate_status", gate_status)
     )
@@ -95,8 +95,8 @@ def batch_plan(books: DataFrame, chapters: DataFrame, auto_approve: bool = False
     gated = chapters.select(
         "book_id",
         "chapter_number",
-        chapter_action().alias("action"),
-        has(F.col("content")).alias("_written"),
+        chapter_action(chapters).alias("action"),
+        written(chapters).alias("_written"),
     )
     runs = books.where(F.col("status_outline_notes") == APPROVED).select(F.col("id").alias("book_id"))
     due = F.col("action") != "skip"
@@ -151,11 +151,11 @@ def corpus_step(books: DataFrame, chapters: DataFrame) -> DataFrame:
     """One row: the step the whole corpus is at and how many books wait there."""
     counted = with_counts(books, chapters)
     approved = is_status("status_outline_notes", APPROVED)
-    written = has(F.col("outline"))
+    outlined = has(F.col("outline"))
     totals = counted.agg(
         F.count(F.lit(1)).alias("books"),
-        F.count_if(~written).alias("outline"),
-        F.count_if(written & is_status("status_outline_notes", "yes")).alias("approval"),
+        F.count_if(~outlined).alias("outline"),
+        F.count_if(outlined & is_status("status_outline_notes", "yes")).alias("approval"),
         F.count_if(approved & ((F.col("total") == 0) | (F.col("pending") > 0))).alias("chapters"),
         F.count_if(approved & ~is_status("book_output_status", "completed")).alias("compile"),
     )
@@ -258,7 +258,7 @@ def run_route(books: DataFrame, chapters: DataFrame, auto_approve: bool = False)
 def chapter_label(chapters: DataFrame) -> DataFrame:
     label = (
         F.when(is_status("status", "approved"), F.lit("Approved"))
-        .when(has(F.col("content")), F.lit("Ready for Review"))
+        .when(written(chapters), F.lit("Ready for Review"))
         .otherwise(F.lit("Pending"))
     )
     return chapters.withColumn("label", label)

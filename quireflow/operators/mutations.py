@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quireflow.functions.text import has
 from quireflow.operators.queues import APPROVED
 
 SET = "set_"
@@ -17,7 +18,8 @@ def patch_rows(rows: DataFrame, patches: DataFrame, as_of: Column | None = None,
     A patch column is written whenever the key matches, NULL included. With a
     boolean companion ``set_<column>`` it is written only where that is true,
     which tells "set to NULL" from "leave alone". Patches hold one row per
-    key (see ``merge_patches``); unknown keys change nothing.
+    key (see ``merge_patches``); unknown keys change nothing. A stored
+    ``has_content`` follows the content.
     """
     columns = [c for c in patches.columns if c != key and not c.startswith(SET)]
     unknown = [c for c in columns if c not in rows.columns]
@@ -35,6 +37,10 @@ def patch_rows(rows: DataFrame, patches: DataFrame, as_of: Column | None = None,
         if c in columns:
             on = F.col("_hit") & (F.col(f"_set_{c}") if SET + c in patches.columns else F.lit(True))
             out.append(F.when(on, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c))
+        elif c == "has_content" and "content" in columns:
+            new, old = F.col("_new_content"), F.col(c)
+            on = F.col("_hit") & (F.col("_set_content") if SET + "content" in patches.columns else F.lit(True))
+            out.append(F.when(on, has(new)).otherwise(old).alias(c))
         elif c == "updated_at" and as_of is not None:
             out.append(F.when(F.col("_hit"), as_of).otherwise(F.col(c)).alias(c))
         else:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from quireflow.functions.templates import fill
-from quireflow.functions.text import has, head, title_or_default
+from quireflow.functions.text import has, head, title_or_default, written
 from quireflow.operators.context import SEGMENT, prompt_context
 from quireflow.operators.queues import queued_for_outline
 
@@ -92,7 +92,7 @@ def chapter_prompts(
         "title",
         "summary",
         "notes",
-        has(F.col("content")).alias("_written"),
+        written(chapters).alias("_written"),
     )
     due = prompt_context(narrow, segment).where(~F.col("_written"))
     owners = books.select(F.col("id").alias("book_id"), F.col("title").alias("book_title"), "outline")
@@ -118,7 +118,7 @@ def _with_owner(chapters: DataFrame, books: DataFrame) -> DataFrame:
 def summary_prompts(
     books: DataFrame, chapters: DataFrame, templates: Mapping[str, str] = TEMPLATES
 ) -> DataFrame:
-    rows = chapters.where(has(F.col("content"))).select(
+    rows = chapters.where(written(chapters)).select(
         "book_id", "chapter_number", "title", head(F.col("content"), SUMMARY_INPUT).alias("content")
     )
     slots = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quireflow.functions.text import clip, has, head, title_or_default
+from quireflow.functions.text import clip, has, head, title_or_default, written
 
 APPROVED = "no_notes_needed"
 
@@ -87,11 +87,11 @@ def ready_for_chapters(books: DataFrame, require_outline: bool = True) -> DataFr
 
 
 def pending_chapters(chapters: DataFrame) -> DataFrame:
-    return chapters.where(~has(F.col("content")))
+    return chapters.where(~written(chapters))
 
 
 def unapproved_chapters(chapters: DataFrame) -> DataFrame:
-    return chapters.where(has(F.col("content")) & ~is_status("status", "approved"))
+    return chapters.where(written(chapters) & ~is_status("status", "approved"))
 
 
 def ready_to_compile(books: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def chapter_previews(chapters: DataFrame) -> DataFrame:
         "id",
         head(title, 40).alias("title_card"),
         head(F.coalesce("title", F.lit("")), 30).alias("title_progress"),
-        F.when(has(F.col("content")), clip(F.col("content"), 3000)).alias("content_preview"),
+        F.when(written(chapters), clip(F.col("content"), 3000)).alias("content_preview"),
         head(F.col("content"), 8000).alias("content_for_summary"),
         F.concat(head(F.col("summary"), 100), F.lit("...")).alias("summary_preview"),
     )
@@ -152,7 +152,7 @@ def book_details(books: DataFrame, chapters: DataFrame) -> DataFrame:
         "chapter_number",
         head(title_or_default(F.col("title")), 40).alias("chapter_title"),
         F.when(is_status("status", "approved"), "approved")
-        .when(has(F.col("content")), "in_progress")
+        .when(written(chapters), "in_progress")
         .otherwise("pending")
         .alias("mark"),
         F.col("status").alias("chapter_status"),

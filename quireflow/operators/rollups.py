@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quireflow.functions.text import has
+from quireflow.functions.text import has, written
 from quireflow.operators.queues import APPROVED, attach_chapters, is_status, newest_first
 
 PROGRESS = ("total", "generated", "approved", "pending", "waiting_review")
@@ -18,12 +18,12 @@ PROGRESS = ("total", "generated", "approved", "pending", "waiting_review")
 
 def chapter_counts(chapters: DataFrame) -> DataFrame:
     """Counts per book that has chapters."""
-    written = has(F.col("content"))
+    full = written(chapters)
     return chapters.groupBy("book_id").agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(written).alias("generated"),
+        F.count_if(full).alias("generated"),
         F.count_if(is_status("status", "approved")).alias("approved"),
-        F.count_if(~written).alias("pending"),
+        F.count_if(~full).alias("pending"),
         F.count_if(is_status("notes_status", "yes")).alias("waiting_review"),
     )
 
@@ -46,7 +46,7 @@ def progress_chapters(chapters: DataFrame) -> DataFrame:
         F.coalesce("title", F.lit("")).alias("title"),
         "status",
         "notes_status",
-        has(F.col("content")).alias("has_content"),
+        written(chapters).alias("has_content"),
         has(F.col("summary")).alias("has_summary"),
     )
 

@@ -16,9 +16,9 @@ from quireflow.functions.markdown import blocks, bold_runs, clean_markdown
 from quireflow.functions.text import (
     center_line,
     escape_markup,
-    has,
     title_or_default,
     word_wrap,
+    written,
 )
 from quireflow.operators.context import chapter_name
 from quireflow.sources.tables import file_name
@@ -141,7 +141,7 @@ def text_sections(books: DataFrame, chapters: DataFrame, as_of: Column) -> DataF
     fixed = books.select(
         F.col("id").alias("book_id"), F.lit(None).cast("int").alias("chapter_number"), F.explode(per_book).alias("s")
     )
-    flowing = chapters.where(has(F.col("content"))).select(
+    flowing = chapters.where(written(chapters)).select(
         "book_id", "chapter_number", F.explode(per_chapter).alias("s")
     )
     return fixed.unionByName(flowing).select("book_id", "s.section", "chapter_number", "s.text")
@@ -280,7 +280,7 @@ def _assemble(
         F.array(F.array(page)),
     )
     flowing = (
-        chapters.where(has(F.col("content")))
+        chapters.where(written(chapters))
         .select("book_id", "chapter_number", F.posexplode(laid).alias("_at", "_rows"))
         .select(
             "book_id",

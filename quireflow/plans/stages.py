@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quireflow.functions.text import has
+from quireflow.functions.text import written
 from quireflow.operators import gates, generate, ingest, mutations, prompts, queues
 from quireflow.operators.context import initial_chapters
 from quireflow.plans import render
@@ -79,7 +79,7 @@ def revise_chapters(
     books: DataFrame, chapters: DataFrame, backend: generate.Backend, as_of: Column
 ) -> DataFrame:
     """Chapters whose gate says regenerate, revised, with new summaries."""
-    due = chapters.where(gates.chapter_action() == "regenerate")
+    due = chapters.where(gates.chapter_action(chapters) == "regenerate")
     asked = prompts.chapter_revision_prompts(books, due)
     texts = settle(generate.generate_text(asked, backend, prompts.CHAPTER_TOKENS), "chapter-revisions")
     keyed = due.select("id", "book_id", "chapter_number", "title")
@@ -106,7 +106,7 @@ class Compiled:
 def compile_books(books: DataFrame, chapters: DataFrame, as_of: Column, force: bool = False) -> Compiled:
     """All formats of every book that may be compiled, and the changed books."""
     gate = gates.compile_gate(books, chapters)
-    chosen, kept = books, chapters.where(has(F.col("content")))
+    chosen, kept = books, chapters.where(written(chapters))
     if not force:
         chosen = render.compilable(books, gate)
         kept = render.chapters_of(chosen, kept)

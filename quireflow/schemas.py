@@ -97,7 +97,9 @@ def table_schema(table: str, id_type: T.DataType | None = None) -> T.StructType:
     raise ValueError(f"unknown table: {table}")
 
 
-def conform(df: DataFrame, table: str, id_type: T.DataType | None = None) -> DataFrame:
+def conform(
+    df: DataFrame, table: str, id_type: T.DataType | None = None, extra: tuple[str, ...] = ()
+) -> DataFrame:
     """Exactly the declared columns, in order; absent ones are typed NULLs."""
     have = set(df.columns)
     return df.select(
@@ -105,4 +107,5 @@ def conform(df: DataFrame, table: str, id_type: T.DataType | None = None) -> Dat
             (F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in table_schema(table, id_type)
         ]
+        + [F.col(c) for c in extra]
     )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from quireflow.functions.text import safe_title, title_or_default
+from quireflow.functions.text import has, safe_title, title_or_default
 from quireflow.schemas import DEFAULTS, conform, table_schema
 
 SUBMISSION_REQUIRED = ("title",)
@@ -103,6 +103,34 @@ def append(rows: DataFrame, path: str, table: str) -> None:
     rows.select(table_schema(table).names).write.mode("append").parquet(path)
 
 
+def store_chapters(chapters: DataFrame, path: str) -> None:
+    """Write chapters with a presence flag beside the text.
+
+    ``scan_stored`` hands the flag on and ``written`` uses it, so gates and
+    rollups prune the text from their scans.
+    """
+    flagged = chapters.drop("has_content").withColumn("has_content", has(F.col("content")))
+    flagged.write.mode("overwrite").parquet(path)
+
+
+def scan_stored(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
+    """Typed scan of stored chapters, flag included."""
+    raw = spark.read.parquet(path)
+    return conform(raw, "chapters", id_type, extra=("has_content",))
+
+
+def save_by_book(rows: DataFrame, name: str, path: str, buckets: int, key: str = "book_id") -> None:
+    """Save a table bucketed and sorted by book.
+
+    Tables saved with the same number of buckets meet without a shuffle in
+    every per-book join and rollup. Use it for tables read many times; a book
+    with a large share of all rows makes its bucket large, and such corpora
+    are better left unbucketed, where adaptive execution can split the book.
+    """
+    order = [key] + [c for c in ("chapter_number",) if c in rows.columns]
+    rows.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(*order).saveAsTable(name)
+
+
 def write_text_books(
     spark: SparkSession, texts: DataFrame, books: DataFrame, path: str, files: bool = False
 ) -> DataFrame:

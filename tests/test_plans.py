@@ -3,13 +3,13 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from __spark_entry__ import queries
-from quireflow.operators import context, gates
+from quireflow.operators import context, gates, mutations, prompts, queues, rollups
 from quireflow.operators.queues import by_id
 from quireflow.plans import render
-from quireflow.sources.tables import spread
+from quireflow.sources.tables import save_by_book, scan_stored, spread, store_chapters
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,7 +71,50 @@ def test_gate_shuffles_flags_not_texts(spark, no_broadcast):
     for line in plan.splitlines():
         if "Exchange" in line or "partial_count" in line:
             assert "content" not in line
-    assert gates.compile_gate is not None
+
+
+def stored(spark, tmp_path):
+    rows = queries()["scan_chapters"](spark, SF)
+    path = str(tmp_path / "chapters")
+    store_chapters(rows, path)
+    return rows, scan_stored(spark, path, T.LongType())
+
+
+def test_stored_flag_keeps_texts_on_disk(spark, tmp_path):
+    rows, flagged = stored(spark, tmp_path)
+    books = queries()["scan_books"](spark, SF)
+    for make in (
+        rollups.book_progress,
+        gates.batch_plan,
+        gates.compile_gate,
+        gates.corpus_step,
+        gates.book_card,
+        prompts.chapter_prompts,
+        queues.book_details,
+    ):
+        plan = plan_of(make(books, flagged))
+        scans = [s for s in plan.splitlines() if "FileScan" in s and "chapter_number" in s or "has_content" in s and "FileScan" in s]
+        assert scans and all("content:string" not in s.replace("has_content", "") for s in scans), make.__name__
+        plain = make(books, rows)
+        assert sorted(map(repr, make(books, flagged).select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_stored_flag_follows_the_content(spark, tmp_path):
+    _, flagged = stored(spark, tmp_path)
+    wiped = flagged.where("has_content").select("id", F.lit(None).cast("string").alias("content"))
+    after = mutations.patch_rows(flagged, wiped)
+    assert after.where("has_content").count() == 0
+    assert flagged.where("has_content").count() > 0
+
+
+def test_tables_bucketed_by_book_meet_without_shuffle(spark, tmp_path, no_broadcast):
+    books = queries()["scan_books"](spark, SF)
+    save_by_book(books, "bucketed_books", str(tmp_path / "b"), 4, "id")
+    save_by_book(queries()["scan_chapters"](spark, SF), "bucketed_chapters", str(tmp_path / "c"), 4)
+    plan = plan_of(rollups.book_progress(spark.table("bucketed_books"), spark.table("bucketed_chapters")))
+    assert "Exchange" not in plan, plan
+    spark.sql("DROP TABLE bucketed_books")
+    spark.sql("DROP TABLE bucketed_chapters")
 
 
 def test_spread_leaves_wide_scans_alone(spark):
