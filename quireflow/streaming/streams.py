@@ -4,8 +4,9 @@ Each stream is a ``foreachBatch`` over the same DataFrame operators as the
 batch jobs. A batch writes its results under its own ``batch_id`` directory
 in overwrite mode and reads only the directories of earlier batches, so a
 batch that is replayed after a failure gives the same result and adds nothing
-twice. State lives in tables below a shared folder; lineage never crosses a
-batch.
+twice. State lives in tables below a shared folder, folded into a snapshot
+every so many batches, so that a batch reads about one row per key and not the
+whole history; lineage never crosses a batch.
 """
 
 from __future__ import annotations
@@ -21,21 +22,40 @@ from quireflow.operators.rollups import PROGRESS, chapter_counts
 from quireflow.schemas import EVENT_TYPES
 
 SEQ_BLOCK = 4096
+SNAPSHOT_EVERY = 32
 
 
 def _write(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """What the batches before this one have written."""
+def _earlier(
+    spark: SparkSession, path: str, batch_id: int, schema: T.StructType, every: int = SNAPSHOT_EVERY
+) -> DataFrame:
+    """What the batches before this one have written.
+
+    Read from the last snapshot before the batch, whose number follows from
+    the batch id alone, and the batches since; older ones are pruned.
+    """
+    last = batch_id // every * every - 1
     try:
         stored = spark.read.schema(schema).parquet(path)
     except AnalysisException:  # nothing written yet
         return spark.createDataFrame([], schema)
     if "batch_id" not in stored.columns:
         return spark.createDataFrame([], schema)
-    return stored.where(F.col("batch_id") < batch_id).drop("batch_id")
+    recent = stored.where((F.col("batch_id") < batch_id) & (F.col("batch_id") > last)).drop("batch_id")
+    if last < 0:
+        return recent
+    return recent.unionByName(spark.read.schema(schema).parquet(f"{path}_snapshots/batch_id={last}"))
+
+
+def _snapshot(spark: SparkSession, path: str, batch_id: int, schema: T.StructType, every: int, compact) -> None:
+    """Every so many batches, fold the state so far into one compact table."""
+    if (batch_id + 1) % every == 0:
+        mine = spark.read.schema(schema).parquet(f"{path}/batch_id={batch_id}")
+        whole = _earlier(spark, path, batch_id, schema, every).unionByName(mine)
+        _write(compact(whole), f"{path}_snapshots", batch_id)
 
 
 def _start(source: DataFrame, handle, checkpoint: str) -> StreamingQuery:
@@ -48,7 +68,7 @@ def _start(source: DataFrame, handle, checkpoint: str) -> StreamingQuery:
 
 
 def stream_submissions(
-    source: DataFrame, library: DataFrame, out: str, checkpoint: str
+    source: DataFrame, library: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY
 ) -> StreamingQuery:
     """Clean, validate and deduplicate submissions as they arrive.
 
@@ -64,7 +84,7 @@ def stream_submissions(
         spark = batch.sparkSession
         checked = validate_submissions(clean_submissions(batch))
         valid = checked.where(F.col("_error").isNull()).drop("_error")
-        held = library.select("title").unionByName(_earlier(spark, keys, batch_id, key_schema))
+        held = library.select("title").unionByName(_earlier(spark, keys, batch_id, key_schema, snapshot_every))
         wanted = valid.select(title_key(F.col("title")).alias("_key")).distinct()
         known = held.withColumn("_key", title_key(F.col("title"))).join(wanted, "_key", "left_semi")
         labelled = dedupe_submissions(valid, known.select("title")).withColumn(
@@ -75,6 +95,7 @@ def stream_submissions(
         written = spark.read.parquet(f"{results}/batch_id={batch_id}")
         created = written.where(F.col("label") == "created")
         _write(created.select(title_key(F.col("title")).alias("title")), keys, batch_id)
+        _snapshot(spark, keys, batch_id, key_schema, snapshot_every, lambda whole: whole.distinct())
 
     return _start(source, handle, checkpoint)
 
@@ -114,7 +135,9 @@ def notifying_events(changes: DataFrame) -> DataFrame:
     return changes.withColumn("event_type", event).where(F.col("event_type").isNotNull())
 
 
-def stream_transitions(source: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def stream_transitions(
+    source: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY
+) -> StreamingQuery:
     """Notification events for chapters entering a notifying state.
 
     ``source`` has seq, book_id, chapter_number, status, notes_status. A
@@ -131,8 +154,8 @@ def stream_transitions(source: DataFrame, out: str, checkpoint: str) -> Streamin
         spark = batch.sparkSession
         changes = batch.select(columns).dropDuplicates([*keys, "seq"])
         touched = changes.select(*keys).distinct()
-        snapshots = _earlier(spark, state, batch_id, schema).join(touched, keys, "left_semi")
-        known = latest_by_key(snapshots, keys, ["seq"])
+        stored = _earlier(spark, state, batch_id, schema, snapshot_every)
+        known = latest_by_key(stored.join(touched, keys, "left_semi"), keys, ["seq"])
         newest = known.select(*keys, F.col("seq").alias("_known"))
         fresh = (
             changes.join(newest, keys, "left")
@@ -143,11 +166,14 @@ def stream_transitions(source: DataFrame, out: str, checkpoint: str) -> Streamin
         moved = transitions(run, keys, "status").where(F.col("_fresh")).drop("_fresh", "previous")
         _write(notifying_events(moved).select("event_type", *columns), events, batch_id)
         _write(latest_by_key(fresh, keys, ["seq"]).select(columns), state, batch_id)
+        _snapshot(spark, state, batch_id, schema, snapshot_every, lambda all_: latest_by_key(all_, keys, ["seq"]))
 
     return _start(source, handle, checkpoint)
 
 
-def stream_progress(source: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def stream_progress(
+    source: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY
+) -> StreamingQuery:
     """Progress counts kept current as chapter changes arrive.
 
     ``source`` has seq, book_id, chapter_number, content, status and
@@ -167,9 +193,10 @@ def stream_progress(source: DataFrame, out: str, checkpoint: str) -> StreamingQu
         _write(latest_by_key(changes, keys, ["seq"]).select(columns), state, batch_id)
         mine = spark.read.schema(schema).parquet(f"{state}/batch_id={batch_id}")
         touched = mine.select("book_id").distinct()
-        before = _earlier(spark, state, batch_id, schema).join(touched, "book_id", "left_semi")
+        before = _earlier(spark, state, batch_id, schema, snapshot_every).join(touched, "book_id", "left_semi")
         current = latest_by_key(before.unionByName(mine), keys, ["seq"])
         _write(chapter_counts(current), progress, batch_id)
+        _snapshot(spark, state, batch_id, schema, snapshot_every, lambda all_: latest_by_key(all_, keys, ["seq"]))
 
     return _start(source, handle, checkpoint)
 

@@ -12,11 +12,8 @@ CHG = "seq long, book_id long, chapter_number int, content string, status string
 
 def feed(spark, folder, rows, schema, cuts):
     """Write rows as one file per slice; files are read one per batch."""
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        piece = spark.createDataFrame(rows[a:b], schema).coalesce(1)
-        piece.write.mode("append").parquet(str(folder))
-        if i == len(cuts) - 2:
-            break
+    for a, b in zip(cuts, cuts[1:]):
+        spark.createDataFrame(rows[a:b], schema).coalesce(1).write.mode("append").parquet(str(folder))
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
@@ -29,7 +26,7 @@ def test_submissions_in_batches(spark, tmp_path):
     library = spark.createDataFrame([("title 3",)], "title string")
     source = feed(spark, tmp_path / "in", rows, SUB, [0, 10, 50, 90, 120])
     out = str(tmp_path / "out")
-    streams.stream_submissions(source, library, out, f"{out}/cp").awaitTermination()
+    streams.stream_submissions(source, library, out, f"{out}/cp", snapshot_every=2).awaitTermination()
     got = spark.read.parquet(f"{out}/submissions")
     usable = [r for r in rows if r[1]]
     assert got.count() == len(usable)
@@ -83,13 +80,14 @@ def test_transitions_equal_brute_force(spark, block):
     assert got == want
 
 
-def test_transition_stream_ignores_late_and_repeated_changes(spark, tmp_path):
+@pytest.mark.parametrize("every", [1, 2, 32])
+def test_transition_stream_ignores_late_and_repeated_changes(spark, tmp_path, every):
     rows = changes(4)
     late = [rows[0], rows[5]]
     fed = rows[:60] + rows[60:120] + late + rows[110:]
     source = feed(spark, tmp_path / "in", fed, CHG, [0, 60, 122, len(fed)])
     out = str(tmp_path / "out")
-    streams.stream_transitions(source, out, f"{out}/cp").awaitTermination()
+    streams.stream_transitions(source, out, f"{out}/cp", snapshot_every=every).awaitTermination()
     got = {(r["seq"], r["event_type"]) for r in spark.read.parquet(f"{out}/events").collect()}
     last, want = {}, set()
     for seq, book, number, _, status, review in rows:
@@ -103,11 +101,12 @@ def test_transition_stream_ignores_late_and_repeated_changes(spark, tmp_path):
     assert spark.read.parquet(f"{out}/events").count() == len(want)
 
 
-def test_progress_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("every", [2, 32])
+def test_progress_stream_equals_batch(spark, tmp_path, every):
     rows = changes(6)
     source = feed(spark, tmp_path / "in", rows, CHG, [0, 50, 51, 140, 200])
     out = str(tmp_path / "out")
-    streams.stream_progress(source, out, f"{out}/cp").awaitTermination()
+    streams.stream_progress(source, out, f"{out}/cp", snapshot_every=every).awaitTermination()
     df = spark.createDataFrame(rows, CHG)
     batch = rollups.chapter_counts(latest_by_key(df, ["book_id", "chapter_number"], ["seq"]))
     columns = ["book_id", *rollups.PROGRESS]
