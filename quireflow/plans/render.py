@@ -16,12 +16,12 @@ from quireflow.functions.markdown import blocks, bold_runs, clean_markdown
 from quireflow.functions.text import (
     center_line,
     escape_markup,
+    safe_title,
     title_or_default,
     word_wrap,
     written,
 )
 from quireflow.operators.context import chapter_name
-from quireflow.sources.tables import file_name
 
 # The layout of the compiled text.
 WIDTH = 72
@@ -185,7 +185,7 @@ def compile_results(books: DataFrame, gate: DataFrame, force: bool = False, form
         ).alias("_issue"),
     )
     error = F.lit(None).cast("string") if force else F.col("_issue")
-    name = file_name(F.col("title"), "")
+    name = safe_title(title_or_default(F.col("title")))
     return (
         books.select(F.col("id").alias("book_id"), "title")
         .join(issues, "book_id", "left")
@@ -201,13 +201,29 @@ def compile_results(books: DataFrame, gate: DataFrame, force: bool = False, form
             "format",
             F.when(
                 F.col("error").isNull(),
-                F.concat(F.col("book_id").cast("string"), F.lit("/"), F.col("_name"), F.col("format")),
+                F.concat(
+                    F.col("book_id").cast("string"), F.lit("/"), F.col("_name"), F.lit("."), F.col("format")
+                ),
             ).alias("path"),
             "error",
         )
     )
 
 
+def compile_events(results: DataFrame) -> DataFrame:
+    """A final-draft event, with its paths, per book all of whose formats worked.
+
+    A book has one row per format, so the array of paths is short.
+    """
+    paths = F.array_sort(F.collect_list(F.struct("format", "path")))
+    return (
+        results.groupBy("book_id")
+        .agg(paths.alias("paths"), F.bool_and(F.col("error").isNull()).alias("_ok"))
+        .where(F.col("_ok"))
+        .select("book_id", F.lit("final_draft_ready").alias("event_type"), "paths")
+    )
+
+
 def path_patches(results: DataFrame) -> DataFrame:
     """Output paths of successful formats as patches of the books table."""
     cols = []

@@ -11,8 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quireflow.functions.text import written
-from quireflow.operators import gates, generate, ingest, mutations, prompts, queues
+from quireflow.functions.text import has, written
+from quireflow.operators import gates, generate, ingest, mutations, prompts, queues, rollups
 from quireflow.operators.context import initial_chapters
 from quireflow.plans import render
 from quireflow.session import settle
@@ -120,3 +120,53 @@ def compile_books(books: DataFrame, chapters: DataFrame, as_of: Column, force: b
         results=results,
         books=mutations.patch_rows(patched, completed, as_of),
     )
+
+
+@dataclass
+class Run:
+    books: DataFrame
+    chapters: DataFrame
+    compiled: Compiled
+    events: DataFrame
+
+
+def run_unattended(
+    books: DataFrame,
+    chapters: DataFrame,
+    backend: generate.Backend,
+    as_of: Column,
+    auto_approve: bool = False,
+) -> Run:
+    """All stages for every book, each going as far as its gates allow.
+
+    A book is compiled when its approved chapters equal its chapters, none of
+    none included, provided its outline is approved and chapters could be
+    started at all.
+    """
+    outlined = write_outlines(books, backend, as_of)
+    if auto_approve:
+        waiting = outlined.where(~queues.is_status("status_outline_notes", queues.APPROVED))
+        asked = waiting.select("id", F.lit(False).alias("needs_notes"))
+        outlined = mutations.patch_rows(outlined, mutations.outline_approvals(asked), as_of)
+    outlined = settle(outlined, "run-books")
+    finished = settle(write_chapters(outlined, chapters, backend, as_of, auto_approve), "run-chapters")
+    counted = rollups.with_counts(outlined, finished).withColumnRenamed("book_id", "id")
+    ready = counted.where(
+        queues.is_status("status_outline_notes", queues.APPROVED)
+        & (has(F.col("outline")) | (F.col("total") > 0))
+        & (F.col("approved") == F.col("total"))
+    ).select(*outlined.columns)
+    compiled = compile_books(ready, render.chapters_of(ready, finished), as_of, force=True)
+    others = outlined.join(ready.select("id"), "id", "left_anti")
+    drafts = render.compile_events(compiled.results)
+    done = ready.select(
+        F.col("id").alias("book_id"),
+        F.lit("book_completed").alias("event_type"),
+        F.lit(None).cast(drafts.schema["paths"].dataType).alias("paths"),
+    )
+    return Run(
+        books=others.unionByName(compiled.books),
+        chapters=finished,
+        compiled=compiled,
+        events=drafts.unionByName(done),
+    )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from quireflow.functions.text import has, safe_title, title_or_default
+from quireflow.functions.text import has
 from quireflow.schemas import DEFAULTS, conform, table_schema
 
 SUBMISSION_REQUIRED = ("title",)
@@ -50,17 +50,28 @@ def normalize_submissions(raw: DataFrame, row_number: str = "row_number") -> Dat
 
 
 def read_submissions(
-    spark: SparkSession, path: str, fmt: str = "csv", row_number: str = "row_number"
+    spark: SparkSession,
+    path: str,
+    fmt: str = "csv",
+    row_number: str = "row_number",
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a header-first table of submissions from CSV, JSON or Parquet.
 
+    CSV cells may hold line breaks, which keeps a file from being split;
+    ``multi_line=False`` reads very large sheets without such cells in parallel.
+    Files whose headers disagree with the first one are refused.
+
     Rows of a distributed read have no inherent order, so the source row
     number travels as a column of the data. An empty CSV cell is NULL.
     """
-    reader = spark.read
+    reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
-    return normalize_submissions(reader.format(fmt).load(path), row_number)
+        reader = reader.options(header=True, multiLine=multi_line, escape='"')
+        headers = _source_headers(reader.load(path).columns)
+        # The reader renames repeated headers, so it cannot compare them.
+        reader = reader.option("enforceSchema", len(set(headers)) < len(headers))
+    return normalize_submissions(reader.load(path), row_number)
 
 
 def scan(
@@ -159,7 +170,3 @@ def write_text_books(
     done = written.select(F.col("book_id").alias("id")).distinct()
     where = F.lit(f"{path}/files/book_id=") if files else F.lit(f"{table}#book_id=")
     return done.select("id", F.concat(where, F.col("id").cast("string")).alias("output_txt_path"))
-
-
-def file_name(title: Column, extension: str) -> Column:
-    return F.concat(safe_title(title_or_default(title)), F.lit(f".{extension}"))

@@ -151,6 +151,26 @@ def test_ingest_stage(spark):
     assert [(r["title"], r["status_outline_notes"]) for r in made] == [("New", "pending")]
 
 
+def test_unattended_run(spark):
+    books, chapters = tables(spark)
+    paths = {c: F.lit(None).cast("string") for c in ("output_docx_path", "output_pdf_path", "output_txt_path")}
+    books = books.withColumns({**paths, "final_review_notes_status": F.lit(None).cast("string")})
+    run = stages.run_unattended(books, chapters, Picky, as_of(), auto_approve=True)
+    got = {r["id"]: r for r in run.books.collect()}
+    assert len(got) == 6
+    # b3 is approved and written; b4 gets an outline of digests, which names no chapter.
+    assert {i for i, r in got.items() if r["book_output_status"] == "completed"} == {"b1", "b3", "b4", "b6"}
+    assert got["b1"]["output_pdf_path"] == "b1/One.pdf"
+    # b2 fails in its first chapter, b5 has no outline.
+    assert got["b2"]["output_txt_path"] is None and got["b5"]["outline"] is None
+    events = {(r["book_id"], r["event_type"]) for r in run.events.collect()}
+    assert ("b1", "final_draft_ready") in events and ("b1", "book_completed") in events
+    assert not [e for e in events if e[0] in ("b2", "b5")]
+    held = stages.run_unattended(books, chapters, Picky, as_of())
+    kept = {r["id"]: r["book_output_status"] for r in held.books.collect()}
+    assert "completed" not in kept.values()
+
+
 def test_shared_folder_is_required(spark):
     from quireflow.session import shared_dir
 

@@ -16,6 +16,13 @@ def test_sheet_headers(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(2, "last", "line one\nline two"), (3, None, "n")]
 
 
+def test_sheets_with_another_header_are_refused(spark, tmp_path):
+    for name, text in (("a", "row_number,title\n2,x\n"), ("b", "title,row_number\ny,3\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    with pytest.raises(Exception, match="CSV header"):
+        tables.read_submissions(spark, str(tmp_path)).collect()
+
+
 def test_sheet_without_title_fails_before_any_job(spark):
     with pytest.raises(tables.MissingColumn, match="title"):
         tables.normalize_submissions(spark.createDataFrame([(1, "x")], "row_number int, name string"))
