@@ -26,18 +26,33 @@ def chapter_name(number: Column, title: Column) -> Column:
     return F.concat(F.lit("Chapter "), number.cast("string"), F.lit(": "), title_or_default(title))
 
 
-def _running(chapters: DataFrame, entry: Column, separator: str, segment: int | None) -> DataFrame:
+def _running(
+    chapters: DataFrame,
+    entry: Column,
+    separator: str,
+    segment: int | None,
+    history: DataFrame | None = None,
+) -> DataFrame:
     """Adds ``_before`` (earlier entries joined) and ``_any`` (an earlier summary exists).
 
     ``segment=None`` runs one plain window per book, for corpora known to hold
-    no long books.
+    no long books. Earlier segments are read from ``history``, by default the
+    chapters themselves.
     """
     number = F.col("chapter_number")
-    rows = chapters.withColumn("_entry", entry).withColumn("_has", has(F.col("summary")))
+    history = chapters if history is None else history
+
+    def marked(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_entry", entry).withColumn("_has", has(F.col("summary")))
+        return df if segment is None else df.withColumn("_seg", F.floor(number / segment).cast("int"))
+
+    rows = marked(chapters)
     parts = ["book_id"]
     if segment is not None:
-        rows = rows.withColumn("_seg", F.floor(number / segment).cast("int"))
+        # Stated, because rows already laid out by book would satisfy the
+        # window as they are and hold a long book in one task.
         parts.append("_seg")
+        rows = rows.repartition(*parts)
     earlier = Window.partitionBy(*parts).orderBy("chapter_number").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_parts", F.collect_list("_entry").over(earlier)).withColumn(
         "_any", F.coalesce(F.bool_or("_has").over(earlier), F.lit(False))
@@ -45,8 +60,8 @@ def _running(chapters: DataFrame, entry: Column, separator: str, segment: int |
     if segment is None:
         out = local.withColumn("_before", F.array_join("_parts", separator))
     else:
-        narrow = rows.select("book_id", "chapter_number", "_seg", "_entry", "_has")
-        long_books = chapters.where((number >= segment) | (number < 0)).select("book_id").distinct()
+        narrow = marked(history).select("book_id", "chapter_number", "_seg", "_entry", "_has")
+        long_books = history.where((number >= segment) | (number < 0)).select("book_id").distinct()
         ordered = F.array_sort(
             F.collect_list(F.when(F.col("_entry").isNotNull(), F.struct("chapter_number", "_entry")))
         )
@@ -92,11 +107,14 @@ def chapter_context(chapters: DataFrame, segment: int | None = SEGMENT) -> DataF
     return rows.withColumn("context", context).drop("_before", "_any")
 
 
-def prompt_context(chapters: DataFrame, segment: int | None = SEGMENT) -> DataFrame:
+def prompt_context(
+    chapters: DataFrame, segment: int | None = SEGMENT, history: DataFrame | None = None
+) -> DataFrame:
     """Adds ``prompt_context``: a header and all earlier chapters.
 
     Empty until one earlier chapter has a summary; from then on chapters
-    without one are listed too.
+    without one are listed too. ``history`` may give the same chapters by a
+    cheaper plan, where ``chapters`` has been joined to other tables.
     """
     entry = F.concat(
         F.lit("\n"),
@@ -105,7 +123,7 @@ def prompt_context(chapters: DataFrame, segment: int | None = SEGMENT) -> DataFr
         F.coalesce("summary", F.lit(NO_SUMMARY)),
         F.lit("\n"),
     )
-    rows = _running(chapters, entry, "", segment)
+    rows = _running(chapters, entry, "", segment, history)
     context = F.when(
         (F.col("chapter_number") > 1) & F.col("_any"), F.concat(F.lit(CONTEXT_HEADER), F.col("_before"))
     ).otherwise(F.lit(""))

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quireflow.functions.text import UNTITLED, has
+from quireflow.functions.text import UNTITLED
 from quireflow.operators.context import CONTEXT_HEADER, NO_SUMMARY
 from quireflow.operators.prompts import (
     CHAPTER_TOKENS,
@@ -42,12 +42,20 @@ def _attempt(backend, prompt: str, max_tokens: int, temperature: float) -> tuple
 
 
 def generate_text(
-    prompts: DataFrame, backend: Backend, max_tokens: int, temperature: float = TEMPERATURE
+    prompts: DataFrame,
+    backend: Backend,
+    max_tokens: int,
+    temperature: float = TEMPERATURE,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Replaces ``prompt`` by ``text`` and ``error``; other columns pass through.
 
-    Rows that already carry an error are passed on untouched.
+    Rows that already carry an error are passed on untouched. A backend is
+    slow next to a scan: ``tasks`` deals the prompts out evenly over that many
+    tasks, where the files would give fewer or uneven ones.
     """
+    if tasks is not None:
+        prompts = prompts.repartition(tasks)
     keep = [f for f in prompts.schema.fields if f.name not in ("prompt", "error", "text")]
     schema = T.StructType(
         keep + [T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]
@@ -78,6 +86,7 @@ def generate_chapters(
     chapters: DataFrame,
     backend: Backend,
     templates: Mapping[str, str] = TEMPLATES,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Writes the planned chapters of every book, each aware of the ones before.
 
@@ -87,7 +96,15 @@ def generate_chapters(
     streamed: a task holds one Arrow batch and the running context of one
     book, never a whole group. Only books with work enter, without their
     existing texts. A failure ends that book; its earlier chapters are kept.
+
+    The rows are few bytes and much work, so their number of tasks is set
+    (``tasks``, by default the shuffle partitions, at least one per core) and
+    not left to adaptive coalescing, which goes by bytes.
     """
+    spark = chapters.sparkSession
+    tasks = tasks or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
     work = plan.where(F.col("work") == "generate").select("book_id", "chapter_number")
     active = work.select("book_id").distinct()
     owners = books.join(active.withColumnRenamed("book_id", "id"), "id", "left_semi").select(
@@ -145,7 +162,7 @@ def generate_chapters(
 
     return (
         rows.withColumnRenamed("_due", "due")
-        .repartition("book_id")
+        .repartition(tasks, "book_id")
         .sortWithinPartitions("book_id", "chapter_number")
         .mapInPandas(run, schema)
     )

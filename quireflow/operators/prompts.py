@@ -84,7 +84,9 @@ def chapter_prompts(
     """A prompt per chapter still without content, with all that came before.
 
     Contexts are built from narrow columns; ``content`` is reduced to a flag
-    first so that it is never shuffled.
+    first so that it is never shuffled. The book's title and outline join
+    before the contexts exist, so that the contexts, the large part of a
+    prompt, are not shuffled either; only rows due for a prompt carry them.
     """
     narrow = chapters.select(
         "book_id",
@@ -94,8 +96,11 @@ def chapter_prompts(
         "notes",
         written(chapters).alias("_written"),
     )
-    due = prompt_context(narrow, segment).where(~F.col("_written"))
     owners = books.select(F.col("id").alias("book_id"), F.col("title").alias("book_title"), "outline")
+    owned = narrow.join(owners, "book_id", "inner").withColumns(
+        {c: F.when(~F.col("_written"), F.col(c)) for c in ("book_title", "outline", "notes")}
+    )
+    due = prompt_context(owned, segment, history=narrow).where(~F.col("_written"))
     notes = F.when(has(F.col("notes")), fill(templates["notes_section"], {"notes": F.col("notes")}))
     slots = {
         "title": F.col("book_title"),
@@ -105,9 +110,7 @@ def chapter_prompts(
         "chapter_title": title_or_default(F.col("title")),
         "notes_section": notes,
     }
-    return due.join(owners, "book_id", "inner").select(
-        "book_id", "chapter_number", fill(templates["chapter"], slots).alias("prompt")
-    )
+    return due.select("book_id", "chapter_number", fill(templates["chapter"], slots).alias("prompt"))
 
 
 def _with_owner(chapters: DataFrame, books: DataFrame) -> DataFrame:

@@ -105,9 +105,10 @@ def transitions(changes: DataFrame, keys: list[str], value: str, block: int = SE
 
     ``lag`` runs inside blocks of sequence numbers; the value a block starts
     from is the last one of the block before, taken from one row per key and
-    block. A key with very many changes is spread over its blocks.
+    block. A key with very many changes is spread over its blocks, by a stated
+    layout: an earlier join by key would otherwise serve the window as well.
     """
-    rows = changes.withColumn("_block", F.floor(F.col("seq") / block))
+    rows = changes.withColumn("_block", F.floor(F.col("seq") / block)).repartition(*keys, "_block")
     inside = Window.partitionBy(*keys, "_block").orderBy("seq")
     local = rows.withColumn("_n", F.row_number().over(inside)).withColumn("_prev", F.lag(value).over(inside))
     lasts = rows.groupBy(*keys, "_block").agg(F.max_by(F.struct(value), F.col("seq")).alias("_last"))

@@ -55,6 +55,12 @@ def test_context_is_grouped_by_segment(spark, no_broadcast):
     assert len(by_segment) >= 2, found
 
 
+def test_prompts_are_not_shuffled(spark, no_broadcast):
+    plan = plan_of(queries()["chapter_prompts"](spark, SF))
+    window = plan.index("Window")
+    assert "Exchange" not in plan[:window]
+
+
 def test_rendering_rows_needs_no_shuffle(spark):
     books = spark.range(5).selectExpr("id", "'t' AS title")
     chapters = spark.range(5).selectExpr(
