@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quireflow.llm import chat, lines, rules, substring
+from quireflow.llm import bpe, chat, lines, quality, rules, substring
 
 QUERIES = {
     q.__name__: q
     for q in (
         chat.op1_chat_format,
+        quality.op3_quality_classifier,
         rules.op7_quality_rules,
         substring.op8_substring_dedup,
+        bpe.op9_bpe,
         lines.op10_line_dedup,
     )
 }
