@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quireflow.llm import bpe, chat, lines, quality, rules, substring
+from quireflow.llm import bpe, chat, lines, near, quality, rules, substring
 
 QUERIES = {
     q.__name__: q
     for q in (
         chat.op1_chat_format,
+        near.op2_minhash_dedup,
         quality.op3_quality_classifier,
         rules.op7_quality_rules,
         substring.op8_substring_dedup,
