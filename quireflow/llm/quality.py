@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quireflow.llm.arrays import flat, pieces
 from quireflow.llm.common import col, documents
@@ -30,6 +30,7 @@ STEPS = 700
 BATCH = 32
 FILTERS = 32
 DIM, WIDTH, STEP, HOP = 8, 8, 4, 256
+REACH = WIDTH - STEP
 ACCEPT = 0.3
 
 
@@ -47,23 +48,27 @@ class Network:
         }
 
     def _padded(self, data: np.ndarray, offsets: np.ndarray):
-        """Every document padded with zero bytes to whole hops; the first hop of each."""
+        """Hops of whole documents, padded with zero bytes, each with the bytes that its last
+        filter reaches over; the first hop of each document."""
         sizes = np.diff(offsets)
-        hops = np.maximum(1, -(-sizes // HOP))
-        first = np.concatenate([[0], np.cumsum(hops)])
-        out = np.zeros(first[-1] * HOP + WIDTH - STEP, np.uint8)
+        first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-sizes // HOP)))])
+        out = np.zeros(first[-1] * HOP, np.uint8)
         shift = np.repeat(first[:-1] * HOP - offsets[:-1], sizes)
         out[np.arange(len(data)) + shift] = data
-        return out, first
+        hops = np.zeros((first[-1], HOP + REACH), np.uint8)
+        hops[:, :HOP] = out.reshape(-1, HOP)
+        hops[:-1, HOP:] = hops[1:, :REACH]
+        hops[first[1:] - 1, HOP:] = 0
+        return hops, first
 
     def _hops(self, padded: np.ndarray, argmax: bool = False):
         """Activations max-pooled by hop, and where each maximum lies."""
-        rows = self.w["embed"][padded].reshape(-1, STEP * DIM)
         half = STEP * DIM
-        act = rows[:-1] @ self.w["filters"][:half] + rows[1:] @ self.w["filters"][half:]
-        act = act.reshape(-1, HOP // STEP, FILTERS)
-        top = act.max(1) + self.w["shift"]
-        return np.maximum(top, 0), act.argmax(1) if argmax else None
+        rows = self.w["embed"][padded].reshape(-1, half)
+        left = (rows @ self.w["filters"][:half]).reshape(len(padded), -1, FILTERS)
+        right = (rows @ self.w["filters"][half:]).reshape(len(padded), -1, FILTERS)
+        act = left[:, :-1] + right[:, 1:]
+        return np.maximum(act.max(1) + self.w["shift"], 0), act.argmax(1) if argmax else None
 
     def _pooled(self, hops: np.ndarray, first: np.ndarray):
         """Chunks of two hops each, and per document their mean, maximum and minimum."""
@@ -84,7 +89,7 @@ class Network:
         top = []
         for at in range(0, first[-1], 1024):  # so that activations stay small
             stop = min(first[-1], at + 1024)
-            top.append(self._hops(padded[at * HOP : stop * HOP + WIDTH - STEP])[0])
+            top.append(self._hops(padded[at:stop])[0])
         features = self._pooled(np.concatenate(top), first)[2]
         z = (features @ self.w["last"] + self.w["bias"]).astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -106,8 +111,7 @@ class Network:
         np.add.at(d_hop, after, np.where(own, 0, d_chunk))
         d_hop *= hops > 0
         # Only the byte window of each maximum takes part.
-        where = (np.arange(len(hops))[:, None] * HOP + at * STEP)[:, :, None] + np.arange(WIDTH)
-        windows = padded[where]
+        windows = padded[np.arange(len(hops))[:, None, None], (at * STEP)[:, :, None] + np.arange(WIDTH)]
         seen = self.w["embed"][windows].reshape(len(hops), FILTERS, WIDTH * DIM)
         d_filters = np.einsum("hf,hfk->kf", d_hop, seen)
         d_seen = (d_hop[:, :, None] * self.w["filters"].T).reshape(-1, DIM)
@@ -165,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = 5, sample: int =
 def add_scores(docs: DataFrame, network: Network, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with a score column; one narrow pass over whole texts."""
     at = docs.columns.index(text)
-    schema = docs.schema.add(score, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
 
     def run(batches):
         for batch in pieces(batches, at):
