@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quireflow.llm import bpe, chat, decontaminate, lines, near, quality, rules, substring
+from quireflow.llm import bpe, chat, decontaminate, lines, lm, near, quality, rules, substring
 
 QUERIES = {
     q.__name__: q
@@ -10,6 +10,7 @@ QUERIES = {
         chat.op1_chat_format,
         near.op2_minhash_dedup,
         quality.op3_quality_classifier,
+        lm.op4_lm_score,
         decontaminate.op6_decontamination,
         rules.op7_quality_rules,
         substring.op8_substring_dedup,
