@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quireflow.llm import bpe, chat, decontaminate, lines, lm, near, quality, rules, substring
+from quireflow.llm import bpe, chat, decontaminate, lines, lm, near, quality, rules, substring, suffix
 
 QUERIES = {
     q.__name__: q
@@ -11,6 +11,7 @@ QUERIES = {
         near.op2_minhash_dedup,
         quality.op3_quality_classifier,
         lm.op4_lm_score,
+        suffix.op5_suffix_dedup,
         decontaminate.op6_decontamination,
         rules.op7_quality_rules,
         substring.op8_substring_dedup,
