@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text that are worked on at once in a task.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +80,8 @@ _TABLES: dict = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_TABLES.get("up", ())) < n:
-        _TABLES["up"], _TABLES["down"] = powers(2 * n, int(BASE)), powers(2 * n, _INVERSE)
+        size = 1 << n.bit_length()
+        _TABLES["up"], _TABLES["down"] = powers(size, int(BASE)), powers(size, _INVERSE)
     return _TABLES["up"], _TABLES["down"]
 
 
