@@ -7,19 +7,20 @@ done by unnesting and re-aggregating where Spark stays inside arrays.
 from __future__ import annotations
 
 from quireflow.functions.templates import template_parts
-from quireflow.functions.text import SPACES
 from quireflow.operators.notify import MESSAGES
 from quireflow.operators.prompts import TEMPLATES
 
 NL = "chr(10)"
+# White space, as code points.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
 AS_OF = "TIMESTAMP '2024-06-30 12:00:00'"
 
 VIEWS = {
     "chapters": """
 SELECT conv_id * 100 + turn AS id, conv_id AS book_id, CAST(turn + 1 AS INT) AS chapter_number,
-  CASE WHEN (conv_id + turn) % 9 = 8 THEN NULL ELSE substr(replace(text, chr(10), ' '), 1, 24) END AS title,
+  CASE WHEN (conv_id + turn) % 9 = 8 THEN NULL ELSE replace(text, chr(10), ' ') END AS title,
   CASE WHEN (conv_id + turn) % 4 = 3 THEN NULL WHEN (conv_id + turn) % 11 = 10 THEN '' ELSE text END AS content,
-  CASE WHEN (conv_id + turn) % 4 = 3 OR (conv_id + turn) % 7 = 0 THEN NULL ELSE substr(text, 1, 100) END AS summary,
+  CASE WHEN (conv_id + turn) % 4 = 3 OR (conv_id + turn) % 7 = 0 THEN NULL ELSE text END AS summary,
   CASE WHEN (conv_id * 3 + turn) % 5 = 0 THEN 'tighten' WHEN (conv_id * 3 + turn) % 5 = 1 THEN '' END AS notes,
   CASE (conv_id * 5 + turn * 3) % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'yes' WHEN 2 THEN 'no'
     WHEN 3 THEN 'no_notes_needed' END AS notes_status,
@@ -29,7 +30,7 @@ FROM conversations""",
     "books": """
 SELECT book_id AS id, 'Book ' || CAST(book_id AS VARCHAR) || ': a/b' AS title,
   CASE WHEN book_id % 6 = 5 THEN '' ELSE 'notes ' || CAST(book_id AS VARCHAR) END AS notes_on_outline_before,
-  CASE WHEN book_id % 5 = 4 THEN NULL ELSE '## Chapter 1: Start' END AS outline,
+  CASE WHEN book_id % 5 = 4 THEN NULL ELSE outline END AS outline,
   CASE WHEN book_id % 3 = 0 THEN 'shorter' END AS notes_on_outline_after,
   CASE book_id % 5 WHEN 0 THEN 'no_notes_needed' WHEN 1 THEN 'yes' WHEN 2 THEN 'no' WHEN 3 THEN 'pending' END
     AS status_outline_notes,
@@ -38,16 +39,16 @@ SELECT book_id AS id, 'Book ' || CAST(book_id AS VARCHAR) || ': a/b' AS title,
   CASE book_id % 7 WHEN 0 THEN 'completed' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'paused' WHEN 3 THEN 'error'
     ELSE 'pending' END AS book_output_status,
   CAST(DATE '2024-01-01' + CAST(book_id % 300 AS INT) AS TIMESTAMP) AS created_at
-FROM (SELECT DISTINCT conv_id AS book_id FROM conversations
-      UNION SELECT CAST(n_nationkey + 1000000 AS BIGINT) FROM nation) b""",
+FROM (SELECT book_id, outline FROM outlines UNION ALL SELECT CAST(n_nationkey + 1000000 AS BIGINT),
+      '## Chapter 1: ' || n_name || chr(10) || chr(10) || '## Chapter 2: Region ' || n_regionkey FROM nation) b""",
     "submissions": """
-SELECT CAST(p_partkey + 2 AS INT) AS row_number,
+SELECT CAST(p_partkey + 2 AS BIGINT) AS row_number,
   CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 17 = 1 THEN '' WHEN p_partkey % 17 = 2 THEN '  '
     WHEN p_partkey % 3 = 0 THEN '  ' || upper(p_name) || chr(9) ELSE p_name END AS title,
   CASE p_partkey % 4 WHEN 1 THEN '' WHEN 2 THEN '  ' WHEN 3 THEN NULL ELSE ' ' || p_type || ' ' END
     AS notes_on_outline_before
 FROM part""",
-    "library": "SELECT DISTINCT p_name AS title FROM part WHERE p_partkey % 50 = 0",
+    "library": "SELECT p_name AS title FROM part GROUP BY p_name HAVING count(*) % 2 = 0",
     "outlines": """
 SELECT book_id, string_agg(h, chr(10) || chr(10) ORDER BY k) AS outline FROM (
   SELECT book_id, k, CASE book_id % 5
@@ -55,7 +56,7 @@ SELECT book_id, string_agg(h, chr(10) || chr(10) ORDER BY k) AS outline FROM (
       WHEN 2 THEN '## ' || n || '. ' || t WHEN 3 THEN '**Chapter ' || n || ': ' || t || '**'
       ELSE '## ' || t END || chr(10) || 'about ' || n AS h
   FROM (SELECT conv_id AS book_id, turn AS k, CAST(turn % 5 + 1 AS VARCHAR) AS n,
-          substr(replace(replace(text, chr(10), ' '), '*', ''), 1, 20) AS t FROM conversations) x) y
+          replace(replace(text, chr(10), ' '), '*', '') AS t FROM conversations) x) y
 GROUP BY book_id""",
     "markdown": """
 SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i:
@@ -106,7 +107,7 @@ SELECT event_id AS seq, user_id AS book_id, CAST(event_id % 4 + 1 AS INT) AS cha
   ts AS changed_at
 FROM events""",
 }
-NEEDS = {"md_chapters": ("markdown",)}
+NEEDS = {"md_chapters": ("markdown",), "books": ("outlines",)}
 
 ORACLE: dict[str, str] = {}
 
@@ -199,6 +200,12 @@ put(
     """ SELECT row_number, nullif(title, '') AS title, nullif(notes_on_outline_before, '') AS notes_on_outline_before
   FROM submissions""",
 )
+put(
+    "read_plain_sheet",
+    ("submissions",),
+    """ SELECT row_number, nullif(title, '') AS title, nullif(notes_on_outline_before, '') AS notes_on_outline_before
+  FROM submissions""",
+)
 CLEANED = f""",
 cleaned AS (SELECT row_number, {strip('title')} AS title,
   CASE WHEN notes_on_outline_before <> '' THEN {strip('notes_on_outline_before')}
@@ -240,13 +247,24 @@ labelled AS (SELECT row_number, title, notes_on_outline_before,
   FROM ranked)"""
 )
 SUB = ("submissions", "library")
+put(
+    "dedupe_two_sheets",
+    SUB,
+    CLEANED.replace("FROM submissions", "FROM (SELECT * FROM submissions UNION ALL SELECT row_number, lower(title), notes_on_outline_before FROM submissions) s")
+    + f""",
+valid AS (SELECT *, lower({strip('title')}) AS k FROM cleaned WHERE {has('notes_on_outline_before')}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY row_number, title, notes_on_outline_before) AS rn FROM valid)
+SELECT row_number, title, notes_on_outline_before,
+  CASE WHEN rn = 1 AND k NOT IN (SELECT lower({strip('title')}) FROM library) THEN 'created' ELSE 'skipped' END AS label FROM ranked""",
+)
 put("dedupe_submissions", SUB, DEDUPED + " SELECT * FROM labelled")
 put(
     "append_with_defaults",
     SUB,
     DEDUPED
-    + """ SELECT sha256(title) AS id, title, notes_on_outline_before, 'pending' AS status_outline_notes,
-  'pending' AS final_review_notes_status, 'pending' AS book_output_status FROM labelled WHERE label = 'created'""",
+    + """ SELECT sha256('{"title":"' || title || '"}') AS id, title, notes_on_outline_before, 'pending' AS status_outline_notes,
+  'pending' AS final_review_notes_status, 'pending' AS book_output_status, TIMESTAMP '2024-06-30 12:00:00' AS created_at,
+  TIMESTAMP '2024-06-30 12:00:00' AS updated_at FROM labelled WHERE label = 'created'""",
 )
 put(
     "ingest_summary",
@@ -316,7 +334,7 @@ SELECT doc_id AS id, substr(title, 1, 40) AS title_card, substr(title, 1, 30) AS
   CASE WHEN text = '' THEN NULL WHEN length(text) > 3000 THEN substr(text, 1, 3000) || '...' ELSE text END
     AS content_preview,
   substr(text, 1, 8000) AS content_for_summary, substr(text, 1, 100) || '...' AS summary_preview
-FROM (SELECT *, lang || ' ' || substr(text, 1, 60) AS title FROM documents) d"""
+FROM (SELECT *, lang || ' ' || text AS title FROM documents) d"""
 ORACLE["outline_previews"] = (
     "SELECT doc_id AS id, substr(text, 1, 500) || '...' AS outline_preview FROM documents WHERE text <> ''"
 )
@@ -503,8 +521,9 @@ put(
     "init_chapters",
     BC,
     f""" SELECT id, book_id, chapter_number, title, status, notes_status FROM chapters
-UNION ALL SELECT NULL, id, 1, 'Start', 'pending', 'pending' FROM books
-  WHERE {has('outline')} AND id NOT IN (SELECT book_id FROM chapters)""",
+UNION ALL SELECT b.id * 100 + k, b.id, k + 1, CASE k WHEN 0 THEN n_name ELSE 'Region ' || n_regionkey END, 'pending', 'pending'
+  FROM books b JOIN nation ON b.id = n_nationkey + 1000000, (VALUES (0), (1)) v(k)
+  WHERE {has('b.outline')} AND b.id NOT IN (SELECT book_id FROM chapters)""",
 )
 
 # -- row changes -------------------------------------------------------------------
@@ -733,21 +752,24 @@ form_union = " UNION ALL ".join(
 PARSED = f""",
 found AS ({form_union}),
 best AS (SELECT *, min(form) OVER (PARTITION BY book_id) AS chosen FROM found),
-numbered AS (SELECT book_id, TRY_CAST(n AS INT) AS chapter_number, t, pos FROM best WHERE form = chosen),
+numbered AS (SELECT book_id, TRY_CAST(n AS BIGINT) AS chapter_number, t, pos FROM best WHERE form = chosen),
 generic AS (SELECT book_id, unnest(h) AS t, unnest(range(1, len(h) + 1)) AS pos FROM (
-    SELECT book_id, regexp_extract_all(outline, '##{WS}*([^\\n]+)', 1)[1:10] AS h FROM outlines
+    SELECT book_id, regexp_extract_all(outline, '##{WS}*([^\\n]+)', 1) AS h FROM outlines
     WHERE book_id NOT IN (SELECT book_id FROM found)) g),
 parsed AS (
   SELECT book_id, chapter_number, {strip("rtrim(" + strip("arg_min(t, pos)") + ", '*')")} AS title
     FROM numbered WHERE chapter_number IS NOT NULL GROUP BY book_id, chapter_number
-  UNION ALL SELECT book_id, CAST(pos AS INT), title FROM (
+  UNION ALL SELECT book_id, CAST(pos AS BIGINT), title FROM (
     SELECT book_id, pos, {strip("rtrim(" + strip("t") + ", ':')")} AS title FROM generic) q WHERE length(title) > 3)"""
 put("parse_outline", ("outlines",), PARSED + " SELECT *, '' AS description FROM parsed")
 put(
     "outline_number_audit",
     ("outlines",),
     PARSED
-    + """ SELECT o.book_id, CAST(count(n.book_id) FILTER (n.chapter_number IS NULL) AS INT) AS unreadable
+    + """ SELECT o.book_id, CAST(count(n.book_id) FILTER (n.chapter_number IS NULL) AS INT) AS unreadable,
+  CAST((SELECT count(*) FROM generic g WHERE g.book_id = o.book_id AND length("""
+    + strip("rtrim(" + strip("g.t") + ", ':')")
+    + """) <= 3) AS INT) AS too_short
   FROM outlines o LEFT JOIN numbered n ON n.book_id = o.book_id GROUP BY o.book_id""",
 )
 put("clean_markdown", ("markdown",), f" SELECT doc_id, {clean('content')} AS plain FROM markdown")
@@ -863,12 +885,11 @@ bodies AS (SELECT book_id, chapter_number, {RULE} || {NL} || 'CHAPTER ' || chapt
     + MD_GATE
     + f""",
 texts AS (
-  SELECT id AS book_id, 0 AS section, 0 AS part, {TITLE_PAGE} AS text FROM ready
-  UNION ALL SELECT book_id, 1, 0, string_agg('    Chapter ' || chapter_number || ': ' || coalesce(title, 'Untitled'), {NL}
-    ORDER BY chapter_number) FROM md_chapters WHERE content <> '' AND book_id IN (SELECT id FROM ready) GROUP BY book_id
-  UNION ALL SELECT id, 2, 0, {NL} FROM ready
-  UNION ALL SELECT book_id, 3, 0, string_agg(body, {NL} ORDER BY chapter_number) FROM bodies
-    WHERE book_id IN (SELECT id FROM ready) GROUP BY book_id)"""
+  SELECT id AS book_id, 0 AS section, CAST(NULL AS INT) AS chapter_number, {TITLE_PAGE} AS text FROM ready
+  UNION ALL SELECT book_id, 1, chapter_number, '    Chapter ' || chapter_number || ': ' || coalesce(title, 'Untitled')
+    FROM md_chapters WHERE content <> '' AND book_id IN (SELECT id FROM ready)
+  UNION ALL SELECT id, 2, NULL, {NL} FROM ready
+  UNION ALL SELECT book_id, 3, chapter_number, body FROM bodies WHERE book_id IN (SELECT id FROM ready))"""
 )
 MDV = ("md_chapters", "md_books")
 put("compile_text", MDV, TEXTS + " SELECT * FROM texts")
@@ -876,8 +897,8 @@ put(
     "write_text_books",
     MDV,
     TEXTS
-    + """ SELECT book_id AS id, true AS has_path, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT)
-  AS n_lines FROM texts GROUP BY book_id""",
+    + """ SELECT book_id AS id, true AS has_path,
+  sha256(string_agg(text, chr(10) ORDER BY section, chapter_number) || chr(10)) AS text_sha256 FROM texts GROUP BY book_id""",
 )
 
 
@@ -1014,7 +1035,7 @@ put(
     MDV,
     f""" SELECT c.book_id, c.chapter_number, {fill(
         TEMPLATES['summary'], title='b.title', number='c.chapter_number', chapter_title=TITLED,
-        content='substr(c.content, 1, 8000)')} AS prompt
+        content='c.content')} AS prompt
   FROM md_chapters c JOIN md_books b ON b.id = c.book_id WHERE c.content <> ''""",
 )
 put(

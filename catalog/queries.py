@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quireflow.functions import markdown as md, text as tx
-from quireflow.functions.outline import unreadable_numbers
+from quireflow.functions.outline import short_headings, unreadable_numbers
 from quireflow.operators import audit, context, gates, generate, ingest, mutations, notify, prompts, queues, rollups
 from quireflow.plans import render
 from quireflow.schemas import conform
-from quireflow.session import shared_dir as _shared_dir
+from quireflow.session import shared_dir
 from quireflow.sources import tables, views as v
 from quireflow.streaming import streams
 
@@ -23,13 +22,6 @@ LONG = T.LongType()
 BOOK, CHAPTER, UP_TO = 7, 702, 3
 
 
-def shared_dir(spark, name):
-    """A folder for written results; a local session without one gets its own."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local"):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shared-"))
-    return _shared_dir(spark, name)
-
-
 def as_of():
     return F.lit("2024-06-30 12:00:00").cast("timestamp_ntz")
 
@@ -68,6 +60,25 @@ def read_submissions(spark, sf):
     return tables.read_submissions(spark, path)
 
 
+@query
+def read_plain_sheet(spark, sf):
+    """A sheet of titles and notes alone; its rows are numbered by place."""
+    path = shared_dir(spark, "plain-sheet")
+    sheet = v.submissions(spark, sf).repartitionByRange(1, "row_number").sortWithinPartitions("row_number")
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    sheet.drop("row_number").write.option("header", True).option("escape", '"').options(**keep).csv(path)
+    return tables.read_submissions(spark, path)
+
+
+@query
+def dedupe_two_sheets(spark, sf):
+    """Two sheets with the same row numbers, the second in another spelling."""
+    sheet = v.submissions(spark, sf)
+    other = sheet.withColumn("title", F.lower("title"))
+    valid = ingest.valid_submissions(ingest.clean_submissions(sheet.unionByName(other)))
+    return ingest.dedupe_submissions(valid, v.library(spark, sf))
+
+
 @query
 def clean_submissions(spark, sf):
     return ingest.clean_submissions(v.submissions(spark, sf))
@@ -96,7 +107,7 @@ def scan_log(spark, sf):
 @query
 def append_with_defaults(spark, sf):
     created = dedupe_submissions(spark, sf).where("label = 'created'")
-    rows = tables.append_with_defaults(created, "books", ["title"])
+    rows = _flat(tables.append_with_defaults(created, "books", ["title"], as_of=as_of()))
     return rows.select(
         "id",
         "title",
@@ -104,6 +115,8 @@ def append_with_defaults(spark, sf):
         "status_outline_notes",
         "final_review_notes_status",
         "book_output_status",
+        "created_at",
+        "updated_at",
     )
 
 
@@ -118,9 +131,12 @@ def write_text_books(spark, sf):
     books, texts = _compiled(spark, sf)
     path = shared_dir(spark, "text-books")
     patches = tables.write_text_books(spark, texts, books, path, files=True)
-    lines = spark.read.text(f"{path}/files").groupBy("book_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    return lines.join(patches, lines.book_id.cast("bigint") == patches.id).select(
-        "id", F.col("output_txt_path").isNotNull().alias("has_path"), "n_lines"
+    # The files of a book read in the order of their names.
+    pages = spark.read.text(f"{path}/files", wholetext=True).select("book_id", "value", F.col("_metadata.file_path").alias("file"))
+    whole = pages.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("file", "value"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["value"]), "")
+    return whole.join(patches, whole.book_id.cast("bigint") == patches.id).select(
+        "id", F.col("output_txt_path").isNotNull().alias("has_path"), F.sha2(text, 256).alias("text_sha256")
     )
 
 
@@ -216,7 +232,7 @@ def next_book(spark, sf):
 @query
 def previews(spark, sf):
     docs = v.table(spark, sf, "documents").selectExpr(
-        "doc_id AS id", "lang || ' ' || substr(text, 1, 60) AS title", "text AS content", "text AS summary"
+        "doc_id AS id", "lang || ' ' || text AS title", "text AS content", "text AS summary"
     )
     return queues.chapter_previews(docs)
 
@@ -349,7 +365,8 @@ def orphans(spark, sf):
 
 @query
 def init_chapters(spark, sf):
-    rows = context.initial_chapters(v.books(spark, sf), v.chapters(spark, sf))
+    made = F.col("book_id") * 100 + F.col("chapter_number") - 1
+    rows = context.initial_chapters(v.books(spark, sf), v.chapters(spark, sf), made)
     return rows.select("id", "book_id", "chapter_number", "title", "status", "notes_status")
 
 
@@ -567,7 +584,10 @@ def parse_outline(spark, sf):
 
 @query
 def outline_number_audit(spark, sf):
-    return v.outlines(spark, sf).select("book_id", unreadable_numbers(F.col("outline")).alias("unreadable"))
+    outline = F.col("outline")
+    return v.outlines(spark, sf).select(
+        "book_id", unreadable_numbers(outline).alias("unreadable"), short_headings(outline).alias("too_short")
+    )
 
 
 @query

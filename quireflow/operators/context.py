@@ -4,16 +4,16 @@ The text in front of chapter n holds every earlier summary, so a book's
 output grows with the square of its length whatever the plan. To keep one
 long book from becoming one task, chapters are cut into segments by number:
 the running text inside a segment needs only that segment, and the text of
-whole earlier segments is added from a side table that exists for long books
-alone. The chapter numbers of a book are unique, so a segment is bounded.
+whole earlier segments is added from a side table. The chapter numbers of a book are unique, so a segment is bounded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quireflow.functions.outline import outline_chapters
 from quireflow.functions.text import has, title_or_default, written
+from quireflow.sources.tables import row_id
 
 SEGMENT = 256
 
@@ -61,15 +61,13 @@ def _running(
         out = local.withColumn("_before", F.array_join("_parts", separator))
     else:
         narrow = marked(history).select("book_id", "chapter_number", "_seg", "_entry", "_has")
-        long_books = history.where((number >= segment) | (number < 0)).select("book_id").distinct()
         ordered = F.array_sort(
             F.collect_list(F.when(F.col("_entry").isNotNull(), F.struct("chapter_number", "_entry")))
         )
         segments = (
-            narrow.join(long_books, "book_id", "left_semi")
-            # Without this the layout of the join, by book, would serve the
-            # grouping too and hold a long book in one task.
-            .repartition("book_id", "_seg")
+            # A layout of the history by book would serve the grouping too and
+            # hold a long book in one task.
+            narrow.repartition("book_id", "_seg")
             .groupBy("book_id", "_seg")
             .agg(
                 F.transform(ordered, lambda x: x["_entry"]).alias("_texts"),
@@ -139,8 +137,19 @@ def table_of_contents(chapters: DataFrame) -> DataFrame:
     )
 
 
-def initial_chapters(books: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Existing chapters, plus those an outline names for books without any."""
+def initial_chapters(
+    books: DataFrame, chapters: DataFrame, new_id: Column | None = None, as_of: Column | None = None
+) -> DataFrame:
+    """Existing chapters, plus those an outline names for books without any.
+
+    New rows get ``new_id``, by default a hash of book and number, and are
+    stamped with ``as_of``. Headings whose number does not fit the chapters'
+    column name no chapter; ``outline_number_audit`` counts them.
+    """
+    kinds = {f.name: f.dataType for f in chapters.schema.fields}
+    id_type = kinds.get("id", T.StringType())
+    if new_id is None:
+        new_id = row_id(id_type, book_id=F.col("book_id"), chapter_number=F.col("chapter_number"))
     started = chapters.select(F.col("book_id").alias("id")).distinct()
     fresh = (
         books.where(has(F.col("outline")))
@@ -149,12 +158,19 @@ def initial_chapters(books: DataFrame, chapters: DataFrame) -> DataFrame:
         .select(F.col("id").alias("book_id"), F.explode(outline_chapters(F.col("outline"))).alias("c"))
         .select(
             "book_id",
-            F.col("c.chapter_number").alias("chapter_number"),
+            F.col("c.chapter_number").try_cast(kinds["chapter_number"]).alias("chapter_number"),
             F.col("c.title").alias("title"),
             F.lit("pending").alias("status"),
             F.lit("pending").alias("notes_status"),
         )
     )
+    fresh = fresh.where(F.col("chapter_number").isNotNull())
+    if "id" in kinds:
+        fresh = fresh.withColumn("id", new_id.cast(id_type))
+    if as_of is not None:
+        for name in ("created_at", "updated_at"):
+            if name in kinds:
+                fresh = fresh.withColumn(name, as_of.cast(kinds[name]))
     if "has_content" in chapters.columns:
         fresh = fresh.withColumn("has_content", F.lit(False))
     return chapters.unionByName(fresh, allowMissingColumns=True)

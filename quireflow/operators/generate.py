@@ -18,7 +18,6 @@ from quireflow.functions.text import UNTITLED
 from quireflow.operators.context import CONTEXT_HEADER, NO_SUMMARY
 from quireflow.operators.prompts import (
     CHAPTER_TOKENS,
-    SUMMARY_INPUT,
     SUMMARY_TOKENS,
     TEMPERATURE,
     TEMPLATES,
@@ -87,6 +86,7 @@ def generate_chapters(
     backend: Backend,
     templates: Mapping[str, str] = TEMPLATES,
     tasks: int | None = None,
+    summary_input: int | None = None,
 ) -> DataFrame:
     """Writes the planned chapters of every book, each aware of the ones before.
 
@@ -99,7 +99,8 @@ def generate_chapters(
 
     The rows are few bytes and much work, so their number of tasks is set
     (``tasks``, by default the shuffle partitions, at least one per core) and
-    not left to adaptive coalescing, which goes by bytes.
+    not left to adaptive coalescing, which goes by bytes. Summaries are made from
+    whole chapters unless ``summary_input`` bounds their characters.
     """
     spark = chapters.sparkSession
     tasks = tasks or max(
@@ -148,7 +149,7 @@ def generate_chapters(
                     content, error = _attempt(opened, prompt, CHAPTER_TOKENS, TEMPERATURE)
                     written = None
                     if error is None:
-                        request = templates["summary"].format(content=content[:SUMMARY_INPUT], **shared)
+                        request = templates["summary"].format(content=content[:summary_input], **shared)
                         written, error = _attempt(opened, request, SUMMARY_TOKENS, TEMPERATURE)
                     if error is None:
                         summary = written

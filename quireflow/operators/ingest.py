@@ -34,24 +34,31 @@ def valid_submissions(cleaned: DataFrame) -> DataFrame:
 def dedupe_submissions(valid: DataFrame, library: DataFrame) -> DataFrame:
     """Label each submission ``created`` or ``skipped``.
 
-    A title is created once, by its lowest row number, and only if the library
-    does not hold it. The lowest row per title comes from a two-phase minimum,
-    and the result is joined back on (title, row number), which is unique: a
-    title that fills a third of the submissions is spread over all tasks in
-    both steps.
+    A title is created exactly once, by its first row in the order of row
+    number and then of the other columns, and only if the library does not hold
+    it. Row numbers restart in every sheet, so rows may agree in all columns;
+    these are counted together and all but one of them are skipped. The first
+    row per title comes from a two-phase minimum and is joined back on the whole
+    row, so a title that fills a third of the submissions is spread over all
+    tasks in both steps.
     """
-    keyed = valid.withColumn("_key", title_key(F.col("title")))
+    columns = valid.columns
+    rows = valid.groupBy(*columns).agg(F.count("*").alias("_n"))
+    order = F.struct("row_number", *[c for c in columns if c != "row_number"])
+    keyed = rows.withColumn("_key", title_key(F.col("title"))).withColumn("_row", order)
     held = library.select(title_key(F.col("title")).alias("_key")).distinct()
-    created = (
+    first = (
         keyed.groupBy("_key")
-        .agg(F.min("row_number").alias("row_number"))
+        .agg(F.min("_row").alias("_first"))
         .join(held, "_key", "left_anti")
-        .withColumn("_new", F.lit(True))
+        .select(F.col("_key").alias("_first_key"), "_first")
     )
+    same = (F.col("_key") == F.col("_first_key")) & F.col("_row").eqNullSafe(F.col("_first"))
+    created = F.col("_first_key").isNotNull() & (F.col("_copy") == 1)
     return (
-        keyed.join(created, ["_key", "row_number"], "left")
-        .withColumn("label", F.when(F.col("_new"), "created").otherwise("skipped"))
-        .drop("_key", "_new")
+        keyed.join(first, same, "left")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
+        .select(*columns, F.when(created, "created").otherwise("skipped").alias("label"))
     )
 
 

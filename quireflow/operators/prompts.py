@@ -11,13 +11,11 @@ from quireflow.functions.text import has, head, title_or_default, written
 from quireflow.operators.context import SEGMENT, prompt_context
 from quireflow.operators.queues import queued_for_outline
 
-# Token limits and temperature of the generation calls, and how
-# much of a chapter its summary is made from.
+# Token limits and temperature of the generation calls.
 OUTLINE_TOKENS = 4096
 CHAPTER_TOKENS = 8192
 SUMMARY_TOKENS = 500
 TEMPERATURE = 0.7
-SUMMARY_INPUT = 8000
 
 TEMPLATES = {
     "outline": (
@@ -119,10 +117,18 @@ def _with_owner(chapters: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def summary_prompts(
-    books: DataFrame, chapters: DataFrame, templates: Mapping[str, str] = TEMPLATES
+    books: DataFrame,
+    chapters: DataFrame,
+    templates: Mapping[str, str] = TEMPLATES,
+    summary_input: int | None = None,
 ) -> DataFrame:
+    """A prompt per written chapter, over its whole text.
+
+    ``summary_input`` bounds the characters given to a backend that takes no more.
+    """
+    content = F.col("content") if summary_input is None else head(F.col("content"), summary_input)
     rows = chapters.where(written(chapters)).select(
-        "book_id", "chapter_number", "title", head(F.col("content"), SUMMARY_INPUT).alias("content")
+        "book_id", "chapter_number", "title", content.alias("content")
     )
     slots = {
         "title": F.col("book_title"),

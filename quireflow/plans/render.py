@@ -27,7 +27,6 @@ from quireflow.operators.context import chapter_name
 WIDTH = 72
 INDENT = "    "
 TITLE, CONTENTS, GAP, CHAPTER = 0, 1, 2, 3
-PART = 128  # chapter numbers per part of a compiled text
 FORMATS = ("docx", "pdf", "txt")
 
 
@@ -147,29 +146,14 @@ def text_sections(books: DataFrame, chapters: DataFrame, as_of: Column) -> DataF
     return fixed.unionByName(flowing).select("book_id", "s.section", "chapter_number", "s.text")
 
 
-def compile_text(books: DataFrame, chapters: DataFrame, as_of: Column, part: int = PART) -> DataFrame:
-    """Compiled texts as ordered parts: (book_id, section, part, text).
+def compile_text(books: DataFrame, chapters: DataFrame, as_of: Column) -> DataFrame:
+    """Compiled texts as ordered rows: (book_id, section, chapter_number, text).
 
-    Parts in the order of (section, part), joined by newlines, are the text of
-    a book. Contents and chapters are gathered per ``part`` chapter numbers:
-    nearly every book has one part of each, and a book of any length has only
-    bounded ones. The explicit repartition keeps a preceding filter by book
-    from fixing the layout to the book id alone, which would hold a long book
-    in one task.
+    Rows in the order of (section, chapter_number), joined by newlines, are the
+    text of a book. A chapter is rendered in its own row, so nothing is shuffled
+    here and a book of any length has bounded rows; only a sink sorts.
     """
-    return (
-        text_sections(books, chapters, as_of)
-        .withColumn("part", F.coalesce(F.floor(F.col("chapter_number") / part).cast("int"), F.lit(0)))
-        .repartition("book_id", "section", "part")
-        .groupBy("book_id", "section", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("chapter_number", "text"))).alias("_rows"))
-        .select(
-            "book_id",
-            "section",
-            "part",
-            F.array_join(F.transform("_rows", lambda r: r["text"]), "\n").alias("text"),
-        )
-    )
+    return text_sections(books, chapters, as_of)
 
 
 def compile_results(books: DataFrame, gate: DataFrame, force: bool = False, formats=FORMATS) -> DataFrame:

@@ -16,14 +16,14 @@ from quireflow.operators import gates, generate, ingest, mutations, prompts, que
 from quireflow.operators.context import initial_chapters
 from quireflow.plans import render
 from quireflow.session import settle
-from quireflow.sources.tables import append_with_defaults, row_id
+from quireflow.sources.tables import append_with_defaults
 
 
-def ingest_titles(submissions: DataFrame, books: DataFrame) -> DataFrame:
+def ingest_titles(submissions: DataFrame, books: DataFrame, as_of: Column | None = None) -> DataFrame:
     """New book rows for the submissions that are valid and not yet held."""
     valid = ingest.valid_submissions(ingest.clean_submissions(submissions))
     created = ingest.dedupe_submissions(valid, books).where(F.col("label") == "created")
-    return append_with_defaults(created, "books", ["title"], books.schema["id"].dataType)
+    return append_with_defaults(created, "books", ["title"], books.schema["id"].dataType, as_of)
 
 
 def write_outlines(books: DataFrame, backend: generate.Backend, as_of: Column) -> DataFrame:
@@ -41,13 +41,9 @@ def revise_outlines(books: DataFrame, backend: generate.Backend, as_of: Column)
     return mutations.patch_rows(books, mutations.outline_results(made, regenerated=True), as_of)
 
 
-def start_chapters(books: DataFrame, chapters: DataFrame) -> DataFrame:
+def start_chapters(books: DataFrame, chapters: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Chapters, with rows added from the outlines of approved books."""
-    ready = queues.ready_for_chapters(books)
-    made = row_id(F.col("book_id"), F.col("chapter_number"))
-    full = initial_chapters(ready, chapters)
-    id_type = chapters.schema["id"].dataType
-    return full.withColumn("id", F.coalesce("id", made.cast(id_type)))
+    return initial_chapters(queues.ready_for_chapters(books), chapters, as_of=as_of)
 
 
 def write_chapters(
@@ -58,7 +54,7 @@ def write_chapters(
     auto_approve: bool = False,
 ) -> DataFrame:
     """Chapters after one batch run over all approved books."""
-    started = start_chapters(books, chapters)
+    started = start_chapters(books, chapters, as_of)
     plan = settle(gates.batch_plan(books, started, auto_approve), "batch-plan")
     made = settle(generate.generate_chapters(plan, books, started, backend), "chapters")
     keyed = started.select("id", "book_id", "chapter_number")

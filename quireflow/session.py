@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,18 @@ def builder(app_name: str = "quireflow") -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A fresh path below the folder every executor can reach.
+    """A fresh path that every executor can reach, removed when the session's JVM ends.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. There
-    is no fallback to a machine-local folder: executors could not see it.
+    It lies below the folder that the cluster names in ``spark.checkpoint.dir``.
+    There is no fallback to a machine-local folder: executors could not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         raise ValueError("spark.checkpoint.dir is not set; it must name a folder shared by all executors")
-    return "/".join([base.rstrip(os.sep), *parts, uuid.uuid4().hex])
+    path = "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from quireflow.functions.text import has
 from quireflow.schemas import DEFAULTS, conform, table_schema
@@ -41,7 +41,7 @@ def normalize_submissions(raw: DataFrame, row_number: str = "row_number") -> Dat
         if name not in at:
             raise MissingColumn(f"Missing required column: {name}")
     flat = raw.toDF(*[f"c{i}" for i in range(len(headers))])
-    picked = [F.col(f"c{at[row_number]}").cast("int").alias("row_number")]
+    picked = [F.col(f"c{at[row_number]}").cast("bigint").alias("row_number")]
     picked += [F.col(f"c{at[n]}").cast("string").alias(n) for n in SUBMISSION_REQUIRED]
     picked += [
         (F.col(f"c{at[n]}").cast("string") if n in at else F.lit("")).alias(n) for n in SUBMISSION_OPTIONAL
@@ -49,21 +49,39 @@ def normalize_submissions(raw: DataFrame, row_number: str = "row_number") -> Dat
     return flat.select(picked)
 
 
+def _numbered(raw: DataFrame, name: str) -> DataFrame:
+    """Adds the number of each row in its file, the first row below the header being 2.
+
+    Rows are numbered inside the file's splits; the counts of the splits before,
+    one row each, give where a split starts. No task sorts or holds a file.
+    """
+    at = raw.select(
+        "*",
+        F.col("_metadata.file_path").alias("_sheet"),
+        F.col("_metadata.file_block_start").alias("_from"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    splits = at.groupBy("_sheet", "_from").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_sheet").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_sheet", "_from", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = F.col("_start") + F.col("_id") - F.col("_first") + 2
+    return at.join(starts, ["_sheet", "_from"]).select(*raw.columns, number.alias(name))
+
+
 def read_submissions(
     spark: SparkSession,
     path: str,
     fmt: str = "csv",
     row_number: str = "row_number",
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read a header-first table of submissions from CSV, JSON or Parquet.
 
-    CSV cells may hold line breaks, which keeps a file from being split;
-    ``multi_line=False`` reads very large sheets without such cells in parallel.
-    Files whose headers disagree with the first one are refused.
-
-    Rows of a distributed read have no inherent order, so the source row
-    number travels as a column of the data. An empty CSV cell is NULL.
+    A sheet needs a title column only. Where it has no column of row numbers,
+    they follow from each row's place in its file. Large sheets are split;
+    ``multi_line=True`` reads CSV cells that hold line breaks, a file per task.
+    Files whose headers disagree with the first one are refused. An empty CSV
+    cell is NULL.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
@@ -71,7 +89,10 @@ def read_submissions(
         headers = _source_headers(reader.load(path).columns)
         # The reader renames repeated headers, so it cannot compare them.
         reader = reader.option("enforceSchema", len(set(headers)) < len(headers))
-    return normalize_submissions(reader.load(path), row_number)
+    raw = reader.load(path)
+    if row_number not in _source_headers(raw.columns):
+        raw = _numbered(raw, row_number)
+    return normalize_submissions(raw, row_number)
 
 
 def scan(
@@ -81,32 +102,36 @@ def scan(
     return conform(spark.read.format(fmt).load(path), table, id_type)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that would leave cores idle; leave any other one alone.
+def row_id(id_type: T.DataType, **key: Column) -> Column:
+    """Deterministic id: the same key gives the same id on every run.
 
-    A small file is one row group and so one task, however many cores wait. A
-    scan with at least one split per core, as every large table has, comes
-    back unchanged and is not shuffled. The check looks at the planned splits
-    only and runs no job.
+    The key is hashed as JSON, so parts that hold separators or are NULL stay
+    apart. Text ids are SHA-256; numeric ones are 64-bit hashes, whose clashes
+    ``key_violations`` reports.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
-def row_id(*key: Column) -> Column:
-    """Deterministic id: the same key gives the same id on every run."""
-    return F.sha2(F.concat_ws("|", *[k.cast("string") for k in key]), 256)
+    spelled = F.to_json(F.struct(*[c.cast("string").alias(n) for n, c in key.items()]), {"ignoreNullFields": "false"})
+    return F.sha2(spelled, 256) if isinstance(id_type, T.StringType) else F.xxhash64(spelled).cast(id_type)
 
 
 def append_with_defaults(
-    rows: DataFrame, table: str, id_key: Sequence[str], id_type: T.DataType | None = None
+    rows: DataFrame,
+    table: str,
+    id_key: Sequence[str],
+    id_type: T.DataType | None = None,
+    as_of: Column | None = None,
 ) -> DataFrame:
-    """New rows ready to append: ids filled from a key, defaults for NULLs."""
+    """New rows ready to append: ids filled from a key, defaults for NULLs.
+
+    ``as_of`` stamps the rows where the table has times of creation and change.
+    """
     full = conform(rows, table, id_type)
-    made = row_id(*[F.col(k) for k in id_key]).cast(full.schema["id"].dataType)
+    made = row_id(full.schema["id"].dataType, **{k: F.col(k) for k in id_key})
     full = full.withColumn("id", F.coalesce("id", made))
     for name, value in DEFAULTS[table].items():
         full = full.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
+    for name in ("created_at", "updated_at"):
+        if as_of is not None and name in full.columns:
+            full = full.withColumn(name, F.coalesce(F.col(name), as_of.cast(full.schema[name].dataType)))
     return full
 
 
@@ -147,10 +172,10 @@ def write_text_books(
 ) -> DataFrame:
     """Write compiled texts; returns (id, output_txt_path) to patch books with.
 
-    ``texts`` are the ordered parts of ``compile_text``. The table under
-    ``<path>/table`` is the output. With ``files`` the parts are also written
+    ``texts`` are the ordered rows of ``compile_text``. The table under
+    ``<path>/table`` is the output. With ``files`` the rows are also written
     as plain text, one directory per book: they are range-sorted by
-    (book, section, part), so a very long book spreads over several tasks and
+    (book, section, chapter), so a very long book spreads over several tasks and
     its files still read in order. Sorting reads the written table back, so
     the rendering is not run twice for the sampling.
     """
@@ -158,7 +183,7 @@ def write_text_books(
     texts.write.mode("overwrite").parquet(table)
     written = spark.read.parquet(table)
     if files:
-        order = ["book_id", "section", "part"]
+        order = ["book_id", "section", "chapter_number"]
         (
             written.repartitionByRange(*order)
             .sortWithinPartitions(*order)

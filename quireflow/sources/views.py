@@ -8,16 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quireflow.sources.tables import spread
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, over all cores: text work outweighs moving the text."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +23,11 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id AS book_id",
         "CAST(turn + 1 AS INT) AS chapter_number",
         """CASE WHEN (conv_id + turn) % 9 = 8 THEN NULL
-                ELSE substr(replace(text, chr(10), ' '), 1, 24) END AS title""",
+                ELSE replace(text, chr(10), ' ') END AS title""",
         """CASE WHEN (conv_id + turn) % 4 = 3 THEN NULL
                 WHEN (conv_id + turn) % 11 = 10 THEN '' ELSE text END AS content""",
         """CASE WHEN (conv_id + turn) % 4 = 3 OR (conv_id + turn) % 7 = 0 THEN NULL
-                ELSE substr(text, 1, 100) END AS summary""",
+                ELSE text END AS summary""",
         """CASE WHEN (conv_id * 3 + turn) % 5 = 0 THEN 'tighten'
                 WHEN (conv_id * 3 + turn) % 5 = 1 THEN '' END AS notes""",
         """CASE (conv_id * 5 + turn * 3) % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'yes'
@@ -42,17 +39,19 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with_chapters = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"))
-    without = table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey + 1000000 AS BIGINT) AS book_id")
+    without = table(spark, sf_dir, "nation").selectExpr(
+        "CAST(n_nationkey + 1000000 AS BIGINT) AS book_id",
+        "'## Chapter 1: ' || n_name || '\\n\\n## Chapter 2: Region ' || n_regionkey AS outline",
+    )
     return (
-        with_chapters.union(without)
-        .distinct()
+        outlines(spark, sf_dir)
+        .unionByName(without)
         .selectExpr(
             "book_id AS id",
             "'Book ' || CAST(book_id AS STRING) || ': a/b' AS title",
             """CASE WHEN book_id % 6 = 5 THEN '' ELSE 'notes ' || CAST(book_id AS STRING) END
                AS notes_on_outline_before""",
-            "CASE WHEN book_id % 5 = 4 THEN NULL ELSE '## Chapter 1: Start' END AS outline",
+            "CASE WHEN book_id % 5 = 4 THEN NULL ELSE outline END AS outline",
             "CASE WHEN book_id % 3 = 0 THEN 'shorter' END AS notes_on_outline_after",
             """CASE book_id % 5 WHEN 0 THEN 'no_notes_needed' WHEN 1 THEN 'yes' WHEN 2 THEN 'no'
                WHEN 3 THEN 'pending' END AS status_outline_notes""",
@@ -69,7 +68,7 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_submissions(part: DataFrame) -> DataFrame:
     """Parts as title submissions; also used on a stream of parts."""
     return part.selectExpr(
-        "CAST(p_partkey + 2 AS INT) AS row_number",
+        "CAST(p_partkey + 2 AS BIGINT) AS row_number",
         """CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 17 = 1 THEN ''
                 WHEN p_partkey % 17 = 2 THEN '  '
                 WHEN p_partkey % 3 = 0 THEN '  ' || upper(p_name) || chr(9) ELSE p_name END AS title""",
@@ -83,7 +82,9 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey % 50 = 0").selectExpr("p_name AS title").distinct()
+    """The part names that an even number of parts has."""
+    named = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("title")).count()
+    return named.where("count % 2 = 0").select("title")
 
 
 def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,7 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
             "conv_id AS book_id",
             "turn AS k",
             "CAST(turn % 5 + 1 AS STRING) AS n",
-            "substr(replace(replace(text, chr(10), ' '), '*', ''), 1, 20) AS t",
+            "replace(replace(text, chr(10), ' '), '*', '') AS t",
         )
         .selectExpr(
             "book_id",

@@ -73,11 +73,12 @@ def test_initial_chapters_only_where_none_exist(spark):
     assert [(r["book_id"], r["chapter_number"], r["title"]) for r in rows] == [(1, 7, "old"), (2, 1, "B"), (2, 2, "C")]
 
 
-def test_summary_prompt_uses_8000_characters(spark):
+def test_summary_prompt_uses_the_whole_chapter(spark):
     books = spark.createDataFrame([(1, "T")], "id long, title string")
-    chapters = spark.createDataFrame([(1, 1, "t", None, "y" * 9000, None)], ROW)
-    prompt = prompts.summary_prompts(books, chapters).first()["prompt"]
-    assert prompt.count("y") - prompts.TEMPLATES["summary"].count("y") == 8000
+    chapters = spark.createDataFrame([(1, 1, "t", None, "y" * 20000, None)], ROW)
+    own = prompts.TEMPLATES["summary"].count("y")
+    assert prompts.summary_prompts(books, chapters).first()["prompt"].count("y") - own == 20000
+    assert prompts.summary_prompts(books, chapters, summary_input=8000).first()["prompt"].count("y") - own == 8000
 
 
 def test_revision_guards(spark):

@@ -12,7 +12,7 @@ def test_sheet_headers(spark, tmp_path):
     (tmp_path / "sheet" / "a.csv").write_text(
         'title,ROW_NUMBER, Notes_On_Outline_Before ,extra,title\nfirst,2,"line one\nline two",x,last\n,3,n,x,\n'
     )
-    rows = tables.read_submissions(spark, path).orderBy("row_number").collect()
+    rows = tables.read_submissions(spark, path, multi_line=True).orderBy("row_number").collect()
     assert [tuple(r) for r in rows] == [(2, "last", "line one\nline two"), (3, None, "n")]
 
 
@@ -33,6 +33,38 @@ def test_sheet_without_notes_column_gives_empty_notes(spark):
     assert rows[0]["notes_on_outline_before"] == ""
 
 
+def test_plain_sheets_are_numbered_by_place(spark, tmp_path):
+    """Over many splits of a file, and from 2 in every file."""
+    for name, n in (("a", 500), ("b", 3)):
+        (tmp_path / f"{name}.csv").write_text("Title,Notes_On_Outline_Before\n" + "".join(f"{name} {i},n{i}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = tables.read_submissions(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["title"], r["row_number"]) for r in rows) == sorted(
+        (f"{name} {i}", i + 2) for name, n in (("a", 500), ("b", 3)) for i in range(n)
+    )
+
+
+def test_one_title_in_two_sheets_is_created_once(spark):
+    rows = [(2, "A", "n"), (2, "a", "n"), (3, " a ", "n"), (2, "B", "n"), (2, "B", "n"), (2, "B", "n"), (4, "held", "n")]
+    out = ingest.dedupe_submissions(spark.createDataFrame(rows, ROW), spark.createDataFrame([("Held",)], "title string"))
+    got = [(r["title"].strip().lower(), r["label"]) for r in out.collect()]
+    assert len(got) == 7 and sorted(t for t, label in got if label == "created") == ["a", "b"]
+
+
+def test_long_ids_and_stamps(spark):
+    from pyspark.sql import functions as F, types as T
+
+    rows = spark.createDataFrame([("a|b", None), ("a", "b"), ("a", None)], "title string, notes_on_outline_before string")
+    key = ["title", "notes_on_outline_before"]
+    out = tables.append_with_defaults(rows, "books", key, T.LongType(), F.lit("2024-01-01").cast("timestamp")).collect()
+    assert len({r["id"] for r in out}) == 3 and all(isinstance(r["id"], int) for r in out)
+    assert all(r["created_at"] is not None and r["created_at"] == r["updated_at"] for r in out)
+
+
 def test_clean_and_validate(spark):
     raw = spark.createDataFrame(
         [(2, " A\xa0", " n "), (3, None, "n"), (4, "", "n"), (5, "  ", "n"), (6, "B", "  "), (7, "C", None)], ROW

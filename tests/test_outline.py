@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quireflow.functions.outline import outline_chapters, unreadable_numbers
+from quireflow.functions.outline import outline_chapters, short_headings, unreadable_numbers
 
 
 def parsed(one, text):
@@ -42,13 +42,17 @@ def test_fallback(one):
     assert parsed(one, "### Heading three:") == [(1, "# Heading three")]
     # Short titles leave gaps in the numbering.
     assert parsed(one, "## abc\n## long title") == [(2, "long title")]
-    ten = "\n".join(f"## heading {i}" for i in range(12))
-    assert len(parsed(one, ten)) == 10
+    many = "\n".join(f"## heading {i}" for i in range(15))
+    assert len(parsed(one, many)) == 15
+    assert len(one(many, lambda c: outline_chapters(c, max_unnumbered=10))) == 10
+    assert one("## abc\n## long title", short_headings) == 1 and one("## Chapter 1: a", short_headings) == 0
 
 
-def test_numbers_beyond_int(one):
-    text = "## Chapter 99999999999: Big\n## Chapter 1: One"
-    assert parsed(one, text) == [(1, "One")]
+def test_large_numbers_and_digits_of_other_scripts(one):
+    assert parsed(one, "## Chapter 99999999999: Big\n## Chapter 1: One") == [(1, "One"), (99999999999, "Big")]
+    assert parsed(one, "## Chapter ٣: Hello\n## Chapter １２: Wide") == [(3, "Hello"), (12, "Wide")]
+    text = "## Chapter 99999999999999999999: Beyond\n## Chapter 2: Two"
+    assert parsed(one, text) == [(2, "Two"), (None, "Beyond")]
     assert one(text, unreadable_numbers) == 1
 
 

@@ -9,7 +9,7 @@ from __spark_entry__ import queries
 from quireflow.operators import context, gates, mutations, prompts, queues, rollups
 from quireflow.operators.queues import by_id
 from quireflow.plans import render
-from quireflow.sources.tables import save_by_book, scan_stored, spread, store_chapters
+from quireflow.sources.tables import save_by_book, scan_stored, store_chapters
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,9 +67,8 @@ def test_rendering_rows_needs_no_shuffle(spark):
         "id AS book_id", "1 AS chapter_number", "'t' AS title", "CAST(id AS STRING) AS content"
     )
     as_of = F.lit("2024-01-01").cast("timestamp_ntz")
-    for make in (render.render_rows_word, render.render_rows_pdf, render.text_sections):
+    for make in (render.render_rows_word, render.render_rows_pdf, render.text_sections, render.compile_text):
         assert "Exchange" not in plan_of(make(books, chapters, as_of))
-    assert plan_of(render.compile_text(books, chapters, as_of)).count("Exchange") == 1
 
 
 def test_gate_shuffles_flags_not_texts(spark, no_broadcast):
@@ -121,10 +120,3 @@ def test_tables_bucketed_by_book_meet_without_shuffle(spark, tmp_path, no_broadc
     assert "Exchange" not in plan, plan
     spark.sql("DROP TABLE bucketed_books")
     spark.sql("DROP TABLE bucketed_chapters")
-
-
-def test_spread_leaves_wide_scans_alone(spark):
-    wide = spark.range(100, numPartitions=spark.sparkContext.defaultParallelism)
-    assert spread(wide, "id") is wide
-    narrow = spark.range(100, numPartitions=1)
-    assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
