@@ -43,6 +43,10 @@ SHARE = 0.6
 COVER = 0.5
 BLOCK = 64
 SHARD, SHARD_WORDS = 20_000, 10_000
+# Scores are divided by the threshold, so this is the threshold, but for rounding.
+ENOUGH = 1 - 1e-9
+# How many sums by (passage, block) are held at once.
+SUMS = 1 << 22
 
 
 def _hash_words(ws: list[str]) -> np.ndarray:
@@ -106,24 +110,30 @@ class Index:
         self.n_blocks = len(parts) // BLOCK + 1
 
     def search(self, passage: np.ndarray, term: np.ndarray):
-        """(passage, part) of all scores at the threshold or above; the input pairs are distinct."""
-        if not len(passage):
-            return passage, passage
-        n = passage.max() + 1
-        bound = np.bincount(passage, self.best[term], n)
-        alive = bound[passage] >= 1 - 1e-9
+        """(passage, part) of all scores at the threshold or above; the input pairs are distinct and in order."""
+        alive = np.bincount(passage, self.best[term])[passage] >= ENOUGH if len(passage) else np.zeros(0, bool)
         passage, term = passage[alive], term[alive]
-        # The blocks of each term, and the sum of their maxima by (passage, block).
-        which, block = _expand(self.blocks_of[term], self.blocks_of[term + 1])
-        place, (group, key) = passage[which] * self.n_blocks + self.block_no[block], (None, None)
-        key, group = np.unique(place, return_inverse=True)
-        alive = np.bincount(group, self.block_best[block], len(key))[group] >= 1 - 1e-9
-        which, block = which[alive], block[alive]
-        which2, posting = _expand(self.block_start[block], self.block_start[block + 1])
-        place = passage[which[which2]] * len(self.owner) + self.part[posting]
-        key, group = np.unique(place, return_inverse=True)
-        found = key[np.bincount(group, self.impact[posting], len(key)) >= 1 - 1e-9]
-        return found // max(1, len(self.owner)), found % max(1, len(self.owner))
+        first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else passage
+        found = [(passage[:0], passage[:0])]
+        # Sums by (passage, block) are a dense array, so few passages at a time if there are many blocks.
+        step = max(1, SUMS // self.n_blocks)
+        for at in range(0, len(first), step):
+            own = slice(first[at], first[at + step] if at + step < len(first) else len(passage))
+            names = passage[first[at : at + step]]
+            number = np.searchsorted(names, passage[own])
+            which, block = _expand(self.blocks_of[term[own]], self.blocks_of[term[own] + 1])
+            place = number[which] * self.n_blocks + self.block_no[block]
+            sums = np.bincount(place, self.block_best[block], len(names) * self.n_blocks)
+            hot = np.flatnonzero(sums >= ENOUGH)
+            nth = np.full(len(sums), -1)
+            nth[hot] = np.arange(len(hot))
+            kept = nth[place] >= 0
+            which, posting = _expand(self.block_start[block[kept]], self.block_start[block[kept] + 1])
+            slot = nth[place[kept]][which] * BLOCK + self.part[posting] % BLOCK
+            hits = np.flatnonzero(np.bincount(slot, self.impact[posting], len(hot) * BLOCK) >= ENOUGH)
+            at_block = hot[hits // BLOCK]
+            found.append((names[at_block // self.n_blocks], at_block % self.n_blocks * BLOCK + hits % BLOCK))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def retrieve(self, hashes: np.ndarray, row: np.ndarray):
         """(row, first word of the passage, item) of all passages retrieved."""
@@ -137,11 +147,11 @@ class Index:
         t = np.searchsorted(self.terms, hashes)
         t[t == len(self.terms)] = 0
         known = self.terms[t] == hashes
-        key = np.unique(half[known] * len(self.terms) + t[known])
+        key = _distinct(half[known] * len(self.terms) + t[known])
         half, t = key // len(self.terms), key % len(self.terms)
         # A passage is a half and the next one, so a half is in its own and in the one before.
         later = half > base[np.searchsorted(base, half, "right") - 1]
-        both = np.unique(np.concatenate([half, half[later] - 1]) * len(self.terms) + np.concatenate([t, t[later]]))
+        both = _distinct(np.concatenate([key, key[later] - len(self.terms)]))
         passage, part = self.search(both // len(self.terms), both % len(self.terms))
         r = np.searchsorted(base, passage, "right") - 1
         return r, (passage - base[r]) * PART, self.owner[part]
@@ -174,6 +184,12 @@ def _covered(ws: list[str], seen: set) -> bool:
     return sum(g in seen for g in grams) >= COVER * len(grams)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, in order."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def _expand(start: np.ndarray, stop: np.ndarray):
     """For ranges: the number of the range, and each value in it."""
     size = stop - start
