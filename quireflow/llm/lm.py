@@ -53,6 +53,7 @@ def _distinct_words(data: np.ndarray, offsets: np.ndarray):
     """(hashes, words) of the distinct words, each token's place among them, and its row."""
     begin, end, row = word_bounds(data, offsets)
     hashes, first, place = np.unique(span_hash(prefix_sums(data), begin, end), return_index=True, return_inverse=True)
+    place = place.astype(np.int32)
     size = end[first] - begin[first]
     ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
     at = np.arange(ends[-1]) + np.repeat(begin[first] - ends[:-1], size)
@@ -73,25 +74,28 @@ def _to_blocks(batches):
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
             *part, row = _distinct_words(data, offsets)
             found.append(part)
-            rows.append(row + shift)
+            rows.append((row + shift).astype(np.int32))
             shift += batch.num_rows
         hashes = np.concatenate([h for h, _, _ in found])
         _, first, merged = np.unique(hashes, return_index=True, return_inverse=True)
         words = pa.concat_arrays([pa.array([b""], pa.binary()), pa.concat_arrays([w for _, w, _ in found]).take(pa.array(first))])
         starts = np.cumsum([0, *(len(h) for h, _, _ in found)])
-        codes = np.concatenate([merged[s + place] for s, (_, _, place) in zip(starts, found)]) + 1
+        merged = (merged + 1).astype(np.int32)
+        codes = np.concatenate([merged[s + place] for s, (_, _, place) in zip(starts, found)])
         row = np.concatenate(rows)
         n = big.num_rows
         # The end of each row after its words.
         sizes = np.bincount(row, minlength=n)
         ends = np.cumsum(sizes + 1)
         tokens = np.zeros(ends[-1], np.int32)
-        tokens[np.arange(len(codes)) + row] = codes
+        tokens[np.arange(len(codes), dtype=np.int32) + row] = codes
         held = big.column(1).to_numpy(zero_copy_only=False).astype(bool)
         learned = np.repeat(~held, sizes + 1)
         counts = np.bincount(tokens[learned], minlength=len(words))
         whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         packed = pa.compress(tokens.tobytes(), "zstd", asbytes=True)
+        del found, hashes, merged, codes, row, rows, learned
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([number]), whole(big.column(0)), whole(pa.array(held)), whole(pa.array(ends.astype(np.int32))),
@@ -180,7 +184,7 @@ def _opened(batch, b):
     ends = get("ends").values.to_numpy().astype(np.int64)
     tokens = np.frombuffer(pa.decompress(get("codes").as_py(), int(ends[-1]) * 4, "zstd", asbytes=True), np.int32)
     counts = get("cs").values.to_numpy(zero_copy_only=False)
-    symbols = get("symbols").values.to_numpy(zero_copy_only=False).astype(np.int64)
+    symbols = get("symbols").values.to_numpy(zero_copy_only=False).astype(np.int32)
     held = get("held").values.to_numpy(zero_copy_only=False).astype(bool)
     return tokens, ends, held, counts, symbols
 
@@ -204,7 +208,7 @@ def _trainer(model: Model, epochs: int, seed: int):
                 tokens, ends, held, _, symbols = _opened(batch, b)
                 s = symbols[tokens]
                 one, two = _contexts(s, ends)
-                own = np.flatnonzero(np.repeat(~held, np.diff(ends, prepend=0)))
+                own = np.flatnonzero(np.repeat(~held, np.diff(ends, prepend=0))).astype(np.int32)
                 n += len(own)
                 for _ in range(epochs):
                     rng.shuffle(own)
@@ -228,18 +232,19 @@ def _scorer(model: Model, total: int, distinct: int, shares: np.ndarray):
                 tokens, ends, held, counts, symbols = _opened(batch, b)
                 s = symbols[tokens]
                 one, two = _contexts(s, ends)
-                place = one * SYMBOLS + two
-                seen = np.zeros(len(known), bool)
-                seen[place] = True
-                new = np.flatnonzero(seen & np.isnan(known))
-                known[new] = model.log_norms(new // SYMBOLS, new % SYMBOLS)
                 within = np.where(symbols > WORDS, np.log(counts + ADD) - shares[symbols], 0.0)
-                logs = within[tokens] - known[place]
-                for at in range(0, len(s), 1 << 18):
-                    k = slice(at, at + (1 << 18))
+                unigram = np.log10((counts + ADD) / (total + ADD * (distinct + 1)))
+                logs = np.empty(len(s))
+                for at in range(0, len(s), 1 << 17):
+                    k = slice(at, at + (1 << 17))
+                    place = one[k] * SYMBOLS + two[k]
+                    seen = np.zeros(len(known), bool)
+                    seen[place] = True
+                    new = np.flatnonzero(seen & np.isnan(known))
+                    known[new] = model.log_norms(new // SYMBOLS, new % SYMBOLS)
                     q = model.predicted(one[k], two[k])
-                    logs[k] += (q * model.w["out"][s[k]]).sum(1) + model.w["bias"][s[k]]
-                base = np.log10((counts + ADD) / (total + ADD * (distinct + 1)))[tokens]
+                    logs[k] = (q * model.w["out"][s[k]]).sum(1) + model.w["bias"][s[k]] + within[tokens[k]] - known[place]
+                base = unigram[tokens]
                 starts = np.concatenate([[0], ends[:-1]])
                 yield pa.RecordBatch.from_arrays(
                     [
