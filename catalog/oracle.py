@@ -1160,3 +1160,23 @@ put(
   FROM (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_number ORDER BY seq DESC) AS rn FROM changes) x
   WHERE rn = 1 GROUP BY book_id""",
 )
+put(
+    "stream_book_transitions",
+    ("wide_books",),
+    """,
+reached AS (SELECT event_id AS seq, user_id AS book_id, 'out/' || event_id AS path,
+  CASE event_type WHEN 'signup' THEN 'book_completed' WHEN 'purchase' THEN 'final_draft_ready' WHEN 'error' THEN NULL
+    ELSE 'outline_ready' END AS event_type FROM events),
+moved AS (SELECT * FROM (SELECT *, lag(event_type) OVER (PARTITION BY book_id ORDER BY seq) AS before FROM reached) x
+  WHERE event_type IS NOT NULL AND event_type IS DISTINCT FROM before)
+SELECT seq, m.book_id, event_type, CASE event_type
+  WHEN 'outline_ready' THEN 'The outline of "' || coalesce(title, 'Unknown Book') || '" is ready for review.' || chr(10) || chr(10) ||
+    '- Put remarks into notes_on_outline_after.' || chr(10) ||
+    '- Set status_outline_notes to no_notes_needed to start the chapters, or to yes to take more time.' || chr(10) || chr(10) ||
+    'Book ID: ' || m.book_id
+  WHEN 'final_draft_ready' THEN '"' || coalesce(title, 'Unknown Book') || '" has been compiled.' || chr(10) || chr(10) ||
+    'Files:' || chr(10) || '- PDF: ' || path || chr(10) || chr(10) || 'Book ID: ' || m.book_id
+  ELSE '"' || coalesce(title, 'Unknown Book') || '" is complete: all chapters are reviewed and the final draft is compiled.' ||
+    chr(10) || chr(10) || 'Book ID: ' || m.book_id END AS message
+FROM moved m LEFT JOIN wide_books b ON b.id = m.book_id""",
+)

@@ -208,7 +208,12 @@ def chapter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_chapter_changes(table(spark, sf_dir, "events"))
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The files of one table as a stream."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+def as_book_changes(events: DataFrame) -> DataFrame:
+    """A change feed: each event sets the state of one book."""
+    return events.selectExpr(
+        "event_id AS seq",
+        "user_id AS book_id",
+        "CASE WHEN event_type <> 'error' THEN 'outline ' || CAST(event_id AS STRING) END AS outline",
+        "CASE WHEN event_type = 'signup' THEN 'completed' ELSE 'in_progress' END AS book_output_status",
+        "CASE WHEN event_type = 'purchase' THEN 'out/' || CAST(event_id AS STRING) END AS output_pdf_path",
+    )

@@ -4,58 +4,110 @@ Each stream is a ``foreachBatch`` over the same DataFrame operators as the
 batch jobs. A batch writes its results under its own ``batch_id`` directory
 in overwrite mode and reads only the directories of earlier batches, so a
 batch that is replayed after a failure gives the same result and adds nothing
-twice. State lives in tables below a shared folder, folded into a snapshot
-every so many batches, so that a batch reads about one row per key and not the
-whole history; lineage never crosses a batch.
+twice. State lives in bucketed tables below a shared folder (see ``State``);
+lineage never crosses a batch.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from quireflow.functions.text import title_key
+from quireflow.functions.text import has, title_key
 from quireflow.operators.ingest import clean_submissions, dedupe_submissions, validate_submissions
 from quireflow.operators.mutations import latest_by_key
+from quireflow.operators.notify import notification_messages
 from quireflow.operators.rollups import PROGRESS, chapter_counts
 from quireflow.schemas import EVENT_TYPES
 
 SEQ_BLOCK = 4096
 SNAPSHOT_EVERY = 32
+BUCKETS = 16
+BOOK_PATHS = ("output_docx_path", "output_pdf_path", "output_txt_path")
 
 
-def _write(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _fs(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, there = _fs(spark, path)
+    return fs.exists(there)
 
-def _earlier(
-    spark: SparkSession, path: str, batch_id: int, schema: T.StructType, every: int = SNAPSHOT_EVERY
-) -> DataFrame:
-    """What the batches before this one have written.
 
-    Read from the last snapshot before the batch, whose number follows from
-    the batch id alone, and the batches since; older ones are pruned.
+class State:
+    """Rows by batch, in buckets by a hash of their key, folded into snapshots.
+
+    A batch reads the last snapshot before it and the batches since, whose
+    folders follow from its number alone, and of these the buckets it touches.
+    Nothing lists or reads the whole history, and a folder that is missing fails
+    the batch. The interval of snapshots is stored with the state, so a restart
+    with another setting goes on with the stored one.
     """
-    last = batch_id // every * every - 1
-    try:
-        stored = spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing written yet
-        return spark.createDataFrame([], schema)
-    if "batch_id" not in stored.columns:
-        return spark.createDataFrame([], schema)
-    recent = stored.where((F.col("batch_id") < batch_id) & (F.col("batch_id") > last)).drop("batch_id")
-    if last < 0:
-        return recent
-    return recent.unionByName(spark.read.schema(schema).parquet(f"{path}_snapshots/batch_id={last}"))
-
-
-def _snapshot(spark: SparkSession, path: str, batch_id: int, schema: T.StructType, every: int, compact) -> None:
-    """Every so many batches, fold the state so far into one compact table."""
-    if (batch_id + 1) % every == 0:
-        mine = spark.read.schema(schema).parquet(f"{path}/batch_id={batch_id}")
-        whole = _earlier(spark, path, batch_id, schema, every).unionByName(mine)
-        _write(compact(whole), f"{path}_snapshots", batch_id)
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], every: int, compact):
+        self.path, self.keys, self.compact = path, keys, compact
+        self.schema = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+        self.columns = schema.names
+        if not _exists(spark, f"{path}_settings"):
+            spark.range(1).select(F.lit(every).alias("every")).write.parquet(f"{path}_settings")
+        self.every = spark.read.parquet(f"{path}_settings").first()["every"]
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int"))
+
+    def _save(self, rows: DataFrame, path: str, batch_id: int) -> None:
+        rows = self._bucketed(rows.select(self.columns)).repartition("bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch_id={batch_id}")
+
+    def _read(self, spark: SparkSession, folders: list[str]) -> DataFrame:
+        if not folders:
+            return spark.createDataFrame([], self.schema)
+        parts = [spark.read.schema(self.schema).parquet(f) for f in folders]
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        return whole
+
+    def folders(self, batch_id: int) -> list[str]:
+        """Where the state before a batch lies."""
+        last = batch_id // self.every * self.every - 1
+        recent = [f"{self.path}/batch_id={b}" for b in range(last + 1, batch_id)]
+        return recent + ([f"{self.path}_snapshots/batch_id={last}"] if last >= 0 else [])
+
+    def earlier(self, spark: SparkSession, batch_id: int, touched: DataFrame | None = None) -> DataFrame:
+        """Rows of the batches before this one, in the buckets of the keys touched."""
+        rows = self._read(spark, self.folders(batch_id))
+        if touched is not None:
+            # At most BUCKETS numbers come to the driver.
+            wanted = [r["bucket"] for r in self._bucketed(touched).select("bucket").distinct().collect()]
+            rows = rows.where(F.col("bucket").isin(wanted))
+        return rows.select(self.columns)
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        """Store a batch's rows; every so many batches, fold the state so far."""
+        spark = rows.sparkSession
+        self._save(rows, self.path, batch_id)
+        if (batch_id + 1) % self.every == 0:
+            mine = self._read(spark, [f"{self.path}/batch_id={batch_id}"]).select(self.columns)
+            self._save(self.compact(self.earlier(spark, batch_id).unionByName(mine)), f"{self.path}_snapshots", batch_id)
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        """The state after the last batch, from the last snapshot on."""
+        snapshots, last = f"{self.path}_snapshots", -1
+        if _exists(spark, snapshots):
+            fs, there = _fs(spark, snapshots)
+            last = max(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(there) if "=" in f.getPath().getName())
+        after = last + 1
+        while _exists(spark, f"{self.path}/batch_id={after}"):
+            after += 1
+        folders = [f"{self.path}/batch_id={b}" for b in range(last + 1, after)]
+        return self.compact(self._read(spark, folders + ([f"{snapshots}/batch_id={last}"] if last >= 0 else [])).select(self.columns))
+
+
+def _write(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def _start(source: DataFrame, handle, checkpoint: str) -> StreamingQuery:
@@ -77,16 +129,17 @@ def stream_submissions(
     stored keys, not the other way round: the batch is the small side, so the
     growing key table is filtered in place and not shuffled.
     """
-    keys, results = f"{out}/keys", f"{out}/submissions"
+    results = f"{out}/submissions"
     key_schema = T.StructType([T.StructField("title", T.StringType())])
+    keys = State(source.sparkSession, f"{out}/keys", key_schema, ["title"], snapshot_every, lambda rows: rows.distinct())
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         checked = validate_submissions(clean_submissions(batch))
         valid = checked.where(F.col("_error").isNull()).drop("_error")
-        held = library.select("title").unionByName(_earlier(spark, keys, batch_id, key_schema, snapshot_every))
-        wanted = valid.select(title_key(F.col("title")).alias("_key")).distinct()
-        known = held.withColumn("_key", title_key(F.col("title"))).join(wanted, "_key", "left_semi")
+        wanted = valid.select(title_key(F.col("title")).alias("title")).distinct()
+        held = library.select("title").unionByName(keys.earlier(spark, batch_id, wanted))
+        known = held.withColumn("_key", title_key(F.col("title"))).join(wanted.toDF("_key"), "_key", "left_semi")
         labelled = dedupe_submissions(valid, known.select("title")).withColumn(
             "_error", F.lit(None).cast("string")
         )
@@ -94,8 +147,7 @@ def stream_submissions(
         _write(labelled.unionByName(invalid), results, batch_id)
         written = spark.read.parquet(f"{results}/batch_id={batch_id}")
         created = written.where(F.col("label") == "created")
-        _write(created.select(title_key(F.col("title")).alias("title")), keys, batch_id)
-        _snapshot(spark, keys, batch_id, key_schema, snapshot_every, lambda whole: whole.distinct())
+        keys.write(created.select(title_key(F.col("title")).alias("title")), batch_id)
 
     return _start(source, handle, checkpoint)
 
@@ -136,26 +188,29 @@ def notifying_events(changes: DataFrame) -> DataFrame:
     return changes.withColumn("event_type", event).where(F.col("event_type").isNotNull())
 
 
-def stream_transitions(
-    source: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY
-) -> StreamingQuery:
-    """Notification events for chapters entering a notifying state.
+def book_events(changes: DataFrame) -> DataFrame:
+    """The furthest point a book has reached, as an event; NULL before its outline."""
+    paths = [F.col(c) for c in BOOK_PATHS if c in changes.columns]
+    compiled = F.coalesce(*[F.when(has(p), F.lit(True)) for p in paths], F.lit(False))
+    event = (
+        F.when(F.col("book_output_status") == "completed", EVENT_TYPES[5])
+        .when(compiled, EVENT_TYPES[3])
+        .when(has(F.col("outline")), EVENT_TYPES[0])
+    )
+    return changes.withColumn("event_type", event)
 
-    ``source`` has seq, book_id, chapter_number, status, notes_status. A
-    change is ignored if its sequence number is not above the last one
-    known for its chapter. Events go to ``out/events``, snapshots of touched
-    chapters to ``out/state``.
-    """
-    events, state = f"{out}/events", f"{out}/state"
-    keys = ["book_id", "chapter_number"]
-    columns = ["seq", *keys, "status", "notes_status"]
+
+def _change_stream(source, out, checkpoint, keys, columns, value, to_events, every, books) -> StreamingQuery:
+    """Events for rows of a change feed whose ``value`` differs from the one before."""
+    events = f"{out}/events"
     schema = T.StructType([source.schema[c] for c in columns])
+    state = State(source.sparkSession, f"{out}/state", schema, keys, every, lambda rows: latest_by_key(rows, keys, ["seq"]))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         changes = batch.select(columns).dropDuplicates([*keys, "seq"])
         touched = changes.select(*keys).distinct()
-        stored = _earlier(spark, state, batch_id, schema, snapshot_every)
+        stored = state.earlier(spark, batch_id, touched)
         known = latest_by_key(stored.join(touched, keys, "left_semi"), keys, ["seq"])
         newest = known.select(*keys, F.col("seq").alias("_known"))
         fresh = (
@@ -163,15 +218,70 @@ def stream_transitions(
             .where(F.col("_known").isNull() | (F.col("seq") > F.col("_known")))
             .drop("_known")
         )
-        run = fresh.withColumn("_fresh", F.lit(True)).unionByName(known.withColumn("_fresh", F.lit(False)))
-        moved = transitions(run, keys, "status").where(F.col("_fresh")).drop("_fresh", "previous")
-        _write(notifying_events(moved).select("event_type", *columns), events, batch_id)
-        _write(latest_by_key(fresh, keys, ["seq"]).select(columns), state, batch_id)
-        _snapshot(spark, state, batch_id, schema, snapshot_every, lambda all_: latest_by_key(all_, keys, ["seq"]))
+        # Written once, as both the events and the state are made from it.
+        _write(fresh.select(columns), f"{out}/fresh", batch_id)
+        fresh = spark.read.schema(schema).parquet(f"{out}/fresh/batch_id={batch_id}")
+        run = fresh.withColumn("_fresh", F.lit(True)).unionByName(known.select(columns).withColumn("_fresh", F.lit(False)))
+        moved = transitions(value(run), keys, "_value").where(F.col("_fresh")).drop("_fresh", "previous", "_value")
+        made = to_events(moved).select("event_type", *columns)
+        if books is not None:
+            made = with_messages(made, books).select("event_type", *columns, "message")
+        _write(made, events, batch_id)
+        state.write(latest_by_key(fresh, keys, ["seq"]), batch_id)
 
     return _start(source, handle, checkpoint)
 
 
+def with_messages(events: DataFrame, books: DataFrame) -> DataFrame:
+    """Events with the message that each is to send."""
+    if "chapter_number" in events.columns:
+        events = events.withColumn(
+            "error", F.concat(F.lit("Chapter "), F.col("chapter_number").cast("string"), F.lit(" could not be written."))
+        )
+    paths = [c for c in BOOK_PATHS if c in events.columns]
+    if paths:
+        kind = lambda c: F.lit(c.removeprefix("output_").removesuffix("_path"))
+        listed = F.array(*[F.when(has(F.col(c)), F.struct(kind(c).alias("format"), F.col(c).alias("path"))) for c in paths])
+        events = events.withColumn("paths", F.filter(listed, lambda p: p.isNotNull()))
+    return notification_messages(events, books)
+
+
+def stream_transitions(
+    source: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY, books: DataFrame | None = None
+) -> StreamingQuery:
+    """Notification events for chapters entering a notifying state.
+
+    ``source`` has seq, book_id, chapter_number, status, notes_status. A
+    change is ignored if its sequence number is not above the last one
+    known for its chapter. Events go to ``out/events``, with their messages if
+    ``books`` is given; the state of touched chapters goes to ``out/state``.
+    """
+    keys = ["book_id", "chapter_number"]
+    columns = ["seq", *keys, "status", "notes_status"]
+    value = lambda rows: rows.withColumn("_value", F.col("status"))
+    return _change_stream(source, out, checkpoint, keys, columns, value, notifying_events, snapshot_every, books)
+
+
+def stream_book_transitions(
+    source: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY, books: DataFrame | None = None
+) -> StreamingQuery:
+    """Notification events for books that get an outline, are compiled, or completed.
+
+    ``source`` has seq, book_id, outline, book_output_status and any of the
+    output paths. Otherwise as ``stream_transitions``.
+    """
+    columns = ["seq", "book_id", "outline", "book_output_status", *[c for c in BOOK_PATHS if c in source.columns]]
+    value = lambda rows: book_events(rows).withColumnRenamed("event_type", "_value")
+    named = lambda rows: book_events(rows).where(F.col("event_type").isNotNull())
+    return _change_stream(source, out, checkpoint, ["book_id"], columns, value, named, snapshot_every, books)
+
+
+def _progress_state(spark: SparkSession, out: str, every: int = SNAPSHOT_EVERY, book_id: T.DataType | None = None) -> State:
+    kinds = [T.StructField("batch", T.LongType()), T.StructField("book_id", book_id or T.LongType())]
+    schema = T.StructType(kinds + [T.StructField(c, T.LongType()) for c in PROGRESS])
+    return State(spark, f"{out}/progress", schema, ["book_id"], every, lambda rows: latest_by_key(rows, ["book_id"], ["batch"]))
+
+
 def stream_progress(
     source: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY
 ) -> StreamingQuery:
@@ -182,27 +292,29 @@ def stream_progress(
     the latest rows of its chapters to ``out/state`` and the new counts of the
     touched books to ``out/progress``; ``current_progress`` reads them.
     """
-    state, progress = f"{out}/state", f"{out}/progress"
     keys = ["book_id", "chapter_number"]
     columns = ["seq", *keys, "content", "status", "notes_status"]
     schema = T.StructType([source.schema[c] for c in columns])
+    spark = source.sparkSession
+    # In buckets by book, as the counts of a book need all of its chapters.
+    state = State(spark, f"{out}/state", schema, ["book_id"], snapshot_every, lambda rows: latest_by_key(rows, keys, ["seq"]))
+    progress = _progress_state(spark, out, snapshot_every, source.schema["book_id"].dataType)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         flag = F.when(F.col("content").isNotNull() & (F.col("content") != ""), F.lit("y"))
         changes = batch.select(columns).withColumn("content", flag)
-        _write(latest_by_key(changes, keys, ["seq"]).select(columns), state, batch_id)
-        mine = spark.read.schema(schema).parquet(f"{state}/batch_id={batch_id}")
+        state.write(latest_by_key(changes, keys, ["seq"]), batch_id)
+        mine = spark.read.schema(schema).parquet(f"{out}/state/batch_id={batch_id}").select(columns)
         touched = mine.select("book_id").distinct()
-        before = _earlier(spark, state, batch_id, schema, snapshot_every).join(touched, "book_id", "left_semi")
-        current = latest_by_key(before.unionByName(mine), keys, ["seq"])
-        _write(chapter_counts(current), progress, batch_id)
-        _snapshot(spark, state, batch_id, schema, snapshot_every, lambda all_: latest_by_key(all_, keys, ["seq"]))
+        before = state.earlier(spark, batch_id, touched).join(touched, "book_id", "left_semi")
+        current = latest_by_key(before.select(columns).unionByName(mine), keys, ["seq"])
+        counts = chapter_counts(current).select("book_id", *[F.col(c).cast("long").alias(c) for c in PROGRESS])
+        progress.write(counts.withColumn("batch", F.lit(batch_id).cast("long")), batch_id)
 
     return _start(source, handle, checkpoint)
 
 
-def current_progress(spark: SparkSession, out: str) -> DataFrame:
+def current_progress(spark: SparkSession, out: str, book_id: T.DataType | None = None) -> DataFrame:
     """The newest counts of every book the stream has seen."""
-    written = spark.read.parquet(f"{out}/progress")
-    return latest_by_key(written, ["book_id"], ["batch_id"]).select("book_id", *PROGRESS)
+    return _progress_state(spark, out, book_id=book_id).current(spark).select("book_id", *PROGRESS)

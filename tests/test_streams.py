@@ -112,3 +112,42 @@ def test_progress_stream_equals_batch(spark, tmp_path, every):
     columns = ["book_id", *rollups.PROGRESS]
     got = sorted(tuple(r) for r in streams.current_progress(spark, out).select(columns).collect())
     assert got == sorted(tuple(r) for r in batch.select(columns).collect())
+
+
+def test_two_sheets_in_one_batch_create_a_title_once(spark, tmp_path):
+    for title in ("A", "a"):
+        spark.createDataFrame([(2, title, "n")], SUB).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(SUB).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    streams.stream_submissions(source, spark.createDataFrame([], "title string"), out, f"{out}/cp").awaitTermination()
+    got = spark.read.parquet(f"{out}/submissions")
+    assert got.count() == 2 and got.where("label = 'created'").count() == 1
+
+
+def test_lost_state_fails_and_the_interval_is_kept(spark, tmp_path):
+    import shutil
+
+    rows = [(i + 2, f"T{i}", "n") for i in range(30)]
+    library = spark.createDataFrame([], "title string")
+    out = str(tmp_path / "out")
+    source = feed(spark, tmp_path / "in", rows[:20], SUB, [0, 10, 20])
+    streams.stream_submissions(source, library, out, f"{out}/cp", snapshot_every=2).awaitTermination()
+    assert spark.read.parquet(f"{out}/keys_snapshots").count() == 20
+    source = feed(spark, tmp_path / "in", rows[20:], SUB, [0, 10])
+    streams.stream_submissions(source, library, out, f"{out}/cp", snapshot_every=7).awaitTermination()
+    assert spark.read.parquet(f"{out}/keys_settings").first()["every"] == 2
+    shutil.rmtree(f"{out}/keys_snapshots/batch_id=1")
+    source = feed(spark, tmp_path / "in", rows[:10], SUB, [0, 10])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        streams.stream_submissions(source, library, out, f"{out}/cp").awaitTermination()
+
+
+def test_a_batch_reads_only_the_buckets_it_touches(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("k", T.LongType())])
+    state = streams.State(spark, str(tmp_path / "s"), schema, ["k"], 32, lambda rows: rows)
+    state.write(spark.range(500).toDF("k"), 0)
+    read = state.earlier(spark, 1, spark.range(1).toDF("k"))
+    assert 0 < read.count() < 100 and state.earlier(spark, 1).count() == 500
+    assert "PartitionFilters: [isnotnull(bucket" in read._jdf.queryExecution().executedPlan().toString()
