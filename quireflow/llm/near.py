@@ -13,8 +13,9 @@ Texts with the same words are one class before anything is compared. Bands of
 equal coordinates put the others into buckets. In each bucket all are compared
 with one member, drawn anew in every band, exactly and by their whole shingle
 sets; classes are the components of links of ``SIMILARITY`` or more. Where a
-bucket still holds several classes, its members of different classes are all
-compared, so a link between documents that share any band is never lost.
+bucket still holds several classes, its members are compared in blocks, by matrix
+products within a task that emit only links between classes, so a link between
+documents that share any band is never lost and pairs are never listed.
 
 Rules: a document of fewer than five words has one shingle, all its words.
 Documents without words, null texts too, are one class. Rows of one id are one
@@ -39,6 +40,10 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 # The width of the first time slab; slabs double.
 FIRST_SLAB = 2.0**-7
+# Documents, and shingles in all, of a block in which all are compared.
+BLOCK_DOCS, BLOCK_ELEMENTS = 1024, 2 << 20
+# Shingles whose counts are multiplied at once.
+COLUMNS = 2048
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray):
@@ -196,6 +201,92 @@ def _with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
 
 
+def _cross_links(labelled: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of one bucket (bucket, doc, label) whose labels differ.
+
+    Buckets of several labels are compared in blocks: every two blocks of a
+    bucket meet as one unit of bounded size, where shared elements are counted
+    by a matrix product. Only links that join classes are emitted.
+    """
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("bucket")
+    sized = elements.withColumnRenamed("id", "e_id").withColumn("size", F.size("elements"))
+    rows = labelled.join(split, "bucket", "left_semi").join(sized, F.col("doc") == F.col("e_id")).drop("e_id")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int")
+    large = labelled.join(sized.select("e_id", "size"), F.col("doc") == F.col("e_id")).groupBy("bucket").agg(parts.alias("parts"))
+    rows = rows.join(large.where("parts > 1"), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    # A block meets itself and every other one; the unit is named by the two.
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.withColumn("other", other).select(
+        "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc", "label", "elements"
+    )
+    units = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for at, stop in zip(cuts, cuts[1:]):
+                if at == stop:
+                    continue
+                if key is not None and tuple(keys[at]) != key:
+                    yield from _unit_links(held, similarity)
+                    held = []
+                key = tuple(keys[at])
+                held.append(batch.slice(at, stop - at))
+        yield from _unit_links(held, similarity)
+
+    return units.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _unit_links(held: list[pa.RecordBatch], similarity: float):
+    """Links that join different labels, among the documents of two blocks (or one)."""
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    doc, label = table.column("doc").to_numpy(), table.column("label").to_numpy()
+    if len(np.unique(label)) < 2:
+        return
+    lists = table.column("elements").combine_chunks()
+    size = np.asarray(lists.value_lengths())
+    values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(doc)), size)
+    # Elements of one document alone are in no intersection.
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number)[number] > 1
+    owner, number = owner[shared], np.unique(number[shared], return_inverse=True)[1]
+    common = np.zeros((len(doc), len(doc)), np.float32)
+    for at in range(0, int(number.max(initial=-1)) + 1, COLUMNS):
+        lo, hi = np.searchsorted(number, [at, at + COLUMNS])
+        grid = np.zeros((len(doc), COLUMNS), np.float32)
+        grid[owner[lo:hi], number[lo:hi] - at] = 1
+        common += grid @ grid.T
+    union = size[:, None] + size[None, :] - common
+    alike = (common >= np.float32(similarity) * union - 1e-3) & (label[:, None] < label[None, :])
+    of: dict = {}
+
+    def root(x):
+        while of.get(x, x) != x:
+            x = of[x]
+        return x
+
+    pairs = []
+    for x, y in zip(*map(np.ndarray.tolist, np.nonzero(alike))):
+        # The exact test once more, in whole numbers.
+        both = int(common[x, y])
+        if both < similarity * (int(size[x]) + int(size[y]) - both):
+            continue
+        p, q = root(int(label[x])), root(int(label[y]))
+        if p != q:
+            of[max(p, q)] = min(p, q)
+            pairs.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every document id; null ids are left out."""
     lower = docs.select(col(docs, doc_id).cast("bigint").alias("id"), F.lower(F.coalesce(col(docs, text), F.lit(""))).alias("text"))
@@ -219,14 +310,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     copies = signed.join(same.where("n > 1"), ["k1", "k2"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     labels = components(links)
 
-    # What the drawn members did not settle: pairs of one bucket and different classes.
+    # What the drawn members did not settle: members of one bucket and different classes.
     labelled = settle(_with_labels(members, labels), "labelled")
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("bucket")
-    open_ = labelled.join(split, "bucket", "left_semi")
-    other = open_.select("bucket", F.col("doc").alias("doc2"), F.col("label").alias("label2"))
-    rest = open_.join(other, "bucket").where("label < label2").select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"))
-    rest = settle(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, elements, similarity)
+    more = settle(_cross_links(labelled, elements, similarity), "more")
     labels = components(links.unionByName(more).unionByName(copies))
     ids = signed.select("id").distinct()
     found = ids.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left")

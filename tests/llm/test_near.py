@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quireflow.llm import near
 from quireflow.llm.arrays import flat, mix, word_bounds
@@ -89,14 +90,16 @@ def test_classes(spark):
     assert {r["doc_id"] for r in kept.collect()} == want | {None}
 
 
-def test_large_group_of_variants(spark):
+@pytest.mark.parametrize("block", [1024, 16])
+def test_large_group_of_variants(spark, monkeypatch, block):
     """Every two of many variants share a base; links run through it and each other."""
+    monkeypatch.setattr(near, "BLOCK_DOCS", block)
     rng = random.Random(7)
     base = [f"b{k}" for k in range(200)]
     rows = []
     for i in range(150):
         w = list(base)
-        for _ in range(rng.randrange(0, 5)):
+        for _ in range(rng.randrange(0, 9)):
             w[rng.randrange(len(w))] = f"v{i}_{rng.random()}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
