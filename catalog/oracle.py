@@ -6,9 +6,9 @@ done by unnesting and re-aggregating where Spark stays inside arrays.
 
 from __future__ import annotations
 
-from quireflow.functions.templates import template_parts
-from quireflow.operators.notify import MESSAGES
-from quireflow.operators.prompts import TEMPLATES
+import re
+
+from catalog.wording import MESSAGES, TEMPLATES
 
 NL = "chr(10)"
 # White space, as code points.
@@ -141,7 +141,9 @@ def upper(c: str) -> str:
 
 def fill(template: str, **slots: str) -> str:
     pieces = []
-    for text, slot in template_parts(template):
+    # Odd pieces are the names of slots.
+    parts = re.split(r"\{(\w+)\}", template)
+    for text, slot in zip(parts[::2], [*parts[1::2], None]):
         if text:
             pieces.append("'" + text.replace("'", "''") + "'")
         if slot:
@@ -561,6 +563,12 @@ put(
     AS book_output_status, created_at
   FROM (SELECT *, {has('outline')} AND coalesce(status_outline_notes = 'yes', false) AS r FROM books) x""",
 )
+put(
+    "dashboard_approvals",
+    ("books",),
+    f""" SELECT id, CASE WHEN {has('outline')} AND status_outline_notes = 'yes' THEN 'no_notes_needed' ELSE status_outline_notes END
+    AS status_outline_notes, book_output_status FROM books""",
+)
 put(
     "apply_chapter_approvals",
     ("chapters",),
@@ -1107,6 +1115,21 @@ sent AS (SELECT *, CASE event_type {message_cases} END AS message, {HEADING} AS
     WHEN l.status = 'sent' THEN 'chapter_ready' ELSE 'waiting_chapter_notes' END AS event_type, l.status,
     coalesce(b.title, 'Unknown Book') AS book_title FROM log l LEFT JOIN books b ON b.id = l.book_id) x)"""
 LB = ("log", "books")
+put(
+    "given_messages",
+    LB,
+    """ SELECT l.id, event_type, 'batch ' || l.id AS message, coalesce(b.title, 'Unknown Book') AS book_title
+  FROM log l LEFT JOIN books b ON b.id = l.book_id WHERE event_type = 'chapters_generated'""",
+)
+put(
+    "outline_events",
+    ("books",),
+    REVISIONS
+    + """ SELECT id AS book_id, CASE WHEN error IS NULL THEN 'outline_ready' ELSE 'error_pause' END AS event_type, error,
+  CAST(NULL AS VARCHAR) AS message FROM revisions""",
+)
+ORACLE["chapter_batch_events"] = f"""SELECT book_id, 'chapters_generated' AS event_type, CAST(NULL AS VARCHAR) AS error,
+  count(*) || ' chapters generated.' AS message FROM ({ORACLE['generate_chapters']}) g GROUP BY book_id"""
 put("notification_messages", LB, SENT + " SELECT id, event_type, message FROM sent")
 put(
     "notification_log_rows",

@@ -11,7 +11,7 @@ from quireflow.functions.outline import short_headings, unreadable_numbers
 from quireflow.operators import audit, context, gates, generate, ingest, mutations, notify, prompts, queues, rollups
 from quireflow.plans import render
 from quireflow.schemas import conform
-from quireflow.session import shared_dir
+from quireflow.session import settle, shared_dir
 from quireflow.sources import tables, views as v
 from quireflow.streaming import streams
 
@@ -122,7 +122,8 @@ def append_with_defaults(spark, sf):
 
 def _compiled(spark, sf):
     books, chapters = v.markdown_books(spark, sf), v.markdown_chapters(spark, sf)
-    ready = render.compilable(books, gates.compile_gate(books, chapters))
+    gate = settle(gates.compile_gate(books, chapters).select("book_id", "can_compile"), "gate")
+    ready = render.compilable(books, gate)
     return ready, render.compile_text(ready, render.chapters_of(ready, chapters), as_of())
 
 
@@ -412,6 +413,14 @@ def apply_approvals(spark, sf):
     return mutations.patch_rows(done, final)
 
 
+@query
+def dashboard_approvals(spark, sf):
+    """Approval of reviewed outlines that leaves the output status as it is."""
+    books = v.books(spark, sf)
+    asked = mutations.dashboard_outline_approvals(queues.pending_reviews(books))
+    return mutations.patch_rows(books, asked).select("id", "status_outline_notes", "book_output_status")
+
+
 @query
 def apply_chapter_approvals(spark, sf):
     chapters = v.chapters(spark, sf)
@@ -756,6 +765,26 @@ def notification_messages(spark, sf):
     return _messages(spark, sf).select("id", "event_type", "message")
 
 
+@query
+def given_messages(spark, sf):
+    """Events of a type without a template, with the message that their caller gives."""
+    log = v.notifications_log(spark, sf).where("event_type = 'chapters_generated'")
+    events = log.select("id", "book_id", "event_type", F.concat(F.lit("batch "), F.col("id").cast("string")).alias("message"))
+    return notify.notification_messages(events, v.books(spark, sf)).select("id", "event_type", "message", "book_title")
+
+
+@query
+def outline_events(spark, sf):
+    asked = prompts.outline_revision_prompts(v.books(spark, sf))
+    made = generate.generate_text(asked, generate.DigestBackend, prompts.OUTLINE_TOKENS)
+    return notify.outline_events(made)
+
+
+@query
+def chapter_batch_events(spark, sf):
+    return notify.chapter_batch_events(generate_chapters(spark, sf))
+
+
 @query
 def notification_log_rows(spark, sf):
     return notify.notification_log_rows(_messages(spark, sf), "editor@example.com", as_of())

@@ -141,6 +141,18 @@ def chapter_results(results: DataFrame, regenerated: bool = False) -> DataFrame:
     return _patch_where(results, ok, {"status": F.lit("error")})
 
 
+def approved_too(results: DataFrame, approved: DataFrame) -> DataFrame:
+    """Patches of ``chapter_results``, with the chapters of ``approved`` (id) approved by the same patch."""
+    joined = results.join(approved.select("id", F.lit(True).alias("_approved")), "id", "full")
+    yes, given = F.coalesce("_approved", F.lit(False)), set(results.columns)
+    to = {"status": F.lit("approved"), "notes_status": F.lit(APPROVED)}
+    out = [F.col("id")]
+    for c in (c for c in results.columns if c != "id" and not c.startswith(SET)):
+        was_set = F.coalesce(F.col(SET + c), F.lit(False)) if SET + c in given else F.col("status").isNotNull()
+        out += [F.when(yes, to[c]).otherwise(F.col(c)).alias(c), (was_set | yes).alias(SET + c)] if c in to else [c, was_set.alias(SET + c)]
+    return joined.select(out)
+
+
 def completed_books(requested: DataFrame, results: DataFrame) -> DataFrame:
     """Patches for requested books without a failed format.
 

@@ -80,7 +80,8 @@ def notification_messages(
     """Adds ``book_title`` and ``message`` to events.
 
     Events carry book_id, event_type and whatever their template needs:
-    chapter_number, paths (array of format and path), or error.
+    chapter_number, paths (array of format and path), or error. An event of a
+    type without a template keeps the ``message`` that its caller gave it.
     """
     rows = with_title(events, books)
     have = set(rows.columns)
@@ -96,9 +97,39 @@ def notification_messages(
         here = F.col("event_type") == name
         text = strip(fill(template, slots))
         message = F.when(here, text) if message is None else message.when(here, text)
+    if "message" in have:
+        message = F.coalesce(message, F.col("message"))
     return rows.withColumn("message", message)
 
 
+def outline_events(results: DataFrame) -> DataFrame:
+    """An event per generated outline (id, error): ready for review, or a stop with its error."""
+    return results.select(
+        F.col("id").alias("book_id"),
+        F.when(F.col("error").isNull(), "outline_ready").otherwise("error_pause").alias("event_type"),
+        "error",
+        F.lit(None).cast("string").alias("message"),
+    )
+
+
+def chapter_batch_events(results: DataFrame) -> DataFrame:
+    """Per book of a batch (book_id, error): how many chapters it made, and the error it stopped at.
+
+    A book stops at its first error, so it has one at most.
+    """
+    made = results.groupBy("book_id").agg(F.count_if(F.col("error").isNull()).alias("n"), F.max("error").alias("error"))
+    count = F.when(F.col("n") > 0, F.lit("chapters_generated"))
+    stop = F.when(F.col("error").isNotNull(), F.lit("error_pause"))
+    kinds = F.filter(F.array(count, stop), lambda e: e.isNotNull())
+    said = F.concat(F.col("n").cast("string"), F.lit(" chapters generated."))
+    return made.select("book_id", F.explode(kinds).alias("event_type"), "error", "n").select(
+        "book_id",
+        "event_type",
+        F.when(F.col("event_type") == "error_pause", F.col("error")).alias("error"),
+        F.when(F.col("event_type") == "chapters_generated", said).alias("message"),
+    )
+
+
 def notification_log_rows(messages: DataFrame, recipient: str, as_of: Column) -> DataFrame:
     """Log rows; anything not delivered, or never attempted, counts as failed.
 

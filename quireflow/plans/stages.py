@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quireflow.functions.text import has, written
-from quireflow.operators import gates, generate, ingest, mutations, prompts, queues, rollups
+from quireflow.operators import gates, generate, ingest, mutations, notify, prompts, queues, rollups
 from quireflow.operators.context import initial_chapters
 from quireflow.plans import render
 from quireflow.session import settle
@@ -26,12 +26,17 @@ def ingest_titles(submissions: DataFrame, books: DataFrame, as_of: Column | None
     return append_with_defaults(created, "books", ["title"], books.schema["id"].dataType, as_of)
 
 
-def write_outlines(books: DataFrame, backend: generate.Backend, as_of: Column) -> DataFrame:
-    """Books with outlines generated for the queue."""
+def outline_batch(books: DataFrame, backend: generate.Backend, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Books with outlines generated for the queue, and an event for each of these."""
     made = settle(
         generate.generate_text(prompts.outline_prompts(books), backend, prompts.OUTLINE_TOKENS), "outlines"
     )
-    return mutations.patch_rows(books, mutations.outline_results(made), as_of)
+    return mutations.patch_rows(books, mutations.outline_results(made), as_of), notify.outline_events(made)
+
+
+def write_outlines(books: DataFrame, backend: generate.Backend, as_of: Column) -> DataFrame:
+    """Books with outlines generated for the queue."""
+    return outline_batch(books, backend, as_of)[0]
 
 
 def revise_outlines(books: DataFrame, backend: generate.Backend, as_of: Column) -> DataFrame:
@@ -46,29 +51,44 @@ def start_chapters(books: DataFrame, chapters: DataFrame, as_of: Column | None =
     return initial_chapters(queues.ready_for_chapters(books), chapters, as_of=as_of)
 
 
-def write_chapters(
+def chapter_batch(
     books: DataFrame,
     chapters: DataFrame,
     backend: generate.Backend,
     as_of: Column,
     auto_approve: bool = False,
-) -> DataFrame:
-    """Chapters after one batch run over all approved books."""
+) -> tuple[DataFrame, DataFrame]:
+    """Chapters after one batch run over all approved books, and the events of these.
+
+    Results and approvals are joined as narrow patches, and the chapters, texts
+    included, are patched once.
+    """
     started = start_chapters(books, chapters, as_of)
     plan = settle(gates.batch_plan(books, started, auto_approve), "batch-plan")
     made = settle(generate.generate_chapters(plan, books, started, backend), "chapters")
     keyed = started.select("id", "book_id", "chapter_number")
     results = made.join(keyed, ["book_id", "chapter_number"]).select("id", "content", "summary", "error")
-    written = mutations.patch_rows(started, mutations.chapter_results(results), as_of)
-    if not auto_approve:
-        return written
-    failed = made.where(F.col("error").isNotNull()).groupBy("book_id").agg(F.min("chapter_number").alias("_at"))
-    done = (
-        plan.join(failed, "book_id", "left")
-        .where(F.col("_at").isNull() | (F.col("chapter_number") < F.col("_at")))
-        .join(keyed, ["book_id", "chapter_number"])
-    )
-    return mutations.patch_rows(written, mutations.chapter_approvals(done), as_of)
+    patches = mutations.chapter_results(results)
+    if auto_approve:
+        failed = made.where(F.col("error").isNotNull()).groupBy("book_id").agg(F.min("chapter_number").alias("_at"))
+        done = (
+            plan.join(failed, "book_id", "left")
+            .where(F.col("_at").isNull() | (F.col("chapter_number") < F.col("_at")))
+            .join(keyed, ["book_id", "chapter_number"])
+        )
+        patches = mutations.approved_too(patches, done)
+    return mutations.patch_rows(started, patches, as_of), notify.chapter_batch_events(made)
+
+
+def write_chapters(
+    books: DataFrame,
+    chapters: DataFrame,
+    backend: generate.Backend,
+    as_of: Column,
+    auto_approve: bool = False,
+) -> DataFrame:
+    """Chapters after one batch run over all approved books."""
+    return chapter_batch(books, chapters, backend, as_of, auto_approve)[0]
 
 
 def revise_chapters(
@@ -101,7 +121,7 @@ class Compiled:
 
 def compile_books(books: DataFrame, chapters: DataFrame, as_of: Column, force: bool = False) -> Compiled:
     """All formats of every book that may be compiled, and the changed books."""
-    gate = gates.compile_gate(books, chapters)
+    gate = settle(gates.compile_gate(books, chapters), "compile-gate")
     chosen, kept = books, chapters.where(written(chapters))
     if not force:
         chosen = render.compilable(books, gate)
@@ -139,13 +159,14 @@ def run_unattended(
     none included, provided its outline is approved and chapters could be
     started at all.
     """
-    outlined = write_outlines(books, backend, as_of)
+    outlined, outline_news = outline_batch(books, backend, as_of)
     if auto_approve:
         waiting = outlined.where(~queues.is_status("status_outline_notes", queues.APPROVED))
         asked = waiting.select("id", F.lit(False).alias("needs_notes"))
         outlined = mutations.patch_rows(outlined, mutations.outline_approvals(asked), as_of)
     outlined = settle(outlined, "run-books")
-    finished = settle(write_chapters(outlined, chapters, backend, as_of, auto_approve), "run-chapters")
+    finished, chapter_news = chapter_batch(outlined, chapters, backend, as_of, auto_approve)
+    finished = settle(finished, "run-chapters")
     counted = rollups.with_counts(outlined, finished).withColumnRenamed("book_id", "id")
     ready = counted.where(
         queues.is_status("status_outline_notes", queues.APPROVED)
@@ -164,5 +185,7 @@ def run_unattended(
         books=others.unionByName(compiled.books),
         chapters=finished,
         compiled=compiled,
-        events=drafts.unionByName(done),
+        events=drafts.unionByName(done)
+        .unionByName(outline_news, allowMissingColumns=True)
+        .unionByName(chapter_news, allowMissingColumns=True),
     )

@@ -6,7 +6,7 @@ from check_oracle import compare, connect
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"generate_text", "generate_chapters"}
+PYTHON = {"generate_text", "generate_chapters", "outline_events", "chapter_batch_events"}
 
 
 @pytest.fixture(scope="module")
