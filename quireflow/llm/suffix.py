@@ -146,18 +146,22 @@ class Queue:
                 return got
             self.file.close()
             self.file, self.read = None, 0
-        if self.parts:
-            part = self.parts.pop(0)
-            Queue.held -= part.nbytes
-            return part
-        return None
+        return self._held_parts()
+
+    def _held_parts(self):
+        """What lies in memory as one array, or None."""
+        if not self.parts:
+            return None
+        part = np.concatenate(self.parts, 1)
+        Queue.held -= part.nbytes
+        self.parts = []
+        return part
 
     def backwards(self, most: int = 1 << 20):
         """All tuples from the last to the first."""
-        for part in reversed(self.parts):
-            Queue.held -= part.nbytes
+        part = self._held_parts()
+        if part is not None:
             yield part[:, ::-1]
-        self.parts = []
         if self.file:
             end = self.file.seek(0, 2)
             while end > self.read:
