@@ -155,6 +155,31 @@ def scan_stored(spark: SparkSession, path: str, id_type: T.DataType | None = Non
     return conform(raw, "chapters", id_type, extra=("has_content",))
 
 
+# The columns that a chapter's state does without.
+TEXTS = ("content", "summary")
+
+
+def store_apart(chapters: DataFrame, path: str) -> None:
+    """Write chapters as two tables: a narrow state, patched often, and texts by id.
+
+    The state keeps the presence flag, so gates, rollups and status patches run
+    on ``scan_state`` and move no text.
+    """
+    state = chapters.drop("has_content").withColumn("has_content", has(F.col("content"))).drop(*TEXTS)
+    state.write.mode("overwrite").parquet(f"{path}/state")
+    chapters.select("id", *TEXTS).write.mode("overwrite").parquet(f"{path}/texts")
+
+
+def scan_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state of chapters stored apart; texts are not read."""
+    return spark.read.parquet(f"{path}/state")
+
+
+def with_texts(state: DataFrame, path: str) -> DataFrame:
+    """State rows with their texts, for the steps that need them."""
+    return state.join(state.sparkSession.read.parquet(f"{path}/texts"), "id", "left")
+
+
 def save_by_book(rows: DataFrame, name: str, path: str, buckets: int, key: str = "book_id") -> None:
     """Save a table bucketed and sorted by book.
 

@@ -9,7 +9,7 @@ from __spark_entry__ import queries
 from quireflow.operators import context, gates, mutations, prompts, queues, rollups
 from quireflow.operators.queues import by_id
 from quireflow.plans import render
-from quireflow.sources.tables import save_by_book, scan_stored, store_chapters
+from quireflow.sources.tables import save_by_book, scan_state, scan_stored, store_apart, store_chapters, with_texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,3 +120,17 @@ def test_tables_bucketed_by_book_meet_without_shuffle(spark, tmp_path, no_broadc
     assert "Exchange" not in plan, plan
     spark.sql("DROP TABLE bucketed_books")
     spark.sql("DROP TABLE bucketed_chapters")
+
+
+def test_status_patches_move_no_text(spark, tmp_path, no_broadcast):
+    rows, path = queries()["scan_chapters"](spark, SF), str(tmp_path / "apart")
+    store_apart(rows, path)
+    state = scan_state(spark, path)
+    asked = mutations.chapter_approvals(queues.unapproved_chapters(state))
+    after = mutations.patch_rows(state, asked, F.lit("2024-01-01").cast("timestamp_ntz"))
+    plan = plan_of(after)
+    assert "Exchange" in plan and not re.search(r"[\[,](content|summary)#", plan)
+    want = mutations.patch_rows(rows, mutations.chapter_approvals(queues.unapproved_chapters(rows)), F.lit("2024-01-01").cast("timestamp_ntz"))
+    columns = ["id", "content", "summary", "status", "notes_status", "updated_at"]
+    got = with_texts(after, path).select(columns).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want.select(columns).collect()))
