@@ -34,8 +34,8 @@ from quireflow.llm.common import col, documents
 
 # Stands for "no such merge"; ids are below it.
 NONE = 65535
-# Bytes of text in a block; larger blocks repeat fewer words.
-BLOCK = 24 << 20
+# Bytes of text in a block; larger blocks repeat fewer words and take more memory.
+BLOCK = 8 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -199,6 +199,17 @@ class Ranks:
         return ids[order], np.cumsum(np.bincount(word, minlength=n))
 
 
+def _id_lists(found: list[np.ndarray], ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The ids of each row, from its codes into words and the ids of these."""
+    rows = []
+    for c in found:
+        size = counts[c]
+        first = np.cumsum(size) - size
+        rows.append(ids[np.arange(int(size.sum())) + np.repeat(starts[c] - first, size)])
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ids[:0], *rows])))
+
+
 def _coder(ranks: Ranks, pattern: str, with_ids: bool):
     """Per block of rows: its distinct words, their ids and bytes, and from them each row's columns."""
 
@@ -214,21 +225,21 @@ def _coder(ranks: Ranks, pattern: str, with_ids: bool):
             spelled = [w.encode() for w in codes]
             ids, ends = ranks.encode(np.frombuffer(b"".join(spelled), np.uint8), np.cumsum([len(w) for w in spelled], dtype=np.int64))
             counts = np.diff(ends, prepend=0)
-            ids, starts = ids.tolist(), (ends - counts).tolist()
-            own = [ids[a:b] for a, b in zip(starts, ends.tolist())]
-            text_of = [",".join(map(str, i)) for i in own]
-            bytes_of = [b"".join([pieces_of[k] for k in i]) for i in own]
-            n, digests, decoded, lists = [], [], [], []
+            plain, starts = ids.tolist(), ends - counts
+            text_of, bytes_of = [], []
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                own = plain[a:b]
+                text_of.append(",".join(map(str, own)))
+                bytes_of.append(b"".join([pieces_of[k] for k in own]))
+            n, digests, decoded = [], [], []
             for c in found:
                 n.append(int(counts[c].sum()) if len(c) else 0)
                 c = c.tolist()
                 digests.append(hashlib.sha256(",".join([text_of[k] for k in c]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join([bytes_of[k] for k in c])).hexdigest())
-                if with_ids:
-                    lists.append([i for k in c for i in own[k]])
             made = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
-                made.append(pa.array(lists, pa.list_(pa.int32())))
+                made.append(_id_lists(found, ids.astype(np.int32), starts, counts))
             names = [*batch.schema.names[1:], *(f"m{i}" for i in range(len(made)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names)
 
