@@ -3,7 +3,9 @@
 import pytest
 from check_oracle import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalog.oracle import ORACLE
+from catalog.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 PYTHON = {"generate_text", "generate_chapters", "outline_events", "chapter_batch_events"}
@@ -14,9 +16,9 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_plan_and_rows(spark, con, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in PYTHON:
@@ -26,7 +28,7 @@ def test_plan_and_rows(spark, con, name):
 
 
 def test_every_query_has_reference_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
