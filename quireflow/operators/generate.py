@@ -1,6 +1,6 @@
 """Running a caller-supplied text generator over prompts and over books.
 
-These are the only two places where Python workers see rows. A backend is any
+These are the only places outside ``llm`` where Python workers see rows. A backend is any
 zero-argument callable that returns an object with
 ``generate(prompt, max_tokens, temperature) -> str``; it is opened once per
 task, and a failing row yields an error instead of failing the job.
@@ -14,7 +14,8 @@ from collections.abc import Callable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quireflow.functions.text import UNTITLED
+from quireflow.functions.templates import fill
+from quireflow.functions.text import UNTITLED, has, title_or_default
 from quireflow.operators.context import CONTEXT_HEADER, NO_SUMMARY
 from quireflow.operators.prompts import (
     CHAPTER_TOKENS,
@@ -22,6 +23,7 @@ from quireflow.operators.prompts import (
     TEMPERATURE,
     TEMPLATES,
 )
+from quireflow.session import settle
 
 Backend = Callable[[], object]
 
@@ -167,3 +169,66 @@ def generate_chapters(
         .sortWithinPartitions("book_id", "chapter_number")
         .mapInPandas(run, schema)
     )
+
+
+def generate_by_number(
+    plan: DataFrame,
+    books: DataFrame,
+    chapters: DataFrame,
+    backend: Backend,
+    templates: Mapping[str, str] = TEMPLATES,
+    tasks: int | None = None,
+    summary_input: int | None = None,
+) -> DataFrame:
+    """The same chapters as ``generate_chapters``, one chapter number over all books at a time.
+
+    For corpora with very long books: no task holds a book, and no running
+    context lives in Python. Each number is a pair of jobs, the chapters and then
+    their summaries, whose results are written before the next number reads
+    them; the context of a due chapter is gathered from narrow rows (book,
+    number, entry). The steps are as many as the longest book has due chapters.
+    """
+    keys = ["book_id", "chapter_number"]
+    work = settle(plan.where(F.col("work") == "generate").select(*keys), "work")
+    owners = books.select(F.col("id").alias("book_id"), F.col("title").alias("book_title"), "outline")
+    told = chapters.select(*keys, title_or_default(F.col("title")).alias("title"), "summary", "notes")
+    told = told.join(work.select("book_id").distinct(), "book_id", "left_semi")
+    kinds = {f.name: f.dataType for f in chapters.schema.fields}
+    done = chapters.sparkSession.createDataFrame(
+        [],
+        T.StructType(
+            [T.StructField("book_id", kinds["book_id"]), T.StructField("chapter_number", T.IntegerType())]
+            + [T.StructField(c, T.StringType()) for c in ("content", "summary", "error")]
+        ),
+    )
+    # One row per step: the numbers that are due in some book.
+    for row in work.select("chapter_number").distinct().orderBy("chapter_number").collect():
+        number = row["chapter_number"]
+        stopped = done.where(F.col("error").isNotNull()).select("book_id")
+        due = work.where(F.col("chapter_number") == number).join(stopped, "book_id", "left_anti")
+        made = done.where(F.col("error").isNull()).select(*keys, F.col("summary").alias("_new"), F.lit(True).alias("_made"))
+        before = told.where(F.col("chapter_number") < number).join(made, keys, "left")
+        summary = F.when(F.col("_made"), F.col("_new")).otherwise(F.col("summary"))
+        entry = F.concat(
+            F.lit("\nChapter "), F.col("chapter_number").cast("string"), F.lit(": "), F.col("title"), F.lit("\n"),
+            F.coalesce(summary, F.lit(NO_SUMMARY)), F.lit("\n"),
+        )
+        entries = before.join(due.select("book_id"), "book_id", "left_semi").select(
+            "book_id", F.struct("chapter_number", entry.alias("entry")).alias("e"), has(summary).alias("has")
+        )
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]), "")
+        contexts = entries.groupBy("book_id").agg(F.when(F.bool_or("has"), listed).alias("before"))
+        rows = due.join(told, keys).join(owners, "book_id").join(contexts, "book_id", "left")
+        context = F.when((F.col("chapter_number") > 1) & F.col("before").isNotNull(), F.concat(F.lit(CONTEXT_HEADER), F.col("before")))
+        notes = F.when(has(F.col("notes")), fill(templates["notes_section"], {"notes": F.col("notes")}))
+        shared = {"title": F.col("book_title"), "number": F.col("chapter_number"), "chapter_title": F.col("title")}
+        slots = {**shared, "outline": F.col("outline"), "context": context, "notes_section": notes}
+        asked = rows.select(*keys, "book_title", "title", fill(templates["chapter"], slots).alias("prompt"))
+        texts = settle(generate_text(asked, backend, CHAPTER_TOKENS, tasks=tasks), "by-number")
+        given = F.col("content") if summary_input is None else F.substring("content", 1, summary_input)
+        wanted = texts.withColumnRenamed("text", "content").withColumn("prompt", fill(templates["summary"], {**shared, "content": given}))
+        sums = settle(generate_text(wanted, backend, SUMMARY_TOKENS, tasks=tasks), "by-number")
+        ok = F.col("error").isNull()
+        step = sums.select(*keys, F.when(ok, F.col("content")).alias("content"), F.when(ok, F.col("text")).alias("summary"), "error")
+        done = done.unionByName(step)
+    return done

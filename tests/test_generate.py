@@ -181,3 +181,16 @@ def test_shared_folder_is_required(spark):
         class NoConf:
             conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
         shared_dir(NoConf(), "x")
+
+
+def test_chapter_numbers_one_at_a_time_give_the_same(spark):
+    """Failures, stored summaries in between, titles that are NULL, and gaps in numbers."""
+    books = spark.createDataFrame([(1, "A", "o1"), (2, None, None), (3, "C", "o3")], "id long, title string, outline string")
+    rows = [(b, n, None if n == 3 else f"t{n}", "kept" if n == 2 else None, "be brief" if n == 4 else "") for b in (1, 2) for n in (1, 2, 3, 4, 7)]
+    rows += [(3, 1, "forbidden", None, None), (3, 2, "after", None, None)]
+    chapters = spark.createDataFrame(rows, "book_id long, chapter_number int, title string, summary string, notes string")
+    plan = chapters.select("book_id", "chapter_number", F.when(F.col("summary").isNull(), "generate").otherwise("keep_existing").alias("work"))
+    one = generate.generate_chapters(plan, books, chapters, Picky).collect()
+    two = generate.generate_by_number(plan, books, chapters, Picky).collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, two)) and len(one) == 9
+    assert any(r["error"] for r in one)
