@@ -313,7 +313,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     # What the drawn members did not settle: members of one bucket and different classes.
     labelled = settle(_with_labels(members, labels), "labelled")
     more = settle(_cross_links(labelled, elements, similarity), "more")
-    labels = components(links.unionByName(more).unionByName(copies))
+    # Each class so far is a star around its label, which connects what its many links do.
+    stars = labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+    labels = components(stars.unionByName(more).unionByName(copies))
     ids = signed.select("id").distinct()
     found = ids.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left")
     return found.select(F.col("id").alias("doc_id"), F.coalesce("label", "id").alias("class_id"))
