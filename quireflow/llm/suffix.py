@@ -37,11 +37,12 @@ from quireflow.llm.common import col, documents, settle
 LENGTH = 200
 GRAM = 32
 # Bytes of pieces in a shard, as aimed at.
-SHARD = 4 << 20
+SHARD = 2 << 20
 # Bytes that a task's queues hold in memory before they write to disk.
 MEMORY = 256 << 20
-# Recursion ends in memory below so many names.
-BASE = 1 << 20
+# Recursion ends in memory up to so many names, which is beyond any shard as aimed at; only a
+# larger shard, of one very common anchor, goes on, symbol by symbol and slowly.
+BASE = 1 << 22
 # Never a byte of UTF-8, so pieces parted by it share nothing across it.
 PART = 0xFF
 
