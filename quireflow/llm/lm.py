@@ -9,7 +9,8 @@
 4. The model predicts a symbol's vector from the two symbols before it. Each task
    trains a copy over its blocks with shared noise samples; copies are averaged,
    weighted by tokens, and the next of ``ROUNDS`` rounds goes on from the average.
-   The rounds part the blocks, so every training token is used once in an epoch.
+   The rounds part the blocks, so every training token is used once in an epoch;
+   there are ``EPOCHS`` of them at every size.
 5. Scores are normalised: the softmax over all symbols, by matrix products, once
    for each distinct context, times a word's share of its class, in which one
    unseen word has the weight of ``ADD``.
@@ -39,8 +40,7 @@ DIM = 24
 NOISE = 32
 BATCH = 8192
 ROUNDS = 3
-EPOCH_TOKENS = 2_000_000  # smaller corpora are gone through several times, up to EPOCHS
-EPOCHS = 6
+EPOCHS = 6  # at every size
 BLOCK = 16 << 20
 
 BLOCKS = (
@@ -141,19 +141,28 @@ class Model:
         w = self.w
         noise = rng.choice(SYMBOLS, NOISE, p=self.noise)
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        r1, r2 = w["context"][one], w["context"][two]
-        q = r1 @ w["one"] + r2 @ w["two"]
-        true = (q * w["out"][target]).sum(1) + w["bias"][target] - log_noise[target]
-        false = q @ w["out"][noise].T + (w["bias"] - log_noise)[noise]
-        d_true = (-1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32)
-        d_false = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32)
-        d_q = d_true[:, None] * w["out"][target] + d_false @ w["out"][noise]
+        # Rows of one symbol share what follows from it, so products are taken by symbol.
+        q = (w["context"] @ w["one"]).take(one, 0)
+        q += (w["context"] @ w["two"]).take(two, 0)
+        out, away = w["out"].take(target, 0), w["out"][noise]
+        true = np.einsum("ij,ij->i", q, out) + (w["bias"] - log_noise).take(target)
+        d_false = q @ away.T
+        d_false += (w["bias"] - log_noise)[noise]
+        d_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))
+        np.clip(d_false, -30, 30, out=d_false)
+        np.exp(np.negative(d_false, out=d_false), out=d_false)
+        d_false += 1
+        np.reciprocal(d_false, out=d_false)
+        out *= d_true[:, None]
+        d_q = d_false @ away
+        d_q += out
         n = np.float32(len(target))
         d_out = _gathered(target, d_true[:, None] * q)
         np.add.at(d_out, noise, d_false.T @ q)
         d_bias = np.bincount(target, d_true, SYMBOLS) + np.bincount(noise, d_false.sum(0), SYMBOLS)
-        d_context = _gathered(one, d_q @ w["one"].T) + _gathered(two, d_q @ w["two"].T)
-        for k, g in (("context", d_context), ("out", d_out), ("bias", d_bias), ("one", r1.T @ d_q), ("two", r2.T @ d_q)):
+        g1, g2 = _gathered(one, d_q), _gathered(two, d_q)
+        d_context = g1 @ w["one"].T + g2 @ w["two"].T
+        for k, g in (("context", d_context), ("out", d_out), ("bias", d_bias), ("one", w["context"].T @ g1), ("two", w["context"].T @ g2)):
             g = (g * (SYMBOLS / 64) if k in ("context", "out", "bias") else g) / n
             self.squares[k] += g * g
             w[k] -= (rate * g / np.sqrt(self.squares[k])).astype(np.float32)
@@ -174,7 +183,7 @@ def _gathered(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
     order = np.argsort(rows.astype(np.int16), kind="stable")
     sorted_rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    out[sorted_rows[starts]] = np.add.reduceat(values[order], starts)
+    out[sorted_rows[starts]] = np.add.reduceat(values.take(order, 0), starts)
     return out
 
 
@@ -304,10 +313,9 @@ def score_documents(docs: DataFrame, folds: int = 10, doc_id: str = "doc_id", te
     ready = settle(ready.select("block", "doc_ids", "held", "ends", "codes", F.col("x.c").alias("cs"), F.col("x.symbol").alias("symbols")), "lm-ready")
 
     model = Model(noise / noise.sum())
-    epochs = int(np.clip(EPOCH_TOKENS // max(1, total), 1, EPOCHS))
     for round_ in range(ROUNDS):
         part = ready.where(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == round_)
-        mean = _averaged(part.mapInArrow(_trainer(model, epochs, round_), "n bigint, w array<double>"))
+        mean = _averaged(part.mapInArrow(_trainer(model, EPOCHS, round_), "n bigint, w array<double>"))
         if mean is not None:
             model.set(np.array(mean))
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"

@@ -72,3 +72,12 @@ def test_contexts_do_not_cross_texts():
     one, two = lm._contexts(np.array([5, 6, 7, 0, 8, 0, 0, 9, 9, 0]), np.array([4, 6, 7, 10]))
     assert one.tolist() == [0, 5, 6, 7, 0, 8, 0, 0, 9, 9]
     assert two.tolist() == [0, 0, 5, 6, 0, 0, 0, 0, 0, 9]
+
+
+def test_epochs_do_not_follow_size(spark, monkeypatch):
+    seen, trainer = [], lm._trainer
+    monkeypatch.setattr(lm, "_trainer", lambda model, epochs, seed: seen.append(epochs) or trainer(model, epochs, seed))
+    few = spark.createDataFrame([(i, "a b c") for i in range(30)], "doc_id bigint, text string")
+    lm.score_documents(few).count()
+    lm.score_documents(spark.createDataFrame([(i, "a b c d " * 4000) for i in range(30)], "doc_id bigint, text string")).count()
+    assert len(set(seen)) == 1 and seen[0] == lm.EPOCHS
