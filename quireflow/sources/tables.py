@@ -17,6 +17,16 @@ class MissingColumn(ValueError):
     """A submission table lacks a required column."""
 
 
+def _has_broken_cells(spark: SparkSession, path: str) -> bool:
+    """Whether some line of the sheets has an odd number of quotes, as where a quoted cell goes over lines.
+
+    A quote inside a quoted cell is written as two, so they count even.
+    """
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return bool(lines.where(quotes % 2 == 1).take(1))
+
+
 def _source_headers(columns: Sequence[str]) -> list[str]:
     """Lowercased, trimmed headers, with the reader's duplicate marks removed.
 
@@ -73,18 +83,21 @@ def read_submissions(
     path: str,
     fmt: str = "csv",
     row_number: str = "row_number",
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read a header-first table of submissions from CSV, JSON or Parquet.
 
     A sheet needs a title column only. Where it has no column of row numbers,
-    they follow from each row's place in its file. Large sheets are split;
-    ``multi_line=True`` reads CSV cells that hold line breaks, a file per task.
+    they follow from each row's place in its file. CSV sheets are split, unless
+    some cell goes over lines, which a pass over the lines finds out; then a file
+    is read per task. ``multi_line`` states it beforehand.
     Files whose headers disagree with the first one are refused. An empty CSV
     cell is NULL.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
+        if multi_line is None:
+            multi_line = _has_broken_cells(spark, path)
         reader = reader.options(header=True, multiLine=multi_line, escape='"')
         headers = _source_headers(reader.load(path).columns)
         # The reader renames repeated headers, so it cannot compare them.

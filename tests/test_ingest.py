@@ -103,3 +103,9 @@ def test_append_and_scan(spark, tmp_path):
     tables.append(rows, path, "books")
     back = tables.scan(spark, path, "books")
     assert back.count() == 2 and back.first()["book_output_status"] == "pending"
+
+
+def test_cells_with_line_breaks_are_found(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('title,notes_on_outline_before\nfirst,"one\ntwo, ""so"""\nsecond,n\n')
+    rows = tables.read_submissions(spark, str(tmp_path)).orderBy("row_number").collect()
+    assert [tuple(r) for r in rows] == [(2, "first", 'one\ntwo, "so"'), (3, "second", "n")]
