@@ -16,6 +16,12 @@ files beyond ``MEMORY`` bytes. Neighbours in suffix order with a common prefix o
 ``LENGTH`` or more are repeats. An anchor with one piece needs no sorting: that
 piece repeats whole.
 
+A shard has at most twice ``SHARD`` + ``HOT`` bytes. The pieces of an anchor that has more
+than ``HOT`` are in no shard. Equal strings have equal offsets from the anchor, so
+their starts are parted by ranges of offsets, and by the hash of the bytes that all
+strings of a range cover; what is alone there cannot repeat. The strings of the rest
+are hashed and counted over all tasks.
+
 Rules: texts are UTF-8 bytes, a null text has none; matches never cross
 documents; strings are judged on the input. Rows that repeat are documents like
 any others, so both lose what they share. Null ids are ids. An empty table gives
@@ -29,7 +35,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quireflow.llm.arrays import flat, mix, pieces, prefix_sums, span_hash
 from quireflow.llm.common import col, documents, settle
@@ -40,8 +46,11 @@ GRAM = 32
 SHARD = 2 << 20
 # Bytes that a task's queues hold in memory before they write to disk.
 MEMORY = 256 << 20
-# Recursion ends in memory up to so many names, which is beyond any shard as aimed at; only a
-# larger shard, of one very common anchor, goes on, symbol by symbol and slowly.
+# Distinct pieces of an anchor that have more bytes than this are counted, not sorted.
+HOT = 2 << 20
+# How many offsets from the anchor are in a range.
+OFFSETS = 43
+# Recursion ends in memory up to so many names, which is beyond any shard.
 BASE = 1 << 22
 # Never a byte of UTF-8, so pieces parted by it share nothing across it.
 PART = 0xFF
@@ -390,14 +399,79 @@ def _sort_shard(table: pa.Table) -> pa.Table:
 
 
 def _cut(batches):
-    """(h, ph, n, piece) from texts with the pieces wanted of each."""
+    """(h, ph, n, shard, piece) from texts with the pieces wanted of each."""
     for batch in batches:
         wanted = batch.column(1).to_pylist()
         data, offsets = flat(batch.column(0))
-        rows = [(p["h"], p["ph"], p["n"], bytes(data[o + p["s1"] : o + p["s2"] + LENGTH])) for o, ps in zip(offsets.tolist(), wanted) for p in ps]
-        columns = list(zip(*rows)) or [[], [], [], []]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["h", "ph", "n", "piece"])
+        rows = [(p["h"], p["ph"], p["n"], p["shard"], bytes(data[o + p["s1"] : o + p["s2"] + LENGTH])) for o, ps in zip(offsets.tolist(), wanted) for p in ps]
+        columns = list(zip(*rows)) or [[], [], [], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["h", "ph", "n", "shard", "piece"])
+
+
+def _ranges(batches):
+    """(h, ph, n, s, e, w, sh) from (h, ph, n, piece): starts [s, e) of a range of offsets from the anchor.
+
+    ``w`` is the hash of the bytes that every string of the range covers, ``sh`` that of all the starts' bytes.
+    """
+    for batch in pieces(batches, 3):
+        data, offsets = flat(batch.column(3))
+        sums, size = prefix_sums(data), np.diff(offsets)
+        at = np.arange(len(data) - GRAM + 1)
+        row = np.repeat(np.arange(batch.num_rows), size)[: len(at)]
+        hit = np.flatnonzero(span_hash(sums, at, at + GRAM) == batch.column(0).to_numpy().view(np.uint64)[row])
+        # The anchor is the leftmost of equals.
+        place = hit[np.unique(row[hit], return_index=True)[1]]
+        for low in range(0, LENGTH - GRAM + 1, OFFSETS):
+            high = min(low + OFFSETS - 1, LENGTH - GRAM)
+            first, last = np.maximum(offsets[:-1], place - high), np.minimum(offsets[1:] - LENGTH, place - low)
+            k = np.flatnonzero(first <= last)
+            w = mix(span_hash(sums, place[k] - low, place[k] - high + LENGTH) + np.uint64(low))
+            sh = span_hash(sums, first[k], last[k] + LENGTH)
+            start = offsets[:-1][k]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i).take(pa.array(k)) for i in range(3)), pa.array((first[k] - start).astype(np.int32)),
+                    pa.array((last[k] + 1 - start).astype(np.int32)), pa.array(w.view(np.int64)), pa.array(sh.view(np.int64)),
+                ],
+                ["h", "ph", "n", "s", "e", "w", "sh"],
+            )
+
+
+def _string_hashes(batches):
+    """(w, sh, n, i, x) from (w, sh, n, s, e, piece): the hash of each start's string, the first start being 0."""
+    for batch in pieces(batches, 5):
+        data, offsets = flat(batch.column(5))
+        s, e = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+        size = e - s
+        row = np.repeat(np.arange(len(s)), size)
+        i = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        start = offsets[row] + s[row] + i
+        x = span_hash(prefix_sums(data), start, start + LENGTH)
+        taken = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(taken) for c in range(3)), pa.array(i.astype(np.int32)), pa.array(x.view(np.int64))], ["w", "sh", "n", "i", "x"]
+        )
+
+
+def _counted_repeats(cut: DataFrame) -> DataFrame:
+    """(h, ph, runs) of the pieces of common anchors, a row for each range of offsets; no task holds an anchor."""
+    parted = cut.select("h", "ph", "n", "piece").mapInArrow(
+        _ranges, "h bigint, ph bigint, n bigint, s int, e int, w bigint, sh bigint"
+    )
+    parted = settle(parted, "ranges")
+    alike = parted.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
+    live = settle(parted.join(alike, "w", "left_semi"), "live-ranges")
+    distinct = live.groupBy("w", "sh").agg(F.sum("n").alias("n"), F.min(F.struct("h", "ph", "s", "e")).alias("at"))
+    own = distinct.select("w", "sh", "n", "at.*").join(cut.select("h", "ph", "piece"), ["h", "ph"])
+    strings = own.select("w", "sh", "n", "s", "e", "piece").mapInArrow(_string_hashes, "w bigint, sh bigint, n bigint, i int, x bigint")
+    strings = settle(strings, "strings")
+    twice = strings.groupBy("x").agg(F.sum("n").alias("n")).where("n > 1").select("x")
+    found = strings.join(twice, "x", "left_semi").groupBy("w", "sh").agg(F.collect_set("i").alias("is"))
+    begin = F.array_sort(F.filter("is", lambda i: ~F.array_contains("is", i - 1)))
+    end = F.array_sort(F.filter("is", lambda i: ~F.array_contains("is", i + 1)))
+    runs = F.flatten(F.zip_with(begin, end, lambda a, b: F.array(F.col("s") + a, F.col("s") + b + 1)))
+    return live.join(found, ["w", "sh"]).select("h", "ph", runs.alias("runs"))
 
 
 def _removed(batches):
@@ -434,21 +508,29 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     hits = settle(runs.join(twice, "h", "left_semi"), "hits")
     counted = hits.groupBy("h", "ph").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "s1", "s2")).alias("at"))
     counted = settle(counted, "pieces")
-    kinds = counted.groupBy("h").agg(F.count("*").alias("kinds"))
-    several = kinds.where("kinds > 1").select("h")
+    kinds = settle(counted.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.col("at.s2") - F.col("at.s1") + LENGTH).alias("size")), "kinds")
+    hot = F.col("size") > HOT
+    several = kinds.where("kinds > 1")
+    size, hottest = several.agg(F.sum(F.when(~hot, F.col("size"))), F.max("size")).first()
+    # Shards by hash, each cut where it has twice SHARD bytes.
+    slots = 1 + (size or 0) // SHARD
+    slot = F.pmod(F.xxhash64("h"), F.lit(slots))
+    before = F.sum("size").over(Window.partitionBy(slot).orderBy("h")) - F.col("size")
+    dealt = several.where(~hot).select("h", (F.floor(before / (2 * SHARD)) * slots + slot).alias("shard"))
+    dealt = dealt.unionByName(several.where(hot).select("h", F.lit(None).cast("bigint").alias("shard")))
     one = counted.join(kinds.where("kinds = 1").select("h"), "h", "left_semi").where("n > 1")
     # A piece of the only kind repeats at every start.
     whole = one.select("h", "ph", F.array(F.lit(0), F.col("at.s2") - F.col("at.s1") + 1).alias("runs"))
 
-    wanted = counted.join(several, "h", "left_semi").groupBy(F.col("at.id").alias("w_id"), F.col("at.th").alias("w_th")).agg(
-        F.collect_list(F.struct("h", "ph", "n", F.col("at.s1").alias("s1"), F.col("at.s2").alias("s2"))).alias("ps")
+    wanted = counted.join(dealt, "h").groupBy(F.col("at.id").alias("w_id"), F.col("at.th").alias("w_th")).agg(
+        F.collect_list(F.struct("h", "ph", "n", "shard", F.col("at.s1").alias("s1"), F.col("at.s2").alias("s2"))).alias("ps")
     )
     same = F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))
     found = taken.join(wanted, same).select("text", "ps")
-    cut = settle(found.mapInArrow(_cut, "h bigint, ph bigint, n bigint, piece binary").dropDuplicates(["h", "ph"]), "cut")
-    size = cut.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    shard = F.pmod(F.xxhash64("h"), F.lit(1 + size // SHARD))
-    sorted_ = cut.withColumn("shard", shard).groupBy("shard").applyInArrow(_sort_shard, "h bigint, ph bigint, runs array<int>")
+    cut = settle(found.mapInArrow(_cut, "h bigint, ph bigint, n bigint, shard bigint, piece binary").dropDuplicates(["h", "ph"]), "cut")
+    sorted_ = cut.where("shard is not null").groupBy("shard").applyInArrow(_sort_shard, "h bigint, ph bigint, runs array<int>")
+    if (hottest or 0) > HOT:
+        sorted_ = sorted_.unionByName(_counted_repeats(cut.where("shard is null")))
     again = settle(whole.unionByName(sorted_).where(F.size("runs") > 0), "repeated")
 
     edges = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct(

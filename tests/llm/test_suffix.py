@@ -104,3 +104,26 @@ def test_removal(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert suffix.remove_repeats(df).count() == 0
+
+
+def test_common_anchors_are_in_no_shard(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 1000)
+    monkeypatch.setattr(suffix, "SHARD", 4000)
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    body = lambda n: " ".join(word() for _ in range(n))
+    hot, long = "common string of 32 bytes, or so!", body(60)
+    rows = [(i, f"{body(40)} {hot} {body(40)}") for i in range(120)]
+    rows += [(i, f"{body(40)} {hot} {long} {body(10)}") for i in range(200, 260)]
+    rows += [(i, f"{body(40)}{long[-90:]} {hot} {long} {body(10)}") for i in range(300, 330)]
+    rows += [(i, rows[i][1][:200] + "#" + rows[i][1][201:]) for i in range(20)] + rows[:5]
+    counted, inner = [], suffix._counted_repeats
+
+    def seen(cut):
+        counted.append(cut.groupBy("h").count().count())
+        return inner(cut)
+
+    monkeypatch.setattr(suffix, "_counted_repeats", seen)
+    key = lambda r: (r[0], r[4])
+    assert sorted(result(spark, rows), key=key) == sorted(brute(rows), key=key)
+    assert counted and counted[0] > 0
