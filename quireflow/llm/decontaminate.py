@@ -15,13 +15,14 @@ before the last sentences) and of its answer (the last sentences, a quarter of
 the words at least) ``COVER`` of all word trigrams or more must occur, punctuation
 left out.
 
-The index is broadcast in shards of at most ``SHARD`` items, one pass over the
-texts for each, with counts of terms taken over all items. An item of more than
-``SHARD_WORDS`` words is refused rather than cut.
+The index is broadcast in shards, one pass over the texts for each, with counts of
+terms taken over all items. A shard has at most ``SHARD`` items, and ends with the
+item that reaches ``SHARD_WORDS`` words. An item lies whole in one shard, since
+verification needs all its places; it may be as long as a text may be.
 
 Rules: words are lower-cased and parted by white space. Null and empty texts
 hold no item; items without words or without an id are left out. Items that repeat an id are
-indexed one by one. Each row of the texts is judged by itself, so repeated rows
+indexed one by one, equal rows once. Each row of the texts is judged by itself, so repeated rows
 and null ids do no harm. Without items no text is contaminated. Extra columns
 pass through.
 """
@@ -32,17 +33,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from quireflow.llm.arrays import flat, pieces, prefix_sums, span_hash, word_bounds
-from quireflow.llm.common import col, documents, fresh, words
+from quireflow.llm.common import col, documents, fresh, settle, words
 
 K1, B = 1.2, 0.75
 PART = 32
 SHARE = 0.6
 COVER = 0.5
 BLOCK = 64
-SHARD, SHARD_WORDS = 20_000, 10_000
+SHARD, SHARD_WORDS = 20_000, 1_000_000
 # Scores are divided by the threshold, so this is the threshold, but for rounding.
 ENOUGH = 1 - 1e-9
 # How many sums by (passage, block) are held at once.
@@ -63,10 +64,14 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     well, and so on; where no question is left, the words are halved.
     """
     whole = text.split()
-    for m in reversed(list(re.finditer(r"[.!?]\s+|\n", text.strip()))):
-        answer = text.strip()[m.end() :].split()
-        if 4 * len(answer) >= len(whole) and 4 * len(answer) <= 3 * len(whole):
-            return whole[: -len(answer)], answer
+    text, n, end = text.strip(), 0, None
+    for m in reversed(list(re.finditer(r"[.!?]\s+|\n", text))):
+        n += len(text[m.end() : end].split())
+        end = m.end()
+        if 4 * n > 3 * len(whole):
+            break
+        if n and 4 * n >= len(whole):
+            return whole[:-n], whole[-n:]
     half = (len(whole) + 1) // 2
     return whole[:half], whole[half:]
 
@@ -78,8 +83,9 @@ class Index:
         self.items = [(i, *question_and_answer(t)) for i, t in items]
         parts, lengths, owner = [], [], []
         for k, (_, q, a) in enumerate(self.items):
-            for at in range(0, len(q) + len(a), PART):
-                parts.append(np.unique(_hash_words((q + a)[at : at + PART]), return_counts=True))
+            ws = q + a
+            for at in range(0, len(ws), PART):
+                parts.append(np.unique(_hash_words(ws[at : at + PART]), return_counts=True))
                 lengths.append(parts[-1][1].sum())
                 owner.append(k)
         self.owner = np.array(owner, np.int64)
@@ -159,14 +165,23 @@ class Index:
     def verified(self, text: str, places: list[tuple[int, int]]) -> list[int]:
         """The ids of the items whose question and answer both stand near where they were found."""
         ws = re.findall(r"[^\x20\x09-\x0D]+", text)
-        out = []
-        for k in sorted({k for _, k in places}):
+        out, by_item = [], {}
+        for w, k in places:
+            by_item.setdefault(k, set()).add(w)
+        for k in sorted(by_item):
             item, q, a = self.items[k]
             near = PART + len(q) + len(a)
+            spans: list[list[int]] = []
+            for at in sorted(by_item[k]):
+                lo, hi = max(0, at - near), at + 2 * PART + near
+                # Spans that share two words have no other trigrams when put together.
+                if spans and lo <= spans[-1][1] - 2:
+                    spans[-1][1] = hi
+                else:
+                    spans.append([lo, hi])
             seen = set()
-            for at in sorted({w for w, j in places if j == k}):
-                lo = max(0, at - near)
-                seen.update(_trigrams(ws[lo : at + 2 * PART + near]))
+            for lo, hi in spans:
+                seen.update(_trigrams(ws[lo:hi]))
             if all(_covered(x, seen) for x in (q, a)):
                 out.append(item)
         return out
@@ -201,17 +216,22 @@ def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text"):
     """The index in shards, one after the other; each is bounded, whatever the number of items."""
     lower = items.select(col(items, item_id).cast("bigint").alias("id"), F.lower(F.coalesce(col(items, text), F.lit(""))).alias("text"))
     lower = lower.where(F.col("id").isNotNull() & (F.size(words(F.col("text"))) > 0))
-    n, longest = lower.agg(F.count("*"), F.max(F.size(words(F.col("text"))))).first()
-    if longest and longest > SHARD_WORDS:
-        raise ValueError(f"an item has {longest} words; at most {SHARD_WORDS} are indexed")
-    shards = -(-n // (SHARD // 2))  # hashed ids fill shards unevenly, so half is aimed at
-    shard = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, shards)))
-    pairs = lower.select(shard.alias("shard"), F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    lower = lower.distinct().select("*", F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("id", "text").alias("h"))
+    n, total = lower.agg(F.count("*"), F.sum("size")).first()
+    # Hashed ids fill shards unevenly, so half is aimed at, and what is above the bounds is cut off.
+    slots = max(1, -(-n // (SHARD // 2)), -(-(total or 0) // max(1, SHARD_WORDS // 2)))
+    before = Window.partitionBy("slot").orderBy("h", "id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    sharded = lower.withColumn("slot", F.pmod("h", F.lit(slots))).select(
+        "id", "text", F.concat_ws(
+            ":", "slot", F.floor(F.coalesce(F.count("*").over(before), F.lit(0)) / SHARD),
+            F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / SHARD_WORDS),
+        ).alias("shard"),
+    )
+    sharded = settle(sharded, "items")
+    pairs = sharded.select("shard", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
     counted = pairs.groupBy("word").agg(F.count("*").alias("df"))
-    for s in range(shards):
-        own = lower.where(shard == s).orderBy("id", "text").limit(SHARD + 1).collect()
-        if len(own) > SHARD:
-            raise ValueError(f"a shard holds more than {SHARD} items")
+    for s in sorted(r["shard"] for r in sharded.select("shard").distinct().collect()):
+        own = sharded.where(F.col("shard") == s).orderBy("id", "text").collect()
         mine = counted.join(pairs.where(F.col("shard") == s).select("word").distinct(), "word", "left_semi").collect()
         hashed = [int(_hash_words([r["word"]])[0].astype(np.int64)) for r in mine]
         yield Index([(r["id"], r["text"]) for r in own], dict(zip(hashed, (r["df"] for r in mine))), n)

@@ -88,3 +88,16 @@ def test_shards(spark, monkeypatch):
     assert len(list(dc.indexes(bench))) == 4
     df = spark.createDataFrame([(i, f"before {t} after") for i, t in items], "doc_id bigint, text string")
     assert all(r["items"] == [r["doc_id"]] for r in dc.add_items(df, bench).collect())
+
+
+def test_long_items_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(dc, "SHARD", 4)
+    monkeypatch.setattr(dc, "SHARD_WORDS", 8000)
+    rng = random.Random(14)
+    long = item(rng, 12_000)
+    bench = spark.createDataFrame([(1, long)] + [(2, PLANTED)] * 30 + [(i, item(rng, 30)) for i in range(3, 9)], "item_id bigint, text string")
+    rows = [(1, f"before {long} after"), (2, f"so {PLANTED} then"), (3, long[: len(long) // 3]), (4, "none of them")]
+    got = {r["doc_id"]: r["items"] for r in dc.add_items(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [], 4: []}
+    indexes = list(dc.indexes(bench))
+    assert sum(len(x.items) for x in indexes) == 8 and all(len(x.items) <= 4 for x in indexes)
