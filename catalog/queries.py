@@ -368,7 +368,8 @@ def orphans(spark, sf):
 def init_chapters(spark, sf):
     made = F.col("book_id") * 100 + F.col("chapter_number") - 1
     rows = context.initial_chapters(v.books(spark, sf), v.chapters(spark, sf), made)
-    return rows.select("id", "book_id", "chapter_number", "title", "status", "notes_status")
+    # An int by its SQL; the cast fails where a number does not fit.
+    return rows.select("id", "book_id", F.col("chapter_number").cast("int").alias("chapter_number"), "title", "status", "notes_status")
 
 
 # -- row changes -----------------------------------------------------------------

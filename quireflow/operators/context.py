@@ -44,7 +44,7 @@ def _running(
 
     def marked(df: DataFrame) -> DataFrame:
         df = df.withColumn("_entry", entry).withColumn("_has", has(F.col("summary")))
-        return df if segment is None else df.withColumn("_seg", F.floor(number / segment).cast("int"))
+        return df if segment is None else df.withColumn("_seg", F.floor(number / segment))
 
     rows = marked(chapters)
     parts = ["book_id"]
@@ -143,8 +143,9 @@ def initial_chapters(
     """Existing chapters, plus those an outline names for books without any.
 
     New rows get ``new_id``, by default a hash of book and number, and are
-    stamped with ``as_of``. Headings whose number does not fit the chapters'
-    column name no chapter; ``outline_number_audit`` counts them.
+    stamped with ``as_of``. The numbers are bigints, whatever the chapters have.
+    Headings whose number is beyond bigint name no chapter;
+    ``outline_number_audit`` counts them.
     """
     kinds = {f.name: f.dataType for f in chapters.schema.fields}
     id_type = kinds.get("id", T.StringType())
@@ -158,7 +159,7 @@ def initial_chapters(
         .select(F.col("id").alias("book_id"), F.explode(outline_chapters(F.col("outline"))).alias("c"))
         .select(
             "book_id",
-            F.col("c.chapter_number").try_cast(kinds["chapter_number"]).alias("chapter_number"),
+            F.col("c.chapter_number"),
             F.col("c.title").alias("title"),
             F.lit("pending").alias("status"),
             F.lit("pending").alias("notes_status"),

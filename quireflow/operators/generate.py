@@ -123,7 +123,7 @@ def generate_chapters(
     schema = T.StructType(
         [
             T.StructField("book_id", key_type),
-            T.StructField("chapter_number", T.IntegerType()),
+            T.StructField("chapter_number", chapters.schema["chapter_number"].dataType),
             T.StructField("content", T.StringType()),
             T.StructField("summary", T.StringType()),
             T.StructField("error", T.StringType()),
@@ -197,7 +197,7 @@ def generate_by_number(
     done = chapters.sparkSession.createDataFrame(
         [],
         T.StructType(
-            [T.StructField("book_id", kinds["book_id"]), T.StructField("chapter_number", T.IntegerType())]
+            [T.StructField("book_id", kinds["book_id"]), T.StructField("chapter_number", kinds["chapter_number"])]
             + [T.StructField(c, T.StringType()) for c in ("content", "summary", "error")]
         ),
     )

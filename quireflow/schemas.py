@@ -74,7 +74,7 @@ def table_schema(table: str, id_type: T.DataType | None = None) -> T.StructType:
         return _struct(
             key,
             ("book_id", key),
-            ("chapter_number", T.IntegerType()),
+            ("chapter_number", T.LongType()),
             ("title", text),
             ("content", text),
             ("summary", text),

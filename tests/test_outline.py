@@ -64,3 +64,15 @@ def test_nothing(one):
 
 def test_description_is_empty(one):
     assert one("## Chapter 1: One", lambda c: F.element_at(outline_chapters(c), 1))["description"] == ""
+
+
+def test_numbers_beyond_int_name_chapters(spark):
+    from quireflow.operators.context import initial_chapters
+    from quireflow.schemas import table_schema
+
+    books = spark.createDataFrame([("b", "## Chapter 99999999999: Big\n## Chapter 1: One")], "id string, outline string")
+    for kind in ("int", "bigint"):
+        chapters = spark.createDataFrame([("c", "a", 1)], f"id string, book_id string, chapter_number {kind}")
+        rows = initial_chapters(books, chapters).where("book_id = 'b'").orderBy("chapter_number").collect()
+        assert [(r["chapter_number"], r["title"]) for r in rows] == [(1, "One"), (99999999999, "Big")]
+    assert table_schema("chapters")["chapter_number"].dataType.simpleString() == "bigint"
