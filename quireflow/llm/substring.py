@@ -7,7 +7,8 @@ a common line per task, and only digests that occur again are joined back.
 Rules: occurrences are ranked by (rank column, document id, position), nulls
 first. Blank units stay. A run of repeated units goes if it has ``min_words``
 words in all, so that a long passage goes whole, its short lines included, and a
-short line that two documents share by chance stays. A null text stays null.
+short line that two documents share by chance stays. A blank unit ends a run, as in
+the reference SQL; with ``over_blanks`` runs go on over blank units. A null text stays null.
 Rows equal in id and text count as one document. An empty table gives an empty
 table. Columns of any name pass through.
 """
@@ -29,20 +30,28 @@ def _parts(text: Column, unit: str) -> Column:
 
 
 def repeated_units(
-    docs: DataFrame, doc_id: str, text: str, rank: str | None, unit: str, min_words: int
+    docs: DataFrame, doc_id: str, text: str, rank: str | None, unit: str, min_words: int, over_blanks: bool = False
 ) -> DataFrame:
     """Rows (row, pos) of the units to remove; ``row`` is (id, hash of the text)."""
+    parts, nth = _parts(col(docs, text), unit), ["nth"] if over_blanks else []
+    if over_blanks:
+        numbered = F.transform(parts, lambda u, i: F.struct(i.alias("pos"), u.alias("unit")))
+        exploded = F.posexplode(F.filter(numbered, lambda x: has_word(x["unit"]))).alias("nth", "x")
+    else:
+        exploded = F.posexplode(parts).alias("pos", "unit")
     units = (
         docs.select(
             F.struct(col(docs, doc_id).alias("i"), F.xxhash64(col(docs, text)).alias("h")).alias("row"),
             (col(docs, rank) if rank else F.lit(0)).alias("rank"),
-            F.posexplode(_parts(col(docs, text), unit)).alias("pos", "unit"),
+            exploded,
         )
+        .select("row", "rank", *(["nth", "x.pos", "x.unit"] if over_blanks else ["pos", "unit"]))
         .where(has_word(F.col("unit")))
         .select(
             "row",
             F.struct("rank", "row", "pos").alias("place"),
             "pos",
+            *nth,
             unit_key(F.col("unit")).alias("key"),
             F.size(F.split(F.btrim("unit", F.lit(" \t\n\x0b\x0c\r")), BLANK + "+")).alias("n_words"),
         )
@@ -54,9 +63,9 @@ def repeated_units(
         .select("key", "first")
     )
     again = units.join(firsts, "key").where(~F.col("place").eqNullSafe(F.col("first")))
-    again = again.groupBy("row", "pos").agg(F.first("n_words").alias("n_words"))
+    again = again.groupBy("row", "pos").agg(F.first("n_words").alias("n_words"), *[F.first(c).alias(c) for c in nth])
     by_row = Window.partitionBy("row")
-    runs = again.withColumn("run", F.col("pos") - F.row_number().over(by_row.orderBy("pos")))
+    runs = again.withColumn("run", F.col("nth" if over_blanks else "pos") - F.row_number().over(by_row.orderBy("pos")))
     total = F.sum("n_words").over(Window.partitionBy("row", "run"))
     return runs.withColumn("run_words", total).where(F.col("run_words") >= min_words).select("row", "pos")
 
@@ -69,6 +78,7 @@ def drop_repeats(
     unit: str = "line",
     min_words: int = MIN_WORDS,
     spans: str = "removed_spans",
+    over_blanks: bool = False,
 ) -> DataFrame:
     """``docs`` without repeated units, and their places in the original text.
 
@@ -76,7 +86,7 @@ def drop_repeats(
     original text.
     """
     row, gone = fresh(docs, "gone_row", "gone_units")
-    repeated = settle(repeated_units(docs, doc_id, text, rank, unit, min_words), "repeats")
+    repeated = settle(repeated_units(docs, doc_id, text, rank, unit, min_words, over_blanks), "repeats")
     found = repeated.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_set("pos")).alias(gone))
     same = (F.col(row)["i"].eqNullSafe(col(docs, doc_id))) & (F.col(row)["h"] == F.xxhash64(col(docs, text)))
     parts, sep = _parts(col(docs, text), unit), UNITS[unit]

@@ -188,3 +188,10 @@ def test_spread_near_and_far(spark):
     rows = [(k, f"site{s}") for k, n in (("a", 90), ("b", 100), ("c", 99), ("d", 300), ("e", 5)) for s in range(n)] * 2
     df = spark.createDataFrame(rows, "key string, site string")
     assert sorted(r["key"] for r in lines.site_spread(df, 100).collect()) == ["b", "d"]
+
+
+def test_runs_over_blank_lines(spark):
+    verse = "one two three\n\nfour five six\n \nseven eight nine"
+    df = docs(spark, [(1, f"a\n{verse}", "s"), (2, f"b\n{verse}\nof", "s"), (3, "one two three\n\nc", "s")])
+    got = {r["doc_id"]: r["text"] for r in substring.drop_repeats(df, over_blanks=True).collect()}
+    assert got == {1: f"a\n{verse}", 2: "b\n\n \nof", 3: "one two three\n\nc"}
