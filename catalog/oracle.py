@@ -17,7 +17,7 @@ AS_OF = "TIMESTAMP '2024-06-30 12:00:00'"
 
 VIEWS = {
     "chapters": """
-SELECT conv_id * 100 + turn AS id, conv_id AS book_id, CAST(turn + 1 AS INT) AS chapter_number,
+SELECT conv_id * 100 + turn AS id, conv_id AS book_id, CAST(turn + 1 AS BIGINT) AS chapter_number,
   CASE WHEN (conv_id + turn) % 9 = 8 THEN NULL ELSE replace(text, chr(10), ' ') END AS title,
   CASE WHEN (conv_id + turn) % 4 = 3 THEN NULL WHEN (conv_id + turn) % 11 = 10 THEN '' ELSE text END AS content,
   CASE WHEN (conv_id + turn) % 4 = 3 OR (conv_id + turn) % 7 = 0 THEN NULL ELSE text END AS summary,
@@ -73,7 +73,7 @@ SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambd
     ELSE l END), chr(10) || chr(10)) AS content
 FROM documents""",
     "md_chapters": """
-SELECT doc_id AS id, doc_id // 8 AS book_id, CAST(doc_id % 8 + 1 AS INT) AS chapter_number,
+SELECT doc_id AS id, doc_id // 8 AS book_id, CAST(doc_id % 8 + 1 AS BIGINT) AS chapter_number,
   CASE WHEN doc_id % 9 = 4 THEN NULL ELSE 'Part ' || CAST(doc_id AS VARCHAR) || ' <&>' END AS title,
   CASE WHEN doc_id % 10 = 9 THEN NULL ELSE content END AS content
 FROM markdown""",
@@ -92,14 +92,14 @@ SELECT o_orderkey AS id, 'Order ' || CAST(o_orderkey AS VARCHAR) AS title,
   CASE o_orderstatus WHEN 'F' THEN 'no_notes_needed' WHEN 'O' THEN 'yes' ELSE 'pending' END AS status_outline_notes
 FROM orders""",
     "wide_chapters": """
-SELECT l_orderkey AS book_id, l_linenumber AS chapter_number,
+SELECT l_orderkey AS book_id, CAST(l_linenumber AS BIGINT) AS chapter_number,
   CASE WHEN l_linestatus = 'O' THEN 'text' END AS content,
   CASE WHEN l_quantity > 40 THEN 'notes' END AS notes,
   CASE l_returnflag WHEN 'A' THEN 'approved' WHEN 'N' THEN 'pending' ELSE 'generated' END AS status,
   CASE WHEN l_quantity > 25 THEN 'yes' ELSE 'pending' END AS notes_status
 FROM lineitem""",
     "changes": """
-SELECT event_id AS seq, user_id AS book_id, CAST(event_id % 4 + 1 AS INT) AS chapter_number,
+SELECT event_id AS seq, user_id AS book_id, CAST(event_id % 4 + 1 AS BIGINT) AS chapter_number,
   CASE WHEN event_type <> 'error' THEN 'text ' || CAST(event_id AS VARCHAR) END AS content,
   CASE event_type WHEN 'view' THEN 'generated' WHEN 'purchase' THEN 'approved' WHEN 'signup' THEN 'reviewed'
     WHEN 'error' THEN 'error' ELSE 'generated' END AS status,
@@ -893,7 +893,7 @@ bodies AS (SELECT book_id, chapter_number, {RULE} || {NL} || 'CHAPTER ' || chapt
     + MD_GATE
     + f""",
 texts AS (
-  SELECT id AS book_id, 0 AS section, CAST(NULL AS INT) AS chapter_number, {TITLE_PAGE} AS text FROM ready
+  SELECT id AS book_id, 0 AS section, CAST(NULL AS BIGINT) AS chapter_number, {TITLE_PAGE} AS text FROM ready
   UNION ALL SELECT book_id, 1, chapter_number, '    Chapter ' || chapter_number || ': ' || coalesce(title, 'Untitled')
     FROM md_chapters WHERE content <> '' AND book_id IN (SELECT id FROM ready)
   UNION ALL SELECT id, 2, NULL, {NL} FROM ready
@@ -915,7 +915,7 @@ def rendered(front: list, before: list, head: str, toc: str, block_rows: str, pa
 
     def fixed(section: int, rows: list) -> str:
         return " UNION ALL ".join(
-            f"SELECT id AS book_id, {section} AS section, CAST(NULL AS INT) AS chapter_number, 0 AS seq, {i} AS item, "
+            f"SELECT id AS book_id, {section} AS section, CAST(NULL AS BIGINT) AS chapter_number, 0 AS seq, {i} AS item, "
             f"'{k}' AS kind, '{s}' AS style, {r} AS runs FROM md_books"
             for i, (k, s, r) in enumerate(rows)
         )
@@ -1078,7 +1078,7 @@ ordered AS (SELECT c.*, b.title AS book_title, b.outline,
     row_number() OVER (PARTITION BY c.book_id ORDER BY c.chapter_number) AS rn
   FROM chapters c JOIN books b ON b.id = c.book_id),
 chain AS (
-  SELECT DISTINCT book_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS INT) AS chapter_number, CAST(NULL AS VARCHAR) AS content,
+  SELECT DISTINCT book_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS chapter_number, CAST(NULL AS VARCHAR) AS content,
     CAST(NULL AS VARCHAR) AS summary, '' AS ctx, false AS seen FROM due
   UNION ALL
   SELECT book_id, rn, chapter_number, made, new_summary,

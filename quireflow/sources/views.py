@@ -21,7 +21,7 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(
         "conv_id * 100 + turn AS id",
         "conv_id AS book_id",
-        "CAST(turn + 1 AS INT) AS chapter_number",
+        "CAST(turn + 1 AS BIGINT) AS chapter_number",
         """CASE WHEN (conv_id + turn) % 9 = 8 THEN NULL
                 ELSE replace(text, chr(10), ' ') END AS title""",
         """CASE WHEN (conv_id + turn) % 4 = 3 THEN NULL
@@ -134,7 +134,7 @@ def markdown_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown(spark, sf_dir).selectExpr(
         "doc_id AS id",
         "doc_id div 8 AS book_id",
-        "CAST(doc_id % 8 + 1 AS INT) AS chapter_number",
+        "CAST(doc_id % 8 + 1 AS BIGINT) AS chapter_number",
         "CASE WHEN doc_id % 9 = 4 THEN NULL ELSE 'Part ' || CAST(doc_id AS STRING) || ' <&>' END AS title",
         "CASE WHEN doc_id % 10 = 9 THEN NULL ELSE content END AS content",
         "'generated' AS status",
@@ -180,7 +180,7 @@ def wide_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS book_id",
-        "l_linenumber AS chapter_number",
+        "CAST(l_linenumber AS BIGINT) AS chapter_number",
         "CASE WHEN l_linestatus = 'O' THEN 'text' END AS content",
         "CASE WHEN l_quantity > 40 THEN 'notes' END AS notes",
         """CASE l_returnflag WHEN 'A' THEN 'approved' WHEN 'N' THEN 'pending' ELSE 'generated' END
@@ -194,7 +194,7 @@ def as_chapter_changes(events: DataFrame) -> DataFrame:
     return events.selectExpr(
         "event_id AS seq",
         "user_id AS book_id",
-        "CAST(event_id % 4 + 1 AS INT) AS chapter_number",
+        "CAST(event_id % 4 + 1 AS BIGINT) AS chapter_number",
         "CASE WHEN event_type <> 'error' THEN 'text ' || CAST(event_id AS STRING) END AS content",
         """CASE event_type WHEN 'view' THEN 'generated' WHEN 'purchase' THEN 'approved'
              WHEN 'signup' THEN 'reviewed' WHEN 'error' THEN 'error' ELSE 'generated' END AS status""",
