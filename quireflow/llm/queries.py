@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quireflow.llm import bpe, chat, decontaminate, lines, lm, near, quality, rules, substring, suffix
+from quireflow.llm import bpe, chat, decontaminate, lines, lm, mixing, near, negatives, quality, rules, substring, suffix, whiten
 
 QUERIES = {
     q.__name__: q
@@ -17,6 +17,9 @@ QUERIES = {
         substring.op8_substring_dedup,
         bpe.op9_bpe,
         lines.op10_line_dedup,
+        whiten.op11_embedding_whitening,
+        negatives.op12_hard_negatives,
+        mixing.op13_mixing,
     )
 }
 
@@ -24,4 +27,6 @@ ORACLE = {
     "op1_chat_format": chat.ORACLE,
     "op8_substring_dedup": substring.ORACLE,
     "op10_line_dedup": lines.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
+    "op13_mixing": mixing.ORACLE,
 }
