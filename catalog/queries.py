@@ -824,25 +824,25 @@ def _ran(query) -> None:
     query.awaitTermination()
 
 
-BATCHES = 4
+BATCHES, FILES = 4, 2
 
 
 def _fed(spark, sf, name, key, out):
-    """A table as a stream of four files, in the order of its key."""
+    """A table as a stream of four batches of files, in the order of its key."""
     df = v.table(spark, sf, name)
     low, high = df.agg(F.min(key), F.max(key)).first()
     step = (high - low) // BATCHES + 1
     for k in range(BATCHES):
         part = df.where((F.col(key) >= low + k * step) & (F.col(key) < low + (k + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(f"{out}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+        part.repartition(FILES).write.mode("append").parquet(f"{out}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(f"{out}/in")
 
 
 @query
 def stream_submissions(spark, sf):
     out = shared_dir(spark, "stream-submissions")
     source = v.as_submissions(_fed(spark, sf, "part", "p_partkey", out))
-    _ran(streams.stream_submissions(source, v.library(spark, sf), out, f"{out}/checkpoint", snapshot_every=2))
+    _ran(streams.stream_submissions(source, v.library(spark, sf), out, f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/submissions").drop("batch_id")
 
 
@@ -850,7 +850,7 @@ def stream_submissions(spark, sf):
 def stream_transitions(spark, sf):
     out = shared_dir(spark, "stream-transitions")
     source = v.as_chapter_changes(_fed(spark, sf, "events", "event_id", out))
-    _ran(streams.stream_transitions(source, out, f"{out}/checkpoint", snapshot_every=2))
+    _ran(streams.stream_transitions(source, out, f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/events").drop("batch_id")
 
 
@@ -859,7 +859,7 @@ def stream_book_transitions(spark, sf):
     out = shared_dir(spark, "stream-books")
     source = v.as_book_changes(_fed(spark, sf, "events", "event_id", out))
     books = v.wide_books(spark, sf)
-    _ran(streams.stream_book_transitions(source, out, f"{out}/checkpoint", snapshot_every=2, books=books))
+    _ran(streams.stream_book_transitions(source, out, f"{out}/checkpoint", books=books))
     return spark.read.parquet(f"{out}/events").select("seq", "book_id", "event_type", "message")
 
 

@@ -1,28 +1,47 @@
 """Incremental ingest, notifications and progress on file streams.
 
-Each stream is a ``foreachBatch`` over the same DataFrame operators as the
-batch jobs. A batch writes its results under its own ``batch_id`` directory
-in overwrite mode and reads only the directories of earlier batches, so a
-batch that is replayed after a failure gives the same result and adds nothing
-twice. State lives in bucketed tables below a shared folder (see ``State``);
-lineage never crosses a batch.
+What a stream remembers is keyed state in Spark's state store, partitioned by
+key and kept on disk (RocksDB), so a batch looks up and changes the keys that it
+touches, and reads nothing else, however long the stream has run. The store is
+versioned by batch: a batch that is replayed after a failure starts from the
+state before it.
+
+A stream's rows and its state's answers to them are one streaming DataFrame, a
+union of two branches of the same source (see ``_answered``). A batch of it is
+written once, under its own ``batch_id`` directory in overwrite mode, and what
+comes of it is made from that table, by the operators of the batch jobs. So
+lineage never crosses a batch and nothing is added twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quireflow.functions.text import has, title_key
 from quireflow.operators.ingest import clean_submissions, dedupe_submissions, validate_submissions
 from quireflow.operators.mutations import latest_by_key
 from quireflow.operators.notify import notification_messages
-from quireflow.operators.rollups import PROGRESS, chapter_counts
+from quireflow.operators.rollups import PROGRESS
 from quireflow.schemas import EVENT_TYPES
 
 SEQ_BLOCK = 4096
 SNAPSHOT_EVERY = 32
+# Chapter numbers whose newest rows are one entry of the state.
+SEGMENT = 64
 BUCKETS = 16
+STORE = "spark.sql.streaming.stateStore"
+# A store that keeps its rows on disk and uploads what a batch has changed.
+STATE_STORE = {
+    f"{STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 BOOK_PATHS = ("output_docx_path", "output_pdf_path", "output_txt_path")
 
 
@@ -110,46 +129,82 @@ def _write(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _start(source: DataFrame, handle, checkpoint: str) -> StreamingQuery:
-    return (
-        source.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started here keep their state on disk; the session's own setting comes back after."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _start(rows: DataFrame, handle, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    with _state_store(rows.sparkSession):
+        started = rows.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint)
+        return started.trigger(availableNow=True).start()
+
+
+def _answered(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows and the state's answers as one stream; ``_answer`` tells them apart."""
+    return rows.withColumn("_answer", F.lit(False)).unionByName(answers.withColumn("_answer", F.lit(True)), allowMissingColumns=True)
+
+
+def _arrived(batch: DataFrame, path: str, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """A batch's rows and answers, run once: the write is what moves the state on."""
+    _write(batch, path, batch_id)
+    written = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch_id={batch_id}")
+    return written.where(~F.col("_answer")), written.where("_answer")
+
 
+def _as_key(keys: list[str]) -> Column:
+    """A row's key as text, whatever its types; nulls are keys too."""
+    return F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key")
 
-def stream_submissions(
-    source: DataFrame, library: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY
-) -> StreamingQuery:
+
+def _library_keys(spark: SparkSession, library: DataFrame, path: str) -> DataFrame:
+    """The title keys of the library as a stream; those that a start finds new are added to it."""
+    keys = library.select(title_key(F.col("title")).alias("_key")).where(F.col("_key").isNotNull()).distinct()
+    if _exists(spark, path):
+        keys = keys.join(spark.read.schema(keys.schema).parquet(path), "_key", "left_anti")
+    keys.write.mode("append").parquet(path)
+    return spark.readStream.schema(keys.schema).parquet(path)
+
+
+def stream_submissions(source: DataFrame, library: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Clean, validate and deduplicate submissions as they arrive.
 
+    The state counts, for every title, its valid rows so far and whether the library holds it. A
+    title whose rows so far are all in this batch is new, and is created by its first row. The library
+    enters the state with the first batch; no later batch reads it, or any earlier title that it does not repeat.
+
     Results go to ``out/submissions`` (with ``_error`` and ``label``), new
-    title keys to ``out/keys``. The titles of a batch are looked up in the
-    stored keys, not the other way round: the batch is the small side, so the
-    growing key table is filtered in place and not shuffled.
+    title keys to ``out/keys``.
     """
-    results = f"{out}/submissions"
-    key_schema = T.StructType([T.StructField("title", T.StringType())])
-    keys = State(source.sparkSession, f"{out}/keys", key_schema, ["title"], snapshot_every, lambda rows: rows.distinct())
+    spark = source.sparkSession
+    checked = validate_submissions(clean_submissions(source)).withColumn("_key", title_key(F.col("title")))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    seen = checked.where(F.col("_error").isNull()).select("_key", one.alias("_rows"), none.alias("_held"))
+    held = _library_keys(spark, library, f"{out}/library").select("_key", none.alias("_rows"), one.alias("_held"))
+    counted = seen.unionByName(held).groupBy("_key").agg(F.sum("_rows").alias("_rows"), F.sum("_held").alias("_held"))
+    columns = ["row_number", "title", "notes_on_outline_before"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        checked = validate_submissions(clean_submissions(batch))
-        valid = checked.where(F.col("_error").isNull()).drop("_error")
-        wanted = valid.select(title_key(F.col("title")).alias("title")).distinct()
-        held = library.select("title").unionByName(keys.earlier(spark, batch_id, wanted))
-        known = held.withColumn("_key", title_key(F.col("title"))).join(wanted.toDF("_key"), "_key", "left_semi")
-        labelled = dedupe_submissions(valid, known.select("title")).withColumn(
-            "_error", F.lit(None).cast("string")
-        )
-        invalid = checked.where(F.col("_error").isNotNull()).withColumn("label", F.lit("invalid"))
-        _write(labelled.unionByName(invalid), results, batch_id)
-        written = spark.read.parquet(f"{results}/batch_id={batch_id}")
-        created = written.where(F.col("label") == "created")
-        keys.write(created.select(title_key(F.col("title")).alias("title")), batch_id)
+        rows, answers = _arrived(batch, f"{out}/arrived", batch_id)
+        valid = rows.where(F.col("_error").isNull())
+        here = valid.groupBy("_key").agg(F.count(F.lit(1)).alias("_here"))
+        old = answers.select("_key", "_rows", "_held").join(here, "_key").where("_held > 0 OR _rows > _here")
+        labelled = dedupe_submissions(valid.select(columns), old.select(F.col("_key").alias("title")))
+        labelled = labelled.withColumn("_error", F.lit(None).cast("string"))
+        invalid = rows.where(F.col("_error").isNotNull()).select(*columns, "_error", F.lit("invalid").alias("label"))
+        _write(labelled.unionByName(invalid), f"{out}/submissions", batch_id)
+        written = batch.sparkSession.read.parquet(f"{out}/submissions/batch_id={batch_id}")
+        _write(written.where("label = 'created'").select(title_key(F.col("title")).alias("title")), f"{out}/keys", batch_id)
 
-    return _start(source, handle, checkpoint)
+    return _start(_answered(checked, counted.where("_rows > 0")), handle, checkpoint, "update")
 
 
 def transitions(changes: DataFrame, keys: list[str], value: str, block: int = SEQ_BLOCK) -> DataFrame:
@@ -200,36 +255,49 @@ def book_events(changes: DataFrame) -> DataFrame:
     return changes.withColumn("event_type", event)
 
 
-def _change_stream(source, out, checkpoint, keys, columns, value, to_events, every, books) -> StreamingQuery:
-    """Events for rows of a change feed whose ``value`` differs from the one before."""
-    events = f"{out}/events"
-    schema = T.StructType([source.schema[c] for c in columns])
-    state = State(source.sparkSession, f"{out}/state", schema, keys, every, lambda rows: latest_by_key(rows, keys, ["seq"]))
+def _moves(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The sequence numbers at which a key's value changes; the state is its last number and value."""
+    known, last = state.get if state.exists else (None, None)
+    rows: dict[int, str | None] = {}
+    for part in batches:
+        rows.update(zip(part["seq"].tolist(), part["_value"].tolist()))
+    new = sorted(seq for seq in rows if known is None or seq > known)
+    if not new:
+        return
+    moved = []
+    for seq in new:
+        if rows[seq] != last:
+            moved.append(seq)
+        last = rows[seq]
+    state.update((new[-1], last))
+    if moved:
+        yield pd.DataFrame({"_key": key[0], "seq": moved})
+
+
+def _change_stream(source, out, checkpoint, keys, columns, value, to_events, books) -> StreamingQuery:
+    """Events for rows of a change feed whose ``value`` differs from the one before.
+
+    The state holds a number and a value for each key. Python sees the key, number and value of
+    a row; the rows themselves meet its answers by key and number.
+    """
+    rows = value(source).select(*columns, "_value", _as_key(keys)).where(F.col("seq").isNotNull())
+    told = rows.select("_key", F.col("seq").cast("bigint").alias("seq"), "_value")
+    moved = told.groupBy("_key").applyInPandasWithState(
+        _moves, "_key string, seq bigint", "seq bigint, value string", "append", GroupStateTimeout.NoTimeout
+    )
+    kept = rows.drop("_value")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        changes = batch.select(columns).dropDuplicates([*keys, "seq"])
-        touched = changes.select(*keys).distinct()
-        stored = state.earlier(spark, batch_id, touched)
-        known = latest_by_key(stored.join(touched, keys, "left_semi"), keys, ["seq"])
-        newest = known.select(*keys, F.col("seq").alias("_known"))
-        fresh = (
-            changes.join(newest, keys, "left")
-            .where(F.col("_known").isNull() | (F.col("seq") > F.col("_known")))
-            .drop("_known")
-        )
-        # Written once, as both the events and the state are made from it.
-        _write(fresh.select(columns), f"{out}/fresh", batch_id)
-        fresh = spark.read.schema(schema).parquet(f"{out}/fresh/batch_id={batch_id}")
-        run = fresh.withColumn("_fresh", F.lit(True)).unionByName(known.select(columns).withColumn("_fresh", F.lit(False)))
-        moved = transitions(value(run), keys, "_value").where(F.col("_fresh")).drop("_fresh", "previous", "_value")
-        made = to_events(moved).select("event_type", *columns)
+        rows, answers = _arrived(batch, f"{out}/arrived", batch_id)
+        # A change that came twice in a batch is one.
+        changes = rows.join(answers.select("_key", "seq"), ["_key", "seq"], "left_semi").dropDuplicates(["_key", "seq"])
+        made = to_events(changes.select(kept.drop("_key").columns))
         if books is not None:
-            made = with_messages(made, books).select("event_type", *columns, "message")
-        _write(made, events, batch_id)
-        state.write(latest_by_key(fresh, keys, ["seq"]), batch_id)
+            made = with_messages(made, books)
+        wanted = dict.fromkeys(["event_type", *columns, *(["message"] if books is not None else [])])
+        _write(made.select(*wanted), f"{out}/events", batch_id)
 
-    return _start(source, handle, checkpoint)
+    return _start(_answered(kept.withColumn("seq", F.col("seq").cast("bigint")), moved), handle, checkpoint)
 
 
 def with_messages(events: DataFrame, books: DataFrame) -> DataFrame:
@@ -246,34 +314,88 @@ def with_messages(events: DataFrame, books: DataFrame) -> DataFrame:
     return notification_messages(events, books)
 
 
-def stream_transitions(
-    source: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY, books: DataFrame | None = None
-) -> StreamingQuery:
+def stream_transitions(source: DataFrame, out: str, checkpoint: str, books: DataFrame | None = None) -> StreamingQuery:
     """Notification events for chapters entering a notifying state.
 
     ``source`` has seq, book_id, chapter_number, status, notes_status. A
     change is ignored if its sequence number is not above the last one
-    known for its chapter. Events go to ``out/events``, with their messages if
-    ``books`` is given; the state of touched chapters goes to ``out/state``.
+    known for its chapter, or if it has none. Events go to ``out/events``, with their messages if
+    ``books`` is given.
     """
     keys = ["book_id", "chapter_number"]
     columns = ["seq", *keys, "status", "notes_status"]
     value = lambda rows: rows.withColumn("_value", F.col("status"))
-    return _change_stream(source, out, checkpoint, keys, columns, value, notifying_events, snapshot_every, books)
+    return _change_stream(source, out, checkpoint, keys, columns, value, notifying_events, books)
 
 
-def stream_book_transitions(
-    source: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY, books: DataFrame | None = None
-) -> StreamingQuery:
+def stream_book_transitions(source: DataFrame, out: str, checkpoint: str, books: DataFrame | None = None) -> StreamingQuery:
     """Notification events for books that get an outline, are compiled, or completed.
 
     ``source`` has seq, book_id, outline, book_output_status and any of the
-    output paths. Otherwise as ``stream_transitions``.
+    output paths. Otherwise as ``stream_transitions``. Of an outline only its presence goes on.
+    """
+    paths = [c for c in BOOK_PATHS if c in source.columns]
+    columns = ["seq", "book_id", "event_type", "book_output_status", *paths]
+    reached = lambda rows: book_events(rows).withColumn("_value", F.col("event_type"))
+    named = lambda rows: rows.where(F.col("event_type").isNotNull())
+    return _change_stream(source, out, checkpoint, ["book_id"], columns, reached, named, books)
+
+
+class Chained:
+    """Two streams of which the second reads what the first has written; started one after the other."""
+
+    def __init__(self, first: StreamingQuery, then: Callable[[], StreamingQuery | None]):
+        self.running, self.then = first, then
+
+    def awaitTermination(self) -> None:  # noqa: N802
+        """Waits for both; an error of either is raised."""
+        self.running.awaitTermination()
+        if self.then is not None:
+            self.running, self.then = self.then() or self.running, None
+            self.running.awaitTermination()
+
+    def stop(self) -> None:
+        self.then = None
+        self.running.stop()
+
+
+def _flags() -> Column:
+    """What a chapter counts for, in bits: written, approved, waiting for review."""
+    return (
+        F.when(has(F.col("content")), 1).otherwise(0)
+        + F.when(F.col("status") == "approved", 2).otherwise(0)
+        + F.when(F.col("notes_status") == "yes", 4).otherwise(0)
+    ).cast("bigint")
+
+
+def _newest_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The newest row of each chapter among those at hand, so that a chapter with very many changes is few rows."""
+    for rows in batches:
+        yield rows.sort_values("seq", kind="stable").drop_duplicates(["_key", "chapter"], keep="last")
+
+
+def _counts(flags: np.ndarray) -> np.ndarray:
+    """The counts of ``PROGRESS`` over chapters of these flags."""
+    full, approved, waiting = (np.count_nonzero(flags & bit) for bit in (1, 2, 4))
+    return np.array([len(flags), full, approved, len(flags) - full, waiting])
+
+
+def _deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What new rows change in the counts of some chapters of a book.
+
+    The state is the newest number and flags of each of these chapters, ``SEGMENT`` at most.
     """
-    columns = ["seq", "book_id", "outline", "book_output_status", *[c for c in BOOK_PATHS if c in source.columns]]
-    value = lambda rows: book_events(rows).withColumnRenamed("event_type", "_value")
-    named = lambda rows: book_events(rows).where(F.col("event_type").isNotNull())
-    return _change_stream(source, out, checkpoint, ["book_id"], columns, value, named, snapshot_every, books)
+    before = np.frombuffer(state.get[0] if state.exists else b"", np.int64).reshape(-1, 3)
+    held = {chapter: (seq, flags) for chapter, seq, flags in before.tolist()}
+    changed = False
+    for rows in batches:
+        for chapter, seq, flags in zip(*(rows[c].tolist() for c in ("chapter", "seq", "flags"))):
+            if chapter not in held or seq > held[chapter][0]:
+                held[chapter], changed = (seq, flags), True
+    if changed:
+        after = np.array([(c, *v) for c, v in held.items()], np.int64)
+        state.update((after.tobytes(),))
+        yield pd.DataFrame([[key[0], *(_counts(after[:, 2]) - _counts(before[:, 2]))]], columns=["_key", *PROGRESS])
 
 
 def _progress_state(spark: SparkSession, out: str, every: int = SNAPSHOT_EVERY, book_id: T.DataType | None = None) -> State:
@@ -282,37 +404,49 @@ def _progress_state(spark: SparkSession, out: str, every: int = SNAPSHOT_EVERY,
     return State(spark, f"{out}/progress", schema, ["book_id"], every, lambda rows: latest_by_key(rows, ["book_id"], ["batch"]))
 
 
-def stream_progress(
-    source: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY
-) -> StreamingQuery:
+def stream_progress(source: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY) -> Chained:
     """Progress counts kept current as chapter changes arrive.
 
     ``source`` has seq, book_id, chapter_number, content, status and
-    notes_status. Only presence of the content is stored. Each batch appends
-    the latest rows of its chapters to ``out/state`` and the new counts of the
-    touched books to ``out/progress``; ``current_progress`` reads them.
+    notes_status. The first stream's state holds the newest number and three flags of each chapter, in
+    segments of ``SEGMENT`` chapter numbers, and a change gives what its row adds to the counts of the book less
+    what the replaced row had added, to ``out/deltas``. The second adds these up by book in its own state. So a
+    batch reads and writes the segments and counts that it touches, however long a book is. The new counts of
+    the touched books go to ``out/progress``; ``current_progress`` reads them. A change without a number is older
+    than any other.
     """
-    keys = ["book_id", "chapter_number"]
-    columns = ["seq", *keys, "content", "status", "notes_status"]
-    schema = T.StructType([source.schema[c] for c in columns])
-    spark = source.sparkSession
-    # In buckets by book, as the counts of a book need all of its chapters.
-    state = State(spark, f"{out}/state", schema, ["book_id"], snapshot_every, lambda rows: latest_by_key(rows, keys, ["seq"]))
-    progress = _progress_state(spark, out, snapshot_every, source.schema["book_id"].dataType)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        flag = F.when(F.col("content").isNotNull() & (F.col("content") != ""), F.lit("y"))
-        changes = batch.select(columns).withColumn("content", flag)
-        state.write(latest_by_key(changes, keys, ["seq"]), batch_id)
-        mine = spark.read.schema(schema).parquet(f"{out}/state/batch_id={batch_id}").select(columns)
-        touched = mine.select("book_id").distinct()
-        before = state.earlier(spark, batch_id, touched).join(touched, "book_id", "left_semi")
-        current = latest_by_key(before.select(columns).unionByName(mine), keys, ["seq"])
-        counts = chapter_counts(current).select("book_id", *[F.col(c).cast("long").alias(c) for c in PROGRESS])
-        progress.write(counts.withColumn("batch", F.lit(batch_id).cast("long")), batch_id)
-
-    return _start(source, handle, checkpoint)
+    spark, book_id = source.sparkSession, source.schema["book_id"].dataType
+    low = F.lit(-(1 << 63))
+    chapter = F.col("chapter_number").cast("bigint")
+    place = F.struct("book_id", F.floor(chapter / SEGMENT).alias("segment"))
+    told = source.select(
+        F.to_json(place, {"ignoreNullFields": "false"}).alias("_key"),
+        F.coalesce(chapter, low).alias("chapter"),
+        F.coalesce(F.col("seq").cast("bigint"), low).alias("seq"),
+        _flags().alias("flags"),
+    )
+    newest = told.mapInPandas(_newest_here, told.schema).groupBy("_key")
+    kind = ", ".join(["_key string", *[f"{c} bigint" for c in PROGRESS]])
+    changed = newest.applyInPandasWithState(_deltas, kind, "chapters binary", "append", GroupStateTimeout.NoTimeout)
+    book = F.from_json("_key", T.StructType([T.StructField("book_id", book_id)]))["book_id"].alias("book_id")
+    deltas = changed.select(book, *PROGRESS)
+    with _state_store(spark):
+        # The file sink commits a batch's files as one, and once.
+        sink = deltas.writeStream.format("parquet").option("path", f"{out}/deltas").option("checkpointLocation", f"{checkpoint}/chapters")
+        first = sink.outputMode("append").trigger(availableNow=True).start()
+
+    def then() -> StreamingQuery | None:
+        if not _exists(spark, f"{out}/deltas"):
+            return None  # no changes so far
+        progress = _progress_state(spark, out, snapshot_every, book_id)
+        added = spark.readStream.schema(deltas.schema).parquet(f"{out}/deltas").groupBy("book_id").agg(*[F.sum(c).alias(c) for c in PROGRESS])
+
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            progress.write(batch.withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id)
+
+        return _start(added, handle, f"{checkpoint}/books", "update")
+
+    return Chained(first, then)
 
 
 def current_progress(spark: SparkSession, out: str, book_id: T.DataType | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ def test_submissions_in_batches(spark, tmp_path):
     library = spark.createDataFrame([("title 3",)], "title string")
     source = feed(spark, tmp_path / "in", rows, SUB, [0, 10, 50, 90, 120])
     out = str(tmp_path / "out")
-    streams.stream_submissions(source, library, out, f"{out}/cp", snapshot_every=2).awaitTermination()
+    streams.stream_submissions(source, library, out, f"{out}/cp").awaitTermination()
     got = spark.read.parquet(f"{out}/submissions")
     usable = [r for r in rows if r[1]]
     assert got.count() == len(usable)
@@ -80,14 +80,13 @@ def test_transitions_equal_brute_force(spark, block):
     assert got == want
 
 
-@pytest.mark.parametrize("every", [1, 2, 32])
-def test_transition_stream_ignores_late_and_repeated_changes(spark, tmp_path, every):
+def test_transition_stream_ignores_late_and_repeated_changes(spark, tmp_path):
     rows = changes(4)
     late = [rows[0], rows[5]]
     fed = rows[:60] + rows[60:120] + late + rows[110:]
     source = feed(spark, tmp_path / "in", fed, CHG, [0, 60, 122, len(fed)])
     out = str(tmp_path / "out")
-    streams.stream_transitions(source, out, f"{out}/cp", snapshot_every=every).awaitTermination()
+    streams.stream_transitions(source, out, f"{out}/cp").awaitTermination()
     got = {(r["seq"], r["event_type"]) for r in spark.read.parquet(f"{out}/events").collect()}
     last, want = {}, set()
     for seq, book, number, _, status, review in rows:
@@ -124,24 +123,93 @@ def test_two_sheets_in_one_batch_create_a_title_once(spark, tmp_path):
     assert got.count() == 2 and got.where("label = 'created'").count() == 1
 
 
-def test_lost_state_fails_and_the_interval_is_kept(spark, tmp_path):
+def test_lost_state_fails(spark, tmp_path):
     import shutil
 
     rows = [(i + 2, f"T{i}", "n") for i in range(30)]
     library = spark.createDataFrame([], "title string")
     out = str(tmp_path / "out")
     source = feed(spark, tmp_path / "in", rows[:20], SUB, [0, 10, 20])
-    streams.stream_submissions(source, library, out, f"{out}/cp", snapshot_every=2).awaitTermination()
-    assert spark.read.parquet(f"{out}/keys_snapshots").count() == 20
+    streams.stream_submissions(source, library, out, f"{out}/cp").awaitTermination()
+    shutil.rmtree(f"{out}/cp/state")
     source = feed(spark, tmp_path / "in", rows[20:], SUB, [0, 10])
-    streams.stream_submissions(source, library, out, f"{out}/cp", snapshot_every=7).awaitTermination()
-    assert spark.read.parquet(f"{out}/keys_settings").first()["every"] == 2
-    shutil.rmtree(f"{out}/keys_snapshots/batch_id=1")
-    source = feed(spark, tmp_path / "in", rows[:10], SUB, [0, 10])
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+    with pytest.raises(Exception, match="STATE_STORE|state"):
         streams.stream_submissions(source, library, out, f"{out}/cp").awaitTermination()
 
 
+def test_the_interval_of_snapshots_is_kept_and_a_lost_one_fails(spark, tmp_path):
+    import shutil
+
+    rows, out = changes(3, 40), str(tmp_path / "out")
+    for k, every in ((0, 2), (1, 7), (2, 7)):
+        source = feed(spark, tmp_path / "in", rows[k * 10 : k * 10 + 10], CHG, [0, 10])
+        streams.stream_progress(source, out, f"{out}/cp", snapshot_every=every).awaitTermination()
+    assert spark.read.parquet(f"{out}/progress_settings").first()["every"] == 2
+    streams.current_progress(spark, out).collect()
+    shutil.rmtree(f"{out}/progress_snapshots/batch_id=1")
+    source = feed(spark, tmp_path / "in", rows[30:], CHG, [0, 10])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        streams.stream_progress(source, out, f"{out}/cp").awaitTermination()
+
+
+def test_batches_read_what_they_touch_and_no_history(spark, tmp_path):
+    """Over 20 equal batches of new titles, rows handled in a batch stay the same; the library is read once."""
+    library = spark.createDataFrame([(f"held {i}",) for i in range(500)], "title string")
+    out = str(tmp_path / "out")
+    rows = [(i + 2, f"title {i}" if i % 10 else "Held 7", "n") for i in range(400)]
+    source = feed(spark, tmp_path / "in", rows, SUB, list(range(0, 401, 20)))
+    query = streams.stream_submissions(source, library, out, f"{out}/cp")
+    query.awaitTermination()
+    runs = [p for p in query.recentProgress if p["numInputRows"]]
+    # Both branches read a batch's 20 rows; the first batch has the library's keys as well.
+    assert [p["numInputRows"] for p in runs] == [540] + [40] * 19
+    assert [p["stateOperators"][0]["numRowsUpdated"] for p in runs] == [518] + [19] * 19
+    kept = [spark.read.parquet(f"{out}/arrived/batch_id={k}").count() for k in range(20)]
+    assert kept == [39] * 20
+    got = spark.read.parquet(f"{out}/submissions")
+    assert got.where("label = 'created'").count() == 360 and got.count() == 400
+
+
+def test_progress_batches_touch_their_segments_only(spark, tmp_path):
+    """One book of 300 chapters in 5 segments; a batch that changes two chapters handles one segment and one count."""
+    rows = [(i, 1, i, "x", "generated", "pending") for i in range(300)]
+    rows += [(300, 1, 5, None, "approved", "yes"), (301, 1, 7, "x", "approved", "pending"), (302, 1, 7, "x", "approved", "pending")]
+    source = feed(spark, tmp_path / "in", rows, CHG, [0, 300, 303])
+    out = str(tmp_path / "out")
+    first = streams.stream_progress(source, out, f"{out}/cp")
+    chapters = first.running
+    first.awaitTermination()
+    assert spark.read.parquet(f"{out}/deltas").count() == 6
+    runs = [p["stateOperators"][0]["numRowsUpdated"] for p in chapters.recentProgress if p["numInputRows"]]
+    assert runs == [5, 1]
+    assert [tuple(r) for r in streams.current_progress(spark, out).collect()] == [(1, 300, 299, 2, 1, 1)]
+
+
+def test_library_titles_added_between_runs_count(spark, tmp_path):
+    out, none = str(tmp_path / "out"), spark.createDataFrame([], "title string")
+    source = feed(spark, tmp_path / "in", [(2, "A", "n")], SUB, [0, 1])
+    streams.stream_submissions(source, none, out, f"{out}/cp").awaitTermination()
+    source = feed(spark, tmp_path / "in", [(3, "b", "n"), (4, "c", "n"), (5, "a ", "n")], SUB, [0, 3])
+    library = spark.createDataFrame([("B",), ("A",), (None,)], "title string")
+    streams.stream_submissions(source, library, out, f"{out}/cp").awaitTermination()
+    got = {r["row_number"]: r["label"] for r in spark.read.parquet(f"{out}/submissions").collect()}
+    assert got == {2: "created", 3: "skipped", 4: "created", 5: "skipped"}
+
+
+def test_book_transitions_keep_no_outline(spark, tmp_path):
+    schema = "seq long, book_id long, outline string, book_output_status string, output_pdf_path string"
+    rows = [(1, 1, None, "x", None), (2, 1, "long", "x", None), (3, 1, "longer", "x", None), (4, 1, "l", "x", "p"), (5, 1, None, "x", None),
+            (6, 1, "l", "completed", "p"), (7, None, "l", "x", None), (None, 1, "l", "x", None)]
+    source = feed(spark, tmp_path / "in", rows, schema, [0, 2, 3, 8])
+    out = str(tmp_path / "out")
+    streams.stream_book_transitions(source, out, f"{out}/cp").awaitTermination()
+    got = spark.read.parquet(f"{out}/events")
+    assert "outline" not in got.columns and "outline" not in spark.read.parquet(f"{out}/arrived").columns
+    assert sorted((r["seq"], r["event_type"]) for r in got.collect()) == [
+        (2, "outline_ready"), (4, "final_draft_ready"), (6, "book_completed"), (7, "outline_ready")
+    ]
+
+
 def test_a_batch_reads_only_the_buckets_it_touches(spark, tmp_path):
     from pyspark.sql import types as T
 
