@@ -24,10 +24,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Run ``df`` once; go on from its table in the shared folder, which outlives executors."""
+def settle(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Run ``df`` once; go on from its table in the shared folder, which outlives executors.
+
+    ``by`` names its last column, by whose values the table's files are parted.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

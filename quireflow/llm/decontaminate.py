@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from quireflow.llm.arrays import flat, pieces, prefix_sums, span_hash, word_bounds
+from quireflow.llm.arrays import flat, pieces, run_hash, word_bounds
 from quireflow.llm.common import col, documents, fresh, settle, words
 
 K1, B = 1.2, 0.75
@@ -54,7 +54,7 @@ def _hash_words(ws: list[str]) -> np.ndarray:
     data = " ".join(ws).encode()
     data, offsets = np.frombuffer(data, np.uint8), np.array([0, len(data)])
     begin, end, _ = word_bounds(data, offsets)
-    return span_hash(prefix_sums(data), begin, end)
+    return run_hash(data, begin, end)[0]
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -250,7 +250,7 @@ def add_items(docs: DataFrame, items: DataFrame, text: str = "text", found: str
             for batch in pieces(batches, at):
                 data, offsets = flat(batch.column(at))
                 begin, end, row = word_bounds(data, offsets)
-                rows, first, item = index.retrieve(span_hash(prefix_sums(data), begin, end), row)
+                rows, first, item = index.retrieve(run_hash(data, begin, end)[0], row)
                 hits: dict[int, list] = {}
                 for r, w, k in zip(rows.tolist(), first.tolist(), item.tolist()):
                     hits.setdefault(r, []).append((w, k))

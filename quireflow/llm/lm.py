@@ -7,7 +7,7 @@
    too; all others share ``CLASSES`` symbols, by their last two bytes.
 3. Counts and symbols go back to the blocks that hold the word.
 4. The model predicts a symbol's vector from the two symbols before it. Each task
-   trains a copy over its blocks with shared noise samples; copies are averaged,
+   trains a copy over one block with shared noise samples; copies are averaged,
    weighted by tokens, and the next of ``ROUNDS`` rounds goes on from the average.
    The rounds part the blocks, so every training token is used once in an epoch;
    there are ``EPOCHS`` of them at every size.
@@ -18,7 +18,7 @@
 The model has a fixed size; counts grow with the corpus and stay in tables.
 
 Rules: A-Z are lower-cased, other letters are not; a null text is empty and has
-one token, its end. A null id is held out. Rows are scored one by one. Without
+one token, its end. Words are told apart by their bytes. Ids keep their type; a null id is held out. Rows are scored one by one. Without
 training rows, N and V are 0 and every base score is 0. An empty table gives an
 empty table. Extra columns are ignored.
 """
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quireflow.llm.arrays import flat, pieces, prefix_sums, span_hash, word_bounds
+from quireflow.llm.arrays import flat, pieces, runs, word_bounds
 from quireflow.llm.common import col, documents, settle
 from quireflow.llm.quality import held_out
 
@@ -43,22 +43,7 @@ ROUNDS = 3
 EPOCHS = 6  # at every size
 BLOCK = 16 << 20
 
-BLOCKS = (
-    "block bigint, doc_ids array<bigint>, held array<boolean>, ends array<int>, codes binary, "
-    "words array<binary>, counts array<bigint>"
-)
-
-
-def _distinct_words(data: np.ndarray, offsets: np.ndarray):
-    """(hashes, words) of the distinct words, each token's place among them, and its row."""
-    begin, end, row = word_bounds(data, offsets)
-    hashes, first, place = np.unique(span_hash(prefix_sums(data), begin, end), return_index=True, return_inverse=True)
-    place = place.astype(np.int32)
-    size = end[first] - begin[first]
-    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-    at = np.arange(ends[-1]) + np.repeat(begin[first] - ends[:-1], size)
-    words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[at].tobytes())])
-    return hashes, words, place, row
+BLOCKS = "block bigint, doc_ids array<{id}>, held array<boolean>, ends array<int>, codes binary, words array<binary>, counts array<bigint>"
 
 
 def _to_blocks(batches):
@@ -68,21 +53,23 @@ def _to_blocks(batches):
     number = (TaskContext.get().partitionId() << 32) - 1
     for big in pieces(batches, 2, BLOCK):
         number += 1
-        found, rows, shift = [], [], 0
+        codes, words, row, shift = [], pa.array([], pa.binary()), [], 0
         for batch in pieces([big], 2):
             data, offsets = flat(batch.column(2))
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-            *part, row = _distinct_words(data, offsets)
-            found.append(part)
-            rows.append((row + shift).astype(np.int32))
+            begin, end, own = word_bounds(data, offsets)
+            told = runs(data, begin, end).dictionary_encode()
+            codes.append(told.indices.to_numpy())
+            row.append((own + shift).astype(np.int32))
             shift += batch.num_rows
-        hashes = np.concatenate([h for h, _, _ in found])
-        _, first, merged = np.unique(hashes, return_index=True, return_inverse=True)
-        words = pa.concat_arrays([pa.array([b""], pa.binary()), pa.concat_arrays([w for _, w, _ in found]).take(pa.array(first))])
-        starts = np.cumsum([0, *(len(h) for h, _, _ in found)])
-        merged = (merged + 1).astype(np.int32)
-        codes = np.concatenate([merged[s + place] for s, (_, _, place) in zip(starts, found)])
-        row = np.concatenate(rows)
+            words = pa.concat_arrays([words, told.dictionary])
+        # Pieces' words into one list of the block's, which is compared by bytes.
+        merged = words.dictionary_encode()
+        places = merged.indices.to_numpy() + 1
+        words = pa.concat_arrays([pa.array([b""], pa.binary()), merged.dictionary])
+        starts = np.cumsum([0, *(int(c.max(initial=-1)) + 1 for c in codes)])
+        codes = np.concatenate([places[s + c] for s, c in zip(starts, codes)])
+        row = np.concatenate(row)
         n = big.num_rows
         # The end of each row after its words.
         sizes = np.bincount(row, minlength=n)
@@ -94,7 +81,7 @@ def _to_blocks(batches):
         counts = np.bincount(tokens[learned], minlength=len(words))
         whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         packed = pa.compress(tokens.tobytes(), "zstd", asbytes=True)
-        del found, hashes, merged, codes, row, rows, learned
+        del merged, places, codes, row, learned
         pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_arrays(
             [
@@ -281,11 +268,12 @@ def _averaged(trained: DataFrame) -> list[float] | None:
 def score_documents(docs: DataFrame, folds: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Base and model scores of all documents; learned outside the held-out fold."""
     taken = docs.select(
-        col(docs, doc_id).cast("bigint").alias("doc_id"),
+        col(docs, doc_id).alias("doc_id"),
         held_out(col(docs, doc_id), folds).alias("held"),
         F.coalesce(col(docs, text), F.lit("")).alias("text"),
     )
-    blocks = settle(taken.mapInArrow(_to_blocks, BLOCKS), "lm-blocks")
+    kind = taken.schema["doc_id"].dataType.simpleString()
+    blocks = settle(taken.mapInArrow(_to_blocks, BLOCKS.format(id=kind)), "lm-blocks")
     local = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select(
         "block", "i", F.col("x.words").alias("word"), F.col("x.counts").alias("n")
     )
@@ -308,17 +296,24 @@ def score_documents(docs: DataFrame, folds: int = 10, doc_id: str = "doc_id", te
         noise[r["symbol"]] += r["c"]
 
     told = named(local.join(counted, "word", "left")).select("block", F.struct("i", F.coalesce("c", F.lit(0)).alias("c"), symbol).alias("x"))
-    told = told.groupBy(F.col("block").alias("b")).agg(F.sort_array(F.collect_list("x")).alias("x"))
-    ready = blocks.drop("words", "counts").join(told, F.col("block") == F.col("b"))
-    ready = settle(ready.select("block", "doc_ids", "held", "ends", "codes", F.col("x.c").alias("cs"), F.col("x.symbol").alias("symbols")), "lm-ready")
+    # Far more partitions than blocks, so that few blocks meet in one.
+    told = told.repartition(4 * max(1, blocks.count()), "block").groupBy(F.col("block").alias("b"))
+    told = told.agg(F.sort_array(F.collect_list("x")).alias("x"))
+    ready = blocks.drop("words", "counts").join(told, F.col("block") == F.col("b")).select(
+        "block", "doc_ids", "held", "ends", "codes", F.col("x.c").alias("cs"), F.col("x.symbol").alias("symbols"),
+        F.pmod(F.xxhash64("block"), F.lit(ROUNDS)).cast("int").alias("round"),
+    )
+    ready = settle(ready, "lm-ready", by="round")
 
     model = Model(noise / noise.sum())
     for round_ in range(ROUNDS):
-        part = ready.where(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == round_)
+        part = ready.where(F.col("round") == round_)
+        # A task trains on one block, so a round lasts as long as a block whatever their number.
+        part = part.repartitionByRange(max(1, part.count()), "block")
         mean = _averaged(part.mapInArrow(_trainer(model, EPOCHS, round_), "n bigint, w array<double>"))
         if mean is not None:
             model.set(np.array(mean))
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return ready.mapInArrow(_scorer(model, total, distinct, shares), schema)
 
 

@@ -19,19 +19,19 @@ documents that share any band is never lost and pairs are never listed.
 
 Rules: a document of fewer than five words has one shingle, all its words.
 Documents without words, null texts too, are one class. Rows of one id are one
-document. A row with a null id is alone in its class (null). The class id is
-the least document id of the class. An empty table gives an empty table. Extra
-columns are ignored.
+document. A row with a null id is alone in its class (null), and stays. The class id is
+the least document id of the class; ids keep their type. An empty table gives an empty table. Extra
+columns are ignored, and pass through ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quireflow.llm.arrays import BASE, flat, mix, pieces, prefix_sums, span_hash, word_bounds
-from quireflow.llm.common import col, documents, settle
+from quireflow.llm.arrays import BASE, flat, mix, pieces, run_hash, word_bounds
+from quireflow.llm.common import col, documents, fresh, settle
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -49,7 +49,7 @@ COLUMNS = 2048
 def word_hashes(data: np.ndarray, offsets: np.ndarray):
     """Hashes of all words, and the row of each."""
     begin, end, row = word_bounds(data, offsets)
-    return span_hash(prefix_sums(data), begin, end), row
+    return run_hash(data, begin, end)[0], row
 
 
 def shingles(hashes: np.ndarray, row: np.ndarray, n_rows: int, size: int = SHINGLE):
@@ -134,12 +134,14 @@ def _signatures(batches):
     for batch in pieces(batches, 1):
         data, offsets = flat(batch.column(1))
         n = batch.num_rows
-        hashes, row = word_hashes(data, offsets)
+        begin, end, row = word_bounds(data, offsets)
+        lanes = run_hash(data, begin, end, lanes=2)
+        hashes = lanes[0]
         first = np.searchsorted(row, np.arange(n + 1))
         place = (np.arange(len(row)) - first[row]).astype(np.uint64)
         keys = []
-        for salt in (1, 2):
-            scattered = mix(hashes ^ mix(place * BASE + np.uint64(salt)))
+        for salt, lane in zip((1, 2), lanes):
+            scattered = mix(lane ^ mix(place * BASE + np.uint64(salt)))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scattered, dtype=np.uint64)])
             keys.append(mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64))
         h, r, w = weighted(*shingles(hashes, row, n))
@@ -288,8 +290,27 @@ def _unit_links(held: list[pa.RecordBatch], similarity: float):
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id) of every document id; null ids are left out."""
-    lower = docs.select(col(docs, doc_id).cast("bigint").alias("id"), F.lower(F.coalesce(col(docs, text), F.lit(""))).alias("text"))
+    """(doc_id, class_id): one row of every document id, and one of every row without an id."""
+    kind = docs.schema[doc_id].dataType
+    taken = docs.select(col(docs, doc_id).alias("doc_id"), col(docs, text).alias("text"))
+    none = F.lit(None).cast(kind)
+    unnamed = taken.where("doc_id IS NULL").select(none.alias("doc_id"), none.alias("class_id"))
+    if isinstance(kind, T.IntegralType):
+        found = _classes(taken, similarity)
+        return found.select(F.col("doc_id").cast(kind), F.col("class_id").cast(kind)).unionByName(unnamed)
+    # Ids that are no whole numbers are numbered; the least id of a class then is looked up.
+    names = taken.where("doc_id IS NOT NULL").select("doc_id").distinct().select("doc_id", F.monotonically_increasing_id().alias("n"))
+    names = settle(names, "names")
+    found = _classes(taken.join(names, "doc_id").select(F.col("n").alias("doc_id"), "text"), similarity)
+    named = settle(found.join(names.withColumnRenamed("doc_id", "name"), F.col("doc_id") == F.col("n")).select("name", "class_id"), "named")
+    least = named.groupBy(F.col("class_id").alias("of")).agg(F.min("name").alias("class_name"))
+    out = named.join(least, F.col("class_id") == F.col("of"))
+    return out.select(F.col("name").alias("doc_id"), F.col("class_name").alias("class_id")).unionByName(unnamed)
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, class_id) of every id, all whole numbers; null ids are left out."""
+    lower = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     lower = lower.where("id IS NOT NULL")
     signed = settle(lower.mapInArrow(_signatures, "id bigint, k1 bigint, k2 bigint, bands array<bigint>"), "signatures")
     same = settle(signed.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("id").alias("n")), "same")
@@ -323,10 +344,11 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of every class, that of the least id; rows of null id stay."""
-    gone = near_classes(docs, doc_id, text).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id_"))
-    return docs.join(gone, col(docs, doc_id) == F.col("gone_id_"), "left_anti")
+    (gone_id,) = fresh(docs, "gone_id")
+    gone = near_classes(docs, doc_id, text).where("doc_id <> class_id").select(F.col("doc_id").alias(gone_id))
+    return docs.join(gone, col(docs, doc_id) == F.col(gone_id), "left_anti")
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class, and whether it is the one that stays."""
-    return near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from quireflow.llm import decontaminate as dc
-from quireflow.llm.arrays import flat, prefix_sums, span_hash, word_bounds
+from quireflow.llm.arrays import flat, run_hash, word_bounds
 
 PLANTED = "which river runs under the old stone bridge of the northern town? the quiet silver river does so since the great flood of that year."
 
@@ -32,7 +32,7 @@ def test_retrieval_equals_scoring_every_pair(monkeypatch):
     index = dc.Index(items, {int(dc._hash_words([w])[0].astype(np.int64)): n for w, n in counts.items()}, len(items))
     data, offsets = flat(pa.array(texts))
     begin, end, row = word_bounds(data, offsets)
-    got = set(zip(*map(np.ndarray.tolist, index.retrieve(span_hash(prefix_sums(data), begin, end), row))))
+    got = set(zip(*map(np.ndarray.tolist, index.retrieve(run_hash(data, begin, end)[0], row))))
 
     parts = []
     for k, (_, t) in enumerate(items):

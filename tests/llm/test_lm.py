@@ -81,3 +81,23 @@ def test_epochs_do_not_follow_size(spark, monkeypatch):
     lm.score_documents(few).count()
     lm.score_documents(spark.createDataFrame([(i, "a b c d " * 4000) for i in range(30)], "doc_id bigint, text string")).count()
     assert len(set(seen)) == 1 and seen[0] == lm.EPOCHS
+
+
+def test_structured_words_count_apart_and_ids_keep_their_type(spark):
+    """Words that a polynomial hash modulo 2^64 takes for one are two words."""
+    import math
+
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([("u1", f"{word} {word}"), ("u2", other), (None, word)], "doc_id string, text string")
+    held = {r[0] for r in df.where(lm.held_out(df["doc_id"], 10)).select("doc_id").collect()}
+    got = {r["doc_id"]: r for r in lm.score_documents(df).collect()}
+    learned = [i for i in ("u1", "u2") if i not in held]
+    counts = {word: 2 * ("u1" in learned), other: 1 * ("u2" in learned), "": len(learned)}
+    n, v = sum(counts.values()), sum(c > 0 for c in counts.values())
+    base = lambda ws: sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
+    for i, ws in (("u1", [word, word, ""]), ("u2", [other, ""]), (None, [word, ""])):
+        assert got[i]["train_tokens"] == n and got[i]["n_known"] == sum(counts[w] > 0 for w in ws)
+        assert abs(got[i]["base_score"] - base(ws)) < 1e-9

@@ -83,6 +83,7 @@ def test_classes(spark):
     rows += [(2000, " ".join(["the end"] * 300)), (2001, " ".join(["the end"] * 310)), (3, "one two"), (3, "one two")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, label int, class_id int")
     got = {r["doc_id"]: r["class_id"] for r in near.near_classes(df).collect()}
+    assert got.pop(None, None) is None  # a row without an id is in no class
     assert got == brute(rows)
     kept = near.drop_near_duplicates(df)
     assert kept.columns == df.columns
@@ -109,3 +110,77 @@ def test_large_group_of_variants(spark, monkeypatch, block):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert near.near_classes(df).count() == 0 and near.drop_near_duplicates(df).count() == 0
+
+
+def thue_morse(bits):
+    """Two words that any polynomial hash modulo 2^64 takes for one."""
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_structured_words_apart():
+    import pyarrow as pa
+
+    from quireflow.llm.arrays import run_hash, runs
+
+    words = [w for bits in range(1, 14) for w in thue_morse(bits)] + ["x" * n for n in (1, 7, 8, 9, 16, 511, 512, 513, 5000)] + ["", "é"]
+    words = list(dict.fromkeys(words))
+    data, offsets = flat(pa.array([" ".join(words + words), None, "ab"]))
+    begin, end, row = word_bounds(data, offsets)
+    for hashes in run_hash(data, begin, end, lanes=2):
+        n = len(words) - 1
+        assert len(set(hashes[:n].tolist())) == n and (hashes[:n] == hashes[n : 2 * n]).all()
+        assert hashes[-1] == hashes[words.index("ab")]
+    assert [w.decode() for w in runs(data, begin, end).to_pylist()] == [w for w in words + words if w] + ["ab"]
+
+
+def classes(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_structured_words_are_unlike(spark):
+    one, two = thue_morse(10)
+    df = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id bigint, text string")
+    assert classes(near.near_classes(df)) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_null_ids_text_ids_and_names(spark):
+    same, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(None, same), (None, None), (2, same), (1, same), (7, other), (7, other)], "doc_id int, text string")
+    assert classes(near.near_classes(df)) == sorted([(None, None), (None, None), (2, 1), (1, 1), (7, 7)], key=repr)
+    assert dict(near.near_classes(df).dtypes) == {"doc_id": "int", "class_id": "int"}
+    clash = df.selectExpr("*", "0 AS gone_id", "1 AS gone_id_", "2 AS class_id", "3 AS id")
+    kept = near.drop_near_duplicates(clash)
+    assert kept.columns == clash.columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == [1, 7, 7, None, None]
+    named = df.selectExpr("concat('d', doc_id) AS doc_id", "text")
+    assert classes(near.near_classes(named)) == sorted([(None, None), (None, None), ("d2", "d1"), ("d1", "d1"), ("d7", "d7")], key=repr)
+    assert near.near_classes(df.limit(0)).count() == 0 and near.near_classes(named.limit(0)).count() == 0
+
+
+def test_op2_against_brute_force(spark):
+    """All of the small table: links by whole shingle sets, then components."""
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").lower())
+        sets[r["doc_id"]] = Counter(tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4)))
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            common = sum((sets[i] & sets[j]).values())
+            if common >= 0.8 * (sum(sets[i].values()) + sum(sets[j].values()) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r["doc_id"]: (r["class_id"], r["kept"]) for r in near.op2_minhash_dedup(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: (find(i), find(i) == i) for i in ids}
