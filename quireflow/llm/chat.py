@@ -11,14 +11,15 @@ Control strings inside roles and texts are escaped, and every escape can be
 undone (``\\b`` is a backslash, ``\\s`` the start mark, ``\\e`` the end mark, ``\\c``
 a colon in a role). Only assistant texts are under the loss mask.
 
-A conversation is written in chunks of ``CHUNK`` turn numbers, each made by its
-own group, so that a conversation with very many turns is spread; only finished
+A conversation is written in chunks of ``CHUNK`` turns at most, of ``CHUNK`` neighbouring turn numbers, each
+group of numbers made by itself, so that a conversation with very many turns is spread; only finished
 chunks meet in its row.
 
 Rules: a null role or text is empty; turns are ordered by (turn, role, text),
 nulls first, and repeated rows stay; a null id is a conversation of its own. A
 record of an unknown layout has no turns and a null layout. An empty table gives
-an empty table. Fields outside the known layouts are ignored.
+an empty table. Fields that a layout does not name are ignored, those that others name too: a
+fingerprint that is no layout's own selects the layout with the most paths of those that are there whole.
 """
 
 from __future__ import annotations
@@ -64,6 +65,14 @@ def fingerprint(paths) -> str:
 
 
 BY_PRINT = {fingerprint(layout["paths"]): name for name, layout in LAYOUTS.items()}
+# Layouts with more paths first: the one tried next where a fingerprint is not a layout's own.
+BY_SIZE = sorted(LAYOUTS, key=lambda name: -len(LAYOUTS[name]["paths"]))
+
+
+def layout_of(paths) -> str | None:
+    """The layout of a fingerprint; else the largest one whose paths are all there, whatever else is."""
+    own, paths = BY_PRINT.get(fingerprint(paths)), set(paths)
+    return own or next((name for name in BY_SIZE if paths >= set(LAYOUTS[name]["paths"])), None)
 
 
 def field_paths(schema: T.DataType, at: str = "") -> list[str]:
@@ -91,9 +100,7 @@ def _mapped(name: str, get, items) -> Column:
 
 def canonical(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """Canonical rows (conv_id, turn, role, text) of a table, by its schema's fingerprint."""
-    name = BY_PRINT.get(fingerprint(field_paths(df.schema))) or BY_PRINT.get(
-        fingerprint(p for p in field_paths(df.schema) if p != conv_id)
-    )
+    name = layout_of(["conv_id" if p == conv_id else p for p in field_paths(df.schema)])
     if name is None:
         raise ValueError(f"no layout has the fields {sorted(field_paths(df.schema))}")
     if name == "turn_rows":
@@ -125,13 +132,17 @@ def canonical_records(df: DataFrame, conv_id: str = "conv_id", record: str = "re
         listed = F.try_variant_get(v, "$." + xs, "array<variant>")
         return F.exists(listed, lambda x: F.try_variant_get(x, "$." + f, "string").isNotNull())
 
-    printed = F.sha2(F.concat_ws("\n", *[F.when(present(p), F.lit(p)) for p in KNOWN]), 256)
-    layout = F.coalesce(*[F.when(F.col("print") == k, F.lit(n)) for k, n in BY_PRINT.items() if n != "turn_rows"])
+    there = F.array_compact(F.array(*[F.when(present(p), F.lit(p)) for p in KNOWN]))
+    printed = F.sha2(F.array_join("there", "\n"), 256)
+    rest = [n for n in BY_SIZE if n != "turn_rows"]
+    all_there = lambda n: F.array_size(F.array_except(F.array(*map(F.lit, LAYOUTS[n]["paths"])), F.col("there"))) == 0
+    own = [F.when(F.col("print") == k, F.lit(n)) for k, n in BY_PRINT.items() if n in rest]
+    layout = F.coalesce(*own, *[F.when(all_there(n), F.lit(n)) for n in rest])
     turns = F.coalesce(
         *[F.when(F.col("layout") == n, _mapped(n, text, fields)) for n in LAYOUTS if n != "turn_rows"],
         F.array().cast(TURNS),
     )
-    out = df.select(F.col(conv_id).alias("conv_id"), F.col(record), printed.alias("print"))
+    out = df.select(F.col(conv_id).alias("conv_id"), F.col(record), there.alias("there")).withColumn("print", printed)
     return out.withColumn("layout", layout).select("conv_id", "layout", turns.alias("turns"))
 
 
@@ -165,7 +176,10 @@ def format_turns(turns: DataFrame) -> DataFrame:
         escape(x["text"]).alias("body"),
         (x["role"] == "assistant").alias("loss"),
     )
-    parts = parts.select("conv_id", "part", F.transform("ts", piece).alias("ps"))
+    # Turn numbers may be null or alike, so what falls into one part is cut by rank.
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ts") - 1) / CHUNK).cast("int")), lambda k: F.slice("ts", k * CHUNK + 1, F.lit(CHUNK)))
+    parts = parts.select("conv_id", "part", F.posexplode(cut).alias("nth", "ts"))
+    parts = parts.select("conv_id", "part", "nth", F.transform("ts", piece).alias("ps"))
     sizes = F.transform("ps", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END))
     parts = parts.withColumn("sizes", sizes)
     before = lambda i: F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, n: a + n)
@@ -178,6 +192,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     )
     chunk = F.struct(
         "part",
+        "nth",
         F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("text"),
         F.filter(spans, lambda s: s.isNotNull()).alias("loss"),
     )

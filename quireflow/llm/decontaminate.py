@@ -15,14 +15,14 @@ before the last sentences) and of its answer (the last sentences, a quarter of
 the words at least) ``COVER`` of all word trigrams or more must occur, punctuation
 left out.
 
-The index is broadcast in shards, one pass over the texts for each, with counts of
-terms taken over all items. A shard has at most ``SHARD`` items, and ends with the
+The index is sent to the tasks in shards, a job over the texts for each, with counts of
+terms taken over all items; so one shard is held at a time, by the driver and by a task. A shard has at most ``SHARD`` items, and ends with the
 item that reaches ``SHARD_WORDS`` words. An item lies whole in one shard, since
 verification needs all its places; it may be as long as a text may be.
 
 Rules: words are lower-cased and parted by white space. Null and empty texts
 hold no item; items without words or without an id are left out. Items that repeat an id are
-indexed one by one, equal rows once. Each row of the texts is judged by itself, so repeated rows
+indexed one by one, equal rows once; ids keep their type. Each row of the texts is judged by itself, so repeated rows
 and null ids do no harm. Without items no text is contaminated. Extra columns
 pass through.
 """
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from quireflow.llm.arrays import flat, pieces, run_hash, word_bounds
-from quireflow.llm.common import col, documents, fresh, settle, words
+from quireflow.llm.common import col, documents, fresh, scratch, settle, words
 
 K1, B = 1.2, 0.75
 PART = 32
@@ -212,66 +212,105 @@ def _expand(start: np.ndarray, stop: np.ndarray):
     return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + start[which]
 
 
+class Shards:
+    """The items in shards of bounded size; one index at a time is made from them."""
+
+    def __init__(self, items: DataFrame, item_id: str = "item_id", text: str = "text"):
+        lower = items.select(col(items, item_id).alias("id"), F.lower(F.coalesce(col(items, text), F.lit(""))).alias("text"))
+        lower = lower.where(F.col("id").isNotNull() & (F.size(words(F.col("text"))) > 0))
+        lower = lower.distinct().select("*", F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("id", "text").alias("h"))
+        self.n, total = lower.agg(F.count("*"), F.sum("size")).first()
+        # Hashed ids fill shards unevenly, so half is aimed at, and what is above the bounds is cut off.
+        slots = max(1, -(-self.n // max(1, SHARD // 2)), -(-(total or 0) // max(1, SHARD_WORDS // 2)))
+        before = Window.partitionBy("slot").orderBy("h", "id", "text").rowsBetween(Window.unboundedPreceding, -1)
+        sharded = lower.withColumn("slot", F.pmod("h", F.lit(slots))).select(
+            "id", "text", F.concat_ws(
+                ":", "slot", F.floor(F.coalesce(F.count("*").over(before), F.lit(0)) / SHARD),
+                F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / SHARD_WORDS),
+            ).alias("shard"),
+        )
+        self.sharded = settle(sharded, "items")
+        self.pairs = self.sharded.select("shard", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+        self.counted = settle(self.pairs.groupBy("word").agg(F.count("*").alias("df")), "terms")
+        self.names = sorted(r["shard"] for r in self.sharded.select("shard").distinct().collect())
+
+    def index(self, shard: str) -> Index:
+        """The index of a shard, with counts of terms taken over all items."""
+        own = self.sharded.where(F.col("shard") == shard).orderBy("id", "text").collect()
+        mine = self.pairs.where(F.col("shard") == shard).select("word").distinct()
+        counts = self.counted.join(mine, "word", "left_semi").collect()
+        hashed = [int(_hash_words([r["word"]])[0].astype(np.int64)) for r in counts]
+        return Index([(r["id"], r["text"]) for r in own], dict(zip(hashed, (r["df"] for r in counts))), self.n)
+
+
 def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text"):
-    """The index in shards, one after the other; each is bounded, whatever the number of items."""
-    lower = items.select(col(items, item_id).cast("bigint").alias("id"), F.lower(F.coalesce(col(items, text), F.lit(""))).alias("text"))
-    lower = lower.where(F.col("id").isNotNull() & (F.size(words(F.col("text"))) > 0))
-    lower = lower.distinct().select("*", F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("id", "text").alias("h"))
-    n, total = lower.agg(F.count("*"), F.sum("size")).first()
-    # Hashed ids fill shards unevenly, so half is aimed at, and what is above the bounds is cut off.
-    slots = max(1, -(-n // (SHARD // 2)), -(-(total or 0) // max(1, SHARD_WORDS // 2)))
-    before = Window.partitionBy("slot").orderBy("h", "id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    sharded = lower.withColumn("slot", F.pmod("h", F.lit(slots))).select(
-        "id", "text", F.concat_ws(
-            ":", "slot", F.floor(F.coalesce(F.count("*").over(before), F.lit(0)) / SHARD),
-            F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / SHARD_WORDS),
-        ).alias("shard"),
-    )
-    sharded = settle(sharded, "items")
-    pairs = sharded.select("shard", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    counted = pairs.groupBy("word").agg(F.count("*").alias("df"))
-    for s in sorted(r["shard"] for r in sharded.select("shard").distinct().collect()):
-        own = sharded.where(F.col("shard") == s).orderBy("id", "text").collect()
-        mine = counted.join(pairs.where(F.col("shard") == s).select("word").distinct(), "word", "left_semi").collect()
-        hashed = [int(_hash_words([r["word"]])[0].astype(np.int64)) for r in mine]
-        yield Index([(r["id"], r["text"]) for r in own], dict(zip(hashed, (r["df"] for r in mine))), n)
-
-
-def add_items(docs: DataFrame, items: DataFrame, text: str = "text", found: str = "items") -> DataFrame:
-    """``docs`` with the sorted ids of the items that each text holds; a narrow pass for each shard."""
-    (lower,) = fresh(docs, "lower_")
-    out = docs.withColumn(lower, F.lower(F.coalesce(col(docs, text), F.lit(""))))
-    out = out.withColumn(found, F.array().cast("array<bigint>"))
-    at, held = len(docs.columns), len(docs.columns) + 1
-    schema = T.StructType(list(out.schema.fields))
-
-    def searcher(index: Index):
+    """The index of every shard, one after the other."""
+    shards = Shards(items, item_id, text)
+    for name in shards.names:
+        yield shards.index(name)
+
+
+def _hits(index: Index, batch: pa.RecordBatch, at: int) -> dict[int, list]:
+    """The items that each row of a batch holds, by row; ``at`` is the place of the lower-cased texts."""
+    data, offsets = flat(batch.column(at))
+    begin, end, row = word_bounds(data, offsets)
+    rows, first, item = index.retrieve(run_hash(data, begin, end)[0], row)
+    places: dict[int, list] = {}
+    for r, w, k in zip(rows.tolist(), first.tolist(), item.tolist()):
+        places.setdefault(r, []).append((w, k))
+    held = {r: index.verified(bytes(data[offsets[r] : offsets[r + 1]]).decode(), at) for r, at in places.items()}
+    return {r: sorted(set(ids)) for r, ids in held.items() if ids}
+
+
+def add_items(docs: DataFrame, items: DataFrame, text: str = "text", found: str = "items", item_id: str = "item_id") -> DataFrame:
+    """``docs`` with the sorted ids of the items that each text holds, as ``found``, or a longer name if that is taken."""
+    lower, row, of, found = fresh(docs, "lower", "row", "of", found)
+    kind = T.ArrayType(items.schema[item_id].dataType)
+    shards = Shards(items, item_id)
+    lowered = F.lower(F.coalesce(col(docs, text), F.lit(""))).alias(lower)
+    whole = [col(docs, c) for c in docs.columns]
+    if not shards.names:
+        return docs.withColumn(found, F.array().cast(kind))
+    if len(shards.names) == 1:
+        index, at = shards.index(shards.names[0]), len(docs.columns)
+
         def run(batches):
             for batch in pieces(batches, at):
-                data, offsets = flat(batch.column(at))
-                begin, end, row = word_bounds(data, offsets)
-                rows, first, item = index.retrieve(run_hash(data, begin, end)[0], row)
-                hits: dict[int, list] = {}
-                for r, w, k in zip(rows.tolist(), first.tolist(), item.tolist()):
-                    hits.setdefault(r, []).append((w, k))
-                lists = batch.column(held).to_pylist()
-                for r, places in hits.items():
-                    text = bytes(data[offsets[r] : offsets[r + 1]]).decode()
-                    lists[r] = sorted({*lists[r], *index.verified(text, places)})
-                columns = [*batch.columns[:held], pa.array(lists, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+                hits = _hits(index, batch, at)
+                lists = pa.array([hits.get(r, []) for r in range(batch.num_rows)], batch.schema.field(at + 1).type)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], lists], batch.schema.names)
+
+        out = docs.select(*whole, lowered).withColumn(found, F.array().cast(kind))
+        return out.mapInArrow(run, T.StructType(list(out.schema.fields))).drop(lower)
+
+    # Several shards: a job for each, which keeps only what it found, so that one index is held at a time.
+    named = settle(docs.select(*whole, F.monotonically_increasing_id().alias(row)), "texts")
+    path = scratch(docs.sparkSession, "hits")
+    schema = T.StructType([T.StructField(of, T.LongType()), T.StructField(found, kind)])
+
+    def finder(index: Index):
+        def run(batches):
+            for batch in pieces(batches, 1):
+                hits = _hits(index, batch, 1)
+                at, lists = pa.array(list(hits), pa.int64()), pa.array(list(hits.values()), batch.schema.field(2).type)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), lists], [of, found])
 
         return run
 
-    for index in indexes(items):
-        out = out.mapInArrow(searcher(index), schema)
-    return out.drop(lower)
+    for shard in shards.names:
+        texts = named.select(row, F.lower(F.coalesce(col(named, text), F.lit(""))), F.array().cast(kind))
+        texts.mapInArrow(finder(shards.index(shard)), schema).write.mode("append").parquet(path)
+    hits = docs.sparkSession.read.schema(schema).parquet(path)
+    hits = hits.groupBy(of).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(found)))).alias(found))
+    out = named.join(hits, F.col(row) == F.col(of), "left")
+    return out.select(*[col(named, c) for c in docs.columns], F.coalesce(found, F.array().cast(kind)).alias(found))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the texts that hold an item."""
-    (found,) = fresh(docs, "items_found")
-    return add_items(docs, items, text, found).where(F.size(found) == 0).drop(found)
+    out = add_items(docs, items, text)
+    found = out.columns[-1]
+    return out.where(F.size(found) == 0).drop(found)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quireflow.functions.text import let
 from quireflow.llm.common import col, documents, fresh, has_word, lines, settle, unit_key
 
 MIN_SITES = 10
@@ -68,31 +69,31 @@ def drop_boilerplate(
 ) -> DataFrame:
     """``docs`` without the lines that stand on ``min_sites`` sites or more.
 
-    ``removed`` names an optional column for the positions of the lines that went.
+    ``removed`` names an optional column for the positions of the lines that went (a longer name, if that is taken).
     """
     units = _units(docs, doc_id, text, site)
     spread = settle(site_spread(units.select("key", "site"), min_sites), "boilerplate")
-    row, hits = fresh(docs, "hit_row", "hit_lines")
+    row, hits, named = fresh(docs, "hit_row", "hit_lines", removed or "removed")
     found = units.join(spread, "key", "left_semi").groupBy(F.col("row").alias(row)).agg(
         F.sort_array(F.collect_set("pos")).alias(hits)
     )
     same = (F.col(row)["i"].eqNullSafe(col(docs, doc_id))) & (F.col(row)["h"] == F.xxhash64(col(docs, text)))
-    kept = F.array_join(
-        F.filter(lines(col(docs, text)), lambda line, i: ~F.array_contains(F.col(hits), i)), "\n"
-    )
+    # Places that stay, by a hash of those that go: in proportion to the lines, however many they are.
+    stay = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(hits))
+    kept = F.array_join(let(lines(col(docs, text)), lambda ls: F.transform(stay(ls), lambda i: F.get(ls, i))), "\n")
     out = docs.join(found, same, "left")
     columns = [
         F.when(F.col(hits).isNull(), col(docs, c)).otherwise(kept).alias(c) if c == text else col(docs, c)
         for c in docs.columns
     ]
     if removed:
-        columns.append(F.coalesce(F.col(hits), F.array().cast("array<int>")).alias(removed))
+        columns.append(F.coalesce(F.col(hits), F.array().cast("array<int>")).alias(named))
     return out.select(columns)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's line counts and the digest of what stays."""
-    out = drop_boilerplate(documents(spark, sf_dir), removed="removed_lines")
+    out = drop_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"), removed="removed_lines")
     kept: Column = F.coalesce("text", F.lit(""))
     return out.select(
         "doc_id",

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quireflow.llm.arrays import flat, pieces
-from quireflow.llm.common import col, documents
+from quireflow.llm.common import col, documents, fresh
 
 SAMPLE = 3000
 SAMPLE_BYTES = 1 << 16
@@ -161,14 +161,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = 5, sample: int =
     # At most `sample` narrow rows, so the broadcast is bounded.
     texts = docs.select(col(docs, "doc_id").alias("doc_id"), F.coalesce(col(docs, "text"), F.lit("")).alias("text"))
     texts = texts.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
-    got = texts.select("doc_id", "text", "good").limit(2 * sample).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
+    # Rows that repeat an id may be more than the sample; of these the first by id and text are taken.
+    got = texts.select("doc_id", "text", "good").orderBy("doc_id", "text").limit(2 * sample).collect()
     return Network().fit([r["text"].encode() for r in got], [r["good"] for r in got])
 
 
 def add_scores(docs: DataFrame, network: Network, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a score column; one narrow pass over whole texts."""
-    at = docs.columns.index(text)
+    """``docs`` with a last column of scores, called ``score`` or longer if that is taken; one narrow pass over whole texts."""
+    at, (score,) = docs.columns.index(text), fresh(docs, score)
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
 
     def run(batches):

@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     picked = docs.join(F.broadcast(chosen.select("id").distinct()), col(docs, doc_id) == F.col("id"), "left_semi")
     stats = statistics(picked, doc_id).select("doc_id", "features")
     rows = stats.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "features", "q")
-    got = sorted((tuple(r["features"]), int(r["q"] == 0)) for r in rows.limit(4 * sample).collect())
+    # Rows that repeat an id may be more than the sample; of these the first by id and features are taken.
+    got = sorted((tuple(r["features"]), int(r["q"] == 0)) for r in rows.orderBy("doc_id", "features", "q").limit(4 * sample).collect())
     # A fixed shuffle by position keeps both parts mixed, whatever order rows came in.
     return learn([got[(i * 7919) % len(got)] for i in range(len(got))] if len(got) % 7919 else got)
 

@@ -15,14 +15,15 @@ table. Columns of any name pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from quireflow.functions.text import let
 from quireflow.llm.common import BLANK, col, documents, fresh, has_word, settle, unit_key
 
 MIN_WORDS = 8
 # The separators of the two kinds of unit; a paragraph ends at an empty line.
 UNITS = {"line": "\n", "paragraph": "\n\n"}
+SPAN = T.StructType([T.StructField(c, T.IntegerType()) for c in ("unit", "start", "length")])
 
 
 def _parts(text: Column, unit: str) -> Column:
@@ -82,37 +83,51 @@ def drop_repeats(
 ) -> DataFrame:
     """``docs`` without repeated units, and their places in the original text.
 
-    ``spans`` holds an array of (unit, start, length), in code points of the
-    original text.
+    ``spans`` (or a longer name, if that is taken) holds an array of (unit, start, length), in code points of the
+    original text. Both come from one pass over a text's units, however many there are.
     """
-    row, gone = fresh(docs, "gone_row", "gone_units")
+    row, gone, spans = fresh(docs, "gone_row", "gone_units", spans)
     repeated = settle(repeated_units(docs, doc_id, text, rank, unit, min_words, over_blanks), "repeats")
     found = repeated.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_set("pos")).alias(gone))
     same = (F.col(row)["i"].eqNullSafe(col(docs, doc_id))) & (F.col(row)["h"] == F.xxhash64(col(docs, text)))
-    parts, sep = _parts(col(docs, text), unit), UNITS[unit]
-    kept = F.array_join(F.filter(parts, lambda u, i: ~F.array_contains(F.col(gone), i)), sep)
-    before = lambda p: F.call_function("substring_index", col(docs, text), F.lit(sep), p)
-    starts = let(
-        parts,
-        lambda us: F.transform(
-            F.col(gone),
-            lambda p: F.struct(
-                p.alias("unit"),
-                F.when(p > 0, F.length(before(p)) + len(sep)).otherwise(0).alias("start"),
-                F.length(F.get(us, p)).alias("length"),
-            ),
-        ),
-    )
-    kind = "array<struct<unit:int,start:int,length:int>>"
-    # In two steps: an expression inside a lambda would see the new text under the old name.
-    out = docs.join(found, same, "left").withColumn(spans, F.coalesce(starts, F.array()).cast(kind))
-    new_text = F.when(F.col(gone).isNull(), col(docs, text)).otherwise(kept).alias(text)
-    return out.select(*[new_text if c == text else col(docs, c) for c in docs.columns], spans)
+    told = docs.join(found, same, "left").select(*[col(docs, c) for c in docs.columns], gone)
+    at, last, sep = docs.columns.index(text), len(docs.columns), UNITS[unit]
+    schema = T.StructType([*docs.schema.fields, T.StructField(spans, T.ArrayType(SPAN))])
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(last)
+            hit = lists.is_valid()
+            pairs = zip(batch.column(at).filter(hit).to_pylist(), lists.filter(hit).to_pylist())
+            cut = [_without(t, positions, sep) for t, positions in pairs]
+            texts = pa.array([t for t, _ in cut], batch.column(at).type)
+            columns = list(batch.columns[:last])
+            columns[at] = pa.compute.replace_with_mask(batch.column(at), hit, texts)
+            places = iter([p for _, p in cut])
+            rows = [next(places) if h else [] for h in hit.to_pylist()]
+            kind = pa.list_(pa.struct([(c, pa.int32()) for c in SPAN.names]))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], [*batch.schema.names[:last], spans])
+
+    return told.mapInArrow(run, schema)
+
+
+def _without(text: str, positions: list[int], sep: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text without these units, in rising order, and their (unit, start, length); one pass over its units."""
+    kept, places, start, due = [], [], 0, iter([*positions, -1])
+    gone = next(due)
+    for k, part in enumerate(text.split(sep)):
+        if k == gone:
+            places.append((k, start, len(part)))
+            gone = next(due)
+        else:
+            kept.append(part)
+        start += len(part) + len(sep)
+    return sep.join(kept), places
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's removed lines, their places and the digest of what stays."""
-    out = drop_repeats(documents(spark, sf_dir))
+    out = drop_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     spans = F.col("removed_spans")
     place = F.transform(spans, lambda s: F.concat_ws(":", s["unit"], s["start"], s["length"]))
     return out.select(

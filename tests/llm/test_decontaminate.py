@@ -101,3 +101,20 @@ def test_long_items_and_repeated_rows(spark, monkeypatch):
     assert got == {1: [1], 2: [2], 3: [], 4: []}
     indexes = list(dc.indexes(bench))
     assert sum(len(x.items) for x in indexes) == 8 and all(len(x.items) <= 4 for x in indexes)
+
+
+def test_one_index_at_a_time(spark, monkeypatch):
+    """40 items in shards of 4: a job for each shard, one Arrow step a plan, names and text ids kept."""
+    monkeypatch.setattr(dc, "SHARD", 4)
+    items = [(f"i{k:02d}", " ".join(f"q{k}w{j}" for j in range(20)) + ". " + " ".join(f"a{k}w{j}" for j in range(12))) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(k, f"before {t} after", 1, 2) for k, (_, t) in enumerate(items)] + [(90, items[3][1] + " and " + items[7][1], 1, 2), (None, None, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, items int, row int")
+    shards = dc.Shards(bench)
+    assert len(shards.names) >= 10 and sum(len(shards.index(s).items) for s in shards.names) == 40
+    out = dc.add_items(df, bench)
+    assert out.columns == [*df.columns, "items_"]
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: r["items_"] for r in out.collect()}
+    assert got == {**{k: [f"i{k:02d}"] for k in range(40)}, 90: ["i03", "i07"], None: []}
+    assert sorted((r["doc_id"] for r in dc.drop_contaminated(df, bench).collect()), key=repr) == [None]

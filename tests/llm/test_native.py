@@ -195,3 +195,56 @@ def test_runs_over_blank_lines(spark):
     df = docs(spark, [(1, f"a\n{verse}", "s"), (2, f"b\n{verse}\nof", "s"), (3, "one two three\n\nc", "s")])
     got = {r["doc_id"]: r["text"] for r in substring.drop_repeats(df, over_blanks=True).collect()}
     assert got == {1: f"a\n{verse}", 2: "b\n\n \nof", 3: "one two three\n\nc"}
+
+
+# -- odd schemas and long texts ------------------------------------------------------
+
+
+def test_chat_other_fields_do_not_matter(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    want = sorted(tuple(r) for r in chat.canonical(df).collect())
+    extra = df.selectExpr("*", "'s' AS system", "'p' AS prompt", "'i' AS input", "'o' AS output", "'n' AS instruction", "1 AS part", "2 AS nth")
+    assert sorted(tuple(r) for r in chat.canonical(extra).collect()) == want
+    records = [(1, '{"prompt": "p", "completion": "c", "system": "s"}'), (2, '{"instruction": "i", "output": "o", "input": "x", "prompt": "p"}')]
+    got = chat.canonical_records(spark.createDataFrame(records, "conv_id bigint, record string")).collect()
+    assert {r["conv_id"]: r["layout"] for r in got} == {1: "prompt_completion", 2: "instruction_input"}
+
+
+def test_chat_many_turns_of_one_number(spark):
+    """Null and equal turn numbers are cut by rank, and a very long text passes."""
+    rows = [(1, None, "assistant", f"t{i:04d}") for i in range(1500)] + [(1, 5, "user", f"u{i:04d}") for i in range(700)]
+    rows += [(2, 0, "assistant", "long </turn> " * 40_000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    out = chat.format_turns(chat.canonical(df)).select(
+        "conv_id", F.size("chunks").alias("n"), chat.read_turns(chat.formatted(F.col("chunks"))).alias("turns"), chat.read_loss(F.col("chunks")).alias("loss")
+    )
+    got = {r["conv_id"]: r for r in out.collect()}
+    want = brute_chat(rows)
+    for c in (1, 2):
+        assert [(t["role"], t["text"]) for t in got[c]["turns"]] == want[c]
+        assert got[c]["loss"] == "".join(x for r, x in want[c] if r == "assistant")
+    assert got[1]["n"] == 6 + 3
+
+
+def test_texts_of_very_many_lines(spark):
+    """Two texts of 100,000 lines each: work follows the lines, not their square."""
+    ls = [f"line number {i} of a very long text that is here twice" for i in range(100_000)]
+    text = "\n".join(ls)
+    df = spark.createDataFrame([(1, text, "a"), (2, text + "\nand an end", "b")], "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in substring.drop_repeats(df).collect()}
+    assert got[1]["text"] == text and got[2]["text"] == "and an end" and len(got[2]["removed_spans"]) == 100_000
+    last = got[2]["removed_spans"][-1]
+    assert text[last["start"] : last["start"] + last["length"]] == ls[-1]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df, min_sites=2).collect()}
+    assert got == {1: "", 2: "and an end"}
+
+
+def test_names_that_are_taken(spark):
+    line = "one two three four five six seven eight nine"
+    df = spark.createDataFrame([(1, line, "a"), (2, line, "b")], "doc_id bigint, text string, source string")
+    df = df.selectExpr("*", "1 AS removed_spans", "2 AS removed", "3 AS gone_units", "4 AS hit_lines")
+    out = substring.drop_repeats(df)
+    assert out.columns == [*df.columns, "removed_spans_"] and out.count() == 2
+    out = lines.drop_boilerplate(df, min_sites=2, removed="removed")
+    assert out.columns == [*df.columns, "removed_"] and [r["text"] for r in out.collect()] == ["", ""]
