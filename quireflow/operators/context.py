@@ -2,9 +2,12 @@
 
 The text in front of chapter n holds every earlier summary, so a book's
 output grows with the square of its length whatever the plan. To keep one
-long book from becoming one task, chapters are cut into segments by number:
-the running text inside a segment needs only that segment, and the text of
-whole earlier segments is added from a side table. The chapter numbers of a book are unique, so a segment is bounded.
+long book from becoming one task, it is a prefix sum in levels: chapters are cut
+into segments by number, and segments into groups. What a level holds is put
+together once; the text before a segment is what stands before its group and the
+earlier segments of the group, and the text before a chapter is that and the
+earlier chapters of its segment. Chapter numbers of a book are unique and run
+from about 1, so on every level a key has at most ``SEGMENT`` rows, in books of up to ``SEGMENT``^3 chapters.
 """
 
 from __future__ import annotations
@@ -36,60 +39,65 @@ def _running(
     """Adds ``_before`` (earlier entries joined) and ``_any`` (an earlier summary exists).
 
     ``segment=None`` runs one plain window per book, for corpora known to hold
-    no long books. Earlier segments are read from ``history``, by default the
-    chapters themselves.
+    no long books. What came before is read from ``history``, by default the
+    chapters themselves; then ``chapters`` may be a few of its rows, and only what
+    stands before these is put together.
     """
-    number = F.col("chapter_number")
-    history = chapters if history is None else history
-
-    def marked(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_entry", entry).withColumn("_has", has(F.col("summary")))
-        return df if segment is None else df.withColumn("_seg", F.floor(number / segment))
-
-    rows = marked(chapters)
-    parts = ["book_id"]
-    if segment is not None:
-        # Stated, because rows already laid out by book would satisfy the
-        # window as they are and hold a long book in one task.
-        parts.append("_seg")
-        rows = rows.repartition(*parts)
-    earlier = Window.partitionBy(*parts).orderBy("chapter_number").rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn("_parts", F.collect_list("_entry").over(earlier)).withColumn(
-        "_any", F.coalesce(F.bool_or("_has").over(earlier), F.lit(False))
-    )
     if segment is None:
-        out = local.withColumn("_before", F.array_join("_parts", separator))
+        rows = chapters.withColumn("_entry", entry).withColumn("_has", has(F.col("summary")))
+        earlier = Window.partitionBy("book_id").orderBy("chapter_number").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_any", F.coalesce(F.bool_or("_has").over(earlier), F.lit(False)))
+        rows = rows.withColumn("_before", F.array_join(F.collect_list("_entry").over(earlier), separator))
+        return rows.select(*chapters.columns, "_before", "_any")
+
+    def texts(xs: Column) -> Column:
+        """The texts of nodes, joined; NULL if there are none."""
+        own = F.filter(F.transform(xs, lambda x: x["text"]), lambda t: t.isNotNull())
+        return F.when(F.size(own) > 0, F.array_join(own, separator))
+
+    def earlier(xs: str, at: str) -> Column:
+        return F.filter(xs, lambda x: x["at"] < F.col(at))
+
+    def some(xs: Column) -> Column:
+        return F.exists(xs, lambda x: x["has"])
+
+    def families(nodes: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """The nodes under a key, at most ``segment`` of them, in order."""
+        return nodes.groupBy(*keys).agg(F.array_sort(F.collect_list("_node")).alias(name))
+
+    def node(at: str, text: Column, any_: Column) -> Column:
+        return F.struct(F.col(at).alias("at"), text.alias("text"), any_.alias("has")).alias("_node")
+
+    seg, group = F.floor(F.col("chapter_number") / segment), F.floor(F.col("_seg") / segment)
+    told = (chapters if history is None else history).withColumn("_seg", seg)
+    told = told.select("book_id", "_seg", node("chapter_number", entry, has(F.col("summary"))))
+    # Stated, because a layout by book would serve the grouping too and hold a long book in one task.
+    segments = families(told.repartition("book_id", "_seg"), ["book_id", "_seg"], "_chapters")
+    up = segments.select("book_id", group.alias("_group"), node("_seg", texts(F.col("_chapters")), some(F.col("_chapters"))))
+    groups = families(up, ["book_id", "_group"], "_segments")
+    books = families(groups.select("book_id", node("_group", texts(F.col("_segments")), some(F.col("_segments")))), ["book_id"], "_groups")
+
+    rows = chapters.withColumn("_seg", seg)
+    if history is None:
+        asked = groups.withColumn("_wanted", F.transform("_segments", lambda x: x["at"]))
     else:
-        narrow = marked(history).select("book_id", "chapter_number", "_seg", "_entry", "_has")
-        ordered = F.array_sort(
-            F.collect_list(F.when(F.col("_entry").isNotNull(), F.struct("chapter_number", "_entry")))
-        )
-        segments = (
-            # A layout of the history by book would serve the grouping too and
-            # hold a long book in one task.
-            narrow.repartition("book_id", "_seg")
-            .groupBy("book_id", "_seg")
-            .agg(
-                F.transform(ordered, lambda x: x["_entry"]).alias("_texts"),
-                F.bool_or("_has").alias("_seg_has"),
-            )
-            .withColumn(
-                "_text", F.when(F.size("_texts") > 0, F.array_join("_texts", separator))
-            )
-        )
-        before = Window.partitionBy("book_id").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-        prior = segments.select(
-            "book_id",
-            "_seg",
-            F.collect_list("_text").over(before).alias("_prior"),
-            F.bool_or("_seg_has").over(before).alias("_prior_any"),
-        )
-        joined = local.join(prior, ["book_id", "_seg"], "left")
-        none = F.array().cast("array<string>")
-        out = joined.withColumn(
-            "_before", F.array_join(F.concat(F.coalesce("_prior", none), F.col("_parts")), separator)
-        ).withColumn("_any", F.col("_any") | F.coalesce("_prior_any", F.lit(False)))
-    return out.select(*chapters.columns, "_before", "_any")
+        # Of a longer history only the segments that hold rows are looked at.
+        wanted = rows.select("book_id", "_seg", group.alias("_group")).groupBy("book_id", "_group")
+        asked = groups.join(wanted.agg(F.collect_set("_seg").alias("_wanted")), ["book_id", "_group"])
+    far = earlier("_groups", "_group")
+    down = asked.join(books, "book_id").select(
+        "book_id", "_segments", texts(far).alias("_far"), some(far).alias("_far_has"), F.explode("_wanted").alias("_seg")
+    )
+    near = earlier("_segments", "_seg")
+    prior = down.select(
+        "book_id", "_seg", F.array(F.col("_far"), texts(near)).alias("_prior"), (F.col("_far_has") | some(near)).alias("_prior_any")
+    )
+    own = earlier("_chapters", "chapter_number")
+    out = rows.join(segments, ["book_id", "_seg"], "left").join(prior, ["book_id", "_seg"], "left")
+    none = F.array().cast("array<string>")
+    pieces = F.concat(F.coalesce("_prior", none), F.array(texts(own)))
+    any_ = F.coalesce(F.col("_prior_any"), F.lit(False)) | F.coalesce(some(own), F.lit(False))
+    return out.select(*chapters.columns, F.array_join(pieces, separator).alias("_before"), any_.alias("_any"))
 
 
 def chapter_context(chapters: DataFrame, segment: int | None = SEGMENT) -> DataFrame:
@@ -111,8 +119,8 @@ def prompt_context(
     """Adds ``prompt_context``: a header and all earlier chapters.
 
     Empty until one earlier chapter has a summary; from then on chapters
-    without one are listed too. ``history`` may give the same chapters by a
-    cheaper plan, where ``chapters`` has been joined to other tables.
+    without one are listed too. ``history`` may give all chapters of the books, where
+    ``chapters`` are only those that need a context, and joined to other tables.
     """
     entry = F.concat(
         F.lit("\n"),

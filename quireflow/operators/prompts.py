@@ -82,9 +82,10 @@ def chapter_prompts(
     """A prompt per chapter still without content, with all that came before.
 
     Contexts are built from narrow columns; ``content`` is reduced to a flag
-    first so that it is never shuffled. The book's title and outline join
+    first so that it is never shuffled. Only due chapters get a context, and only books that have some
+    are read for what came before. The book's title and outline join
     before the contexts exist, so that the contexts, the large part of a
-    prompt, are not shuffled either; only rows due for a prompt carry them.
+    prompt, are not shuffled either.
     """
     narrow = chapters.select(
         "book_id",
@@ -95,10 +96,14 @@ def chapter_prompts(
         written(chapters).alias("_written"),
     )
     owners = books.select(F.col("id").alias("book_id"), F.col("title").alias("book_title"), "outline")
-    owned = narrow.join(owners, "book_id", "inner").withColumns(
-        {c: F.when(~F.col("_written"), F.col(c)) for c in ("book_title", "outline", "notes")}
-    )
-    due = prompt_context(owned, segment, history=narrow).where(~F.col("_written"))
+    waiting = narrow.where(~F.col("_written")).drop("_written")
+    history = narrow.select("book_id", "chapter_number", "title", "summary")
+    if segment is None:
+        # One window over a book's rows needs all of them.
+        due = prompt_context(narrow, None).where(~F.col("_written")).drop("_written").join(owners, "book_id")
+    else:
+        history = history.join(waiting.select("book_id").distinct(), "book_id", "left_semi")
+        due = prompt_context(waiting.join(owners, "book_id"), segment, history=history)
     notes = F.when(has(F.col("notes")), fill(templates["notes_section"], {"notes": F.col("notes")}))
     slots = {
         "title": F.col("book_title"),

@@ -35,6 +35,20 @@ def test_context_equals_brute_force(spark, segment):
         assert got[book, number] == (plain(rows, number, book) if number > 1 else "")
 
 
+@pytest.mark.parametrize("segment", [2, 3])
+def test_levels_of_a_long_book(spark, segment):
+    """A book of many segments and groups, among short ones; few due rows give the same texts as all."""
+    rows = [(1, n, f"T{n}", None if n % 5 == 0 else f"s{n}", "x" if n % 7 else None, None) for n in range(-3, 60)]
+    rows += [(b, n, None, f"s{b} {n}", None, None) for b in range(2, 8) for n in (1, 2, 5)]
+    df = spark.createDataFrame(rows, ROW)
+    got = {(r["book_id"], r["chapter_number"]): r["context"] for r in context.chapter_context(df, segment).collect()}
+    assert got == {(r[0], r[1]): plain(rows, r[1], r[0]) if r[1] > 1 else "" for r in rows}
+    whole = {(r["book_id"], r["chapter_number"]): r["prompt_context"] for r in context.prompt_context(df, None).collect()}
+    some = context.prompt_context(df.where("content IS NULL AND chapter_number <> 5"), segment, history=df)
+    few = {(r["book_id"], r["chapter_number"]): r["prompt_context"] for r in some.collect()}
+    assert few == {k: whole[k] for k in few} and len(few) == 21 and any(few.values())
+
+
 @pytest.mark.parametrize("segment", [None, 4, 256])
 def test_prompt_context_lists_all_once_any_summary_exists(spark, segment):
     df, rows = corpus(spark)

@@ -57,8 +57,13 @@ def test_context_is_grouped_by_segment(spark, no_broadcast):
 
 def test_prompts_are_not_shuffled(spark, no_broadcast):
     plan = plan_of(queries()["chapter_prompts"](spark, SF))
-    window = plan.index("Window")
-    assert "Exchange" not in plan[:window]
+    # Contexts are made above the first join, where what came before meets the due rows.
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")] and "Window" not in plan
+
+
+def test_contexts_need_no_window(spark, no_broadcast):
+    for name in ("chapter_context", "prompt_context", "chapter_prompts"):
+        assert "Window" not in plan_of(queries()[name](spark, SF)), name
 
 
 def test_rendering_rows_needs_no_shuffle(spark):
