@@ -1115,6 +1115,9 @@ sent AS (SELECT *, CASE event_type {message_cases} END AS message, {HEADING} AS
     WHEN l.status = 'sent' THEN 'chapter_ready' ELSE 'waiting_chapter_notes' END AS event_type, l.status,
     coalesce(b.title, 'Unknown Book') AS book_title FROM log l LEFT JOIN books b ON b.id = l.book_id) x)"""
 LB = ("log", "books")
+# One number at a time or book by book, the texts are the same.
+ORACLE["generate_by_number"] = ORACLE["generate_chapters"]
+
 put(
     "given_messages",
     LB,

@@ -737,6 +737,13 @@ def generate_chapters(spark, sf):
     return generate.generate_chapters(plan, books, chapters, generate.DigestBackend)
 
 
+@query
+def generate_by_number(spark, sf):
+    books, chapters = v.books(spark, sf), v.chapters(spark, sf)
+    plan = gates.batch_plan(books, chapters)
+    return generate.generate_by_number(plan, books, chapters, generate.DigestBackend)
+
+
 # -- notifications ------------------------------------------------------------------------
 
 

@@ -23,7 +23,7 @@ from quireflow.operators.prompts import (
     TEMPERATURE,
     TEMPLATES,
 )
-from quireflow.session import settle
+from quireflow.session import settle, shared_dir
 
 Backend = Callable[[], object]
 
@@ -183,52 +183,63 @@ def generate_by_number(
     """The same chapters as ``generate_chapters``, one chapter number over all books at a time.
 
     For corpora with very long books: no task holds a book, and no running
-    context lives in Python. Each number is a pair of jobs, the chapters and then
-    their summaries, whose results are written before the next number reads
-    them; the context of a due chapter is gathered from narrow rows (book,
-    number, entry). The steps are as many as the longest book has due chapters.
+    context lives in Python. The context of a book is kept as one row. A step takes
+    the next number that is due in some book: it adds to the contexts what lies between
+    the number before and this one, which is the chapter just made and those that were there already, asks for
+    the chapters and then for their summaries, and writes all three. So a step reads the last contexts and the rows
+    of its own numbers, whichever step it is; a book leaves when it fails or has no more due chapters. The
+    steps are as many as there are due numbers.
     """
-    keys = ["book_id", "chapter_number"]
+    keys, spark = ["book_id", "chapter_number"], chapters.sparkSession
+    number = F.col("chapter_number")
     work = settle(plan.where(F.col("work") == "generate").select(*keys), "work")
     owners = books.select(F.col("id").alias("book_id"), F.col("title").alias("book_title"), "outline")
+    until = work.groupBy("book_id").agg(F.max("chapter_number").alias("_until"))
     told = chapters.select(*keys, title_or_default(F.col("title")).alias("title"), "summary", "notes")
-    told = told.join(work.select("book_id").distinct(), "book_id", "left_semi")
+    told = told.join(until.select("book_id"), "book_id", "left_semi")
+    # In order of number, so that a step's rows lie in few files.
+    told = settle(told.repartitionByRange("chapter_number").sortWithinPartitions("chapter_number"), "told")
+    contexts = settle(until.withColumns({"_before": F.lit(""), "_any": F.lit(False)}), "contexts")
+    base, made, before = shared_dir(spark, "by-number"), None, None
     kinds = {f.name: f.dataType for f in chapters.schema.fields}
-    done = chapters.sparkSession.createDataFrame(
-        [],
-        T.StructType(
-            [T.StructField("book_id", kinds["book_id"]), T.StructField("chapter_number", kinds["chapter_number"])]
-            + [T.StructField(c, T.StringType()) for c in ("content", "summary", "error")]
-        ),
-    )
-    # One row per step: the numbers that are due in some book.
-    for row in work.select("chapter_number").distinct().orderBy("chapter_number").collect():
-        number = row["chapter_number"]
-        stopped = done.where(F.col("error").isNotNull()).select("book_id")
-        due = work.where(F.col("chapter_number") == number).join(stopped, "book_id", "left_anti")
-        made = done.where(F.col("error").isNull()).select(*keys, F.col("summary").alias("_new"), F.lit(True).alias("_made"))
-        before = told.where(F.col("chapter_number") < number).join(made, keys, "left")
-        summary = F.when(F.col("_made"), F.col("_new")).otherwise(F.col("summary"))
+    schema = T.StructType([T.StructField(k, kinds[k]) for k in keys] + [T.StructField(c, T.StringType()) for c in ("content", "summary", "error")])
+
+    # One row for each number that is due in some book.
+    due_numbers = [r["chapter_number"] for r in work.select("chapter_number").distinct().orderBy("chapter_number").collect()]
+    for step, at in enumerate(due_numbers):
+        between = told.where(number < at if before is None else (number >= before) & (number < at))
+        summary = F.col("summary")
+        if made is not None:
+            good = made.where(F.col("error").isNull()).select(*keys, F.col("summary").alias("_new"), F.lit(True).alias("_made"))
+            between = between.join(good, keys, "left")
+            summary = F.when(F.col("_made"), F.col("_new")).otherwise(summary)
+            contexts = contexts.join(made.where(F.col("error").isNotNull()).select("book_id"), "book_id", "left_anti")
         entry = F.concat(
-            F.lit("\nChapter "), F.col("chapter_number").cast("string"), F.lit(": "), F.col("title"), F.lit("\n"),
-            F.coalesce(summary, F.lit(NO_SUMMARY)), F.lit("\n"),
+            F.lit("\nChapter "), number.cast("string"), F.lit(": "), F.col("title"), F.lit("\n"), F.coalesce(summary, F.lit(NO_SUMMARY)), F.lit("\n")
+        )
+        listed = F.array_sort(F.collect_list(F.struct("chapter_number", entry.alias("entry"))))
+        added = between.groupBy("book_id").agg(
+            F.array_join(F.transform(listed, lambda e: e["entry"]), "").alias("_text"), F.bool_or(has(summary)).alias("_has")
         )
-        entries = before.join(due.select("book_id"), "book_id", "left_semi").select(
-            "book_id", F.struct("chapter_number", entry.alias("entry")).alias("e"), has(summary).alias("has")
+        contexts = contexts.where(F.col("_until") >= at).join(added, "book_id", "left").select(
+            "book_id", "_until", F.concat("_before", F.coalesce("_text", F.lit(""))).alias("_before"),
+            (F.col("_any") | F.coalesce("_has", F.lit(False))).alias("_any"),
         )
-        listed = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]), "")
-        contexts = entries.groupBy("book_id").agg(F.when(F.bool_or("has"), listed).alias("before"))
-        rows = due.join(told, keys).join(owners, "book_id").join(contexts, "book_id", "left")
-        context = F.when((F.col("chapter_number") > 1) & F.col("before").isNotNull(), F.concat(F.lit(CONTEXT_HEADER), F.col("before")))
+        contexts = settle(contexts, "contexts")
+        rows = work.where(number == at).join(contexts, "book_id").join(told.where(number == at), keys).join(owners, "book_id")
+        context = F.when((number > 1) & F.col("_any"), F.concat(F.lit(CONTEXT_HEADER), F.col("_before")))
         notes = F.when(has(F.col("notes")), fill(templates["notes_section"], {"notes": F.col("notes")}))
-        shared = {"title": F.col("book_title"), "number": F.col("chapter_number"), "chapter_title": F.col("title")}
+        shared = {"title": F.col("book_title"), "number": number, "chapter_title": F.col("title")}
         slots = {**shared, "outline": F.col("outline"), "context": context, "notes_section": notes}
         asked = rows.select(*keys, "book_title", "title", fill(templates["chapter"], slots).alias("prompt"))
-        texts = settle(generate_text(asked, backend, CHAPTER_TOKENS, tasks=tasks), "by-number")
+        texts = settle(generate_text(asked, backend, CHAPTER_TOKENS, tasks=tasks), "by-number-texts")
         given = F.col("content") if summary_input is None else F.substring("content", 1, summary_input)
         wanted = texts.withColumnRenamed("text", "content").withColumn("prompt", fill(templates["summary"], {**shared, "content": given}))
-        sums = settle(generate_text(wanted, backend, SUMMARY_TOKENS, tasks=tasks), "by-number")
         ok = F.col("error").isNull()
-        step = sums.select(*keys, F.when(ok, F.col("content")).alias("content"), F.when(ok, F.col("text")).alias("summary"), "error")
-        done = done.unionByName(step)
-    return done
+        ended = generate_text(wanted, backend, SUMMARY_TOKENS, tasks=tasks)
+        ended = ended.select(*keys, F.when(ok, F.col("content")).alias("content"), F.when(ok, F.col("text")).alias("summary"), "error")
+        ended.write.parquet(f"{base}/step={step}")
+        made, before = spark.read.schema(schema).parquet(f"{base}/step={step}"), at
+    if made is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(base).select(schema.names)

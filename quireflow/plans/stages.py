@@ -57,15 +57,18 @@ def chapter_batch(
     backend: generate.Backend,
     as_of: Column,
     auto_approve: bool = False,
+    by_number: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Chapters after one batch run over all approved books, and the events of these.
 
-    Results and approvals are joined as narrow patches, and the chapters, texts
+    Chapters are made one number over all books at a time, so a book may be of any length; without
+    ``by_number`` whole books are, each in one task, which takes one job for corpora of short books. Results and approvals are joined as narrow patches, and the chapters, texts
     included, are patched once.
     """
     started = start_chapters(books, chapters, as_of)
     plan = settle(gates.batch_plan(books, started, auto_approve), "batch-plan")
-    made = settle(generate.generate_chapters(plan, books, started, backend), "chapters")
+    make = generate.generate_by_number if by_number else generate.generate_chapters
+    made = settle(make(plan, books, started, backend), "chapters")
     keyed = started.select("id", "book_id", "chapter_number")
     results = made.join(keyed, ["book_id", "chapter_number"]).select("id", "content", "summary", "error")
     patches = mutations.chapter_results(results)

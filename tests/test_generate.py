@@ -194,3 +194,34 @@ def test_chapter_numbers_one_at_a_time_give_the_same(spark):
     two = generate.generate_by_number(plan, books, chapters, Picky).collect()
     assert sorted(map(repr, one)) == sorted(map(repr, two)) and len(one) == 9
     assert any(r["error"] for r in one)
+
+
+def test_chapters_by_number_over_gaps_and_a_long_written_part(spark):
+    """Contexts are folded over written chapters, books that start late or fail, and numbers below 1."""
+    import random
+
+    rng = random.Random(5)
+    books = spark.createDataFrame([(b, f"B{b}", f"o{b}") for b in range(1, 8)], "book_id long, title string, outline string").withColumnRenamed("book_id", "id")
+    rows = []
+    for b in range(1, 7):
+        for n in (-1, 0, 1, 2, 5, 6):
+            due = (b * 7 + n) % 3 != 0
+            title = "forbidden" if (b, n) == (4, 2) else rng.choice([None, f"t{b} {n}"])
+            rows.append((b, n, title, None if due else rng.choice([None, "", f"kept {b} {n}"]), rng.choice([None, "", "note"]), due))
+    rows += [(7, n, f"t{n}", f"s{n}", None, n == 60) for n in range(1, 61)]
+    df = spark.createDataFrame(rows, "book_id long, chapter_number long, title string, summary string, notes string, due boolean")
+    plan = df.select("book_id", "chapter_number", F.when(F.col("due"), "generate").otherwise("keep_existing").alias("work"))
+    Failing = type("Failing", (Picky,), {"word": "Chapter 2: forbidden\n"})
+    one = generate.generate_chapters(plan, books, df.drop("due"), Failing).collect()
+    out = generate.generate_by_number(plan, books, df.drop("due"), Failing)
+    assert sorted(map(repr, one)) == sorted(map(repr, out.collect())) and sum(r["error"] is not None for r in one) == 1
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan") <= 1
+    assert generate.generate_by_number(plan.where("false"), books, df.drop("due"), Failing).count() == 0
+
+
+def test_stage_by_book_and_by_number_agree(spark):
+    books, chapters = tables(spark)
+    one, news_one = stages.chapter_batch(books, chapters, Picky, as_of(), by_number=True)
+    two, news_two = stages.chapter_batch(books, chapters, Picky, as_of(), by_number=False)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    assert sorted(map(repr, news_one.collect())) == sorted(map(repr, news_two.collect()))
