@@ -145,6 +145,8 @@ def planned(
         # Spreads rows that are alike over ranges; they may stand in for each other.
         F.monotonically_increasing_id().alias("nth"),
     )
+    # Written first, so that texts are counted once and not again for the bounds of ranges.
+    sized = settle(sized, "sized")
     ranged = _ranged(sized, "sizes", F.asc_nulls_last("source"), F.col("size"), F.asc_nulls_first("doc_id"), F.col("nth"))
     sizes = ranged.groupBy("source").agg(F.sum("size").alias("source_size"))
     told = settle(targets(sizes, weights, share, cap), "targets")
