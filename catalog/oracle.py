@@ -586,6 +586,8 @@ put(
   FROM (SELECT *, NOT {has('content')} AND coalesce(notes <> 'tighten', true) AS g,
     NOT {has('content')} AND coalesce(notes = 'tighten', false) AS e FROM chapters) x""",
 )
+# The same patches, on a stored table.
+ORACLE["patch_stored"] = ORACLE["apply_generation"]
 put(
     "apply_outlines",
     ("books",),

@@ -13,6 +13,7 @@ from quireflow.plans import render
 from quireflow.schemas import conform
 from quireflow.session import settle, shared_dir
 from quireflow.sources import tables, views as v
+from quireflow.sources.stored import ChapterStore
 from quireflow.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -444,6 +445,15 @@ def apply_generation(spark, sf):
     return mutations.patch_rows(chapters, mutations.chapter_results(_chapter_results(chapters)))
 
 
+@query
+def patch_stored(spark, sf):
+    """The patches of generation on chapters stored in buckets, which are then read back."""
+    chapters = v.chapters(spark, sf)
+    store = ChapterStore.create(chapters, shared_dir(spark, "stored"), 8)
+    store.patch(mutations.chapter_results(_chapter_results(chapters)))
+    return store.chapters().select(chapters.columns)
+
+
 @query
 def apply_outlines(spark, sf):
     books = v.books(spark, sf)

@@ -9,7 +9,7 @@ task, and a failing row yields an error instead of failing the job.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -179,6 +179,7 @@ def generate_by_number(
     templates: Mapping[str, str] = TEMPLATES,
     tasks: int | None = None,
     summary_input: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """The same chapters as ``generate_chapters``, one chapter number over all books at a time.
 
@@ -188,21 +189,22 @@ def generate_by_number(
     the number before and this one, which is the chapter just made and those that were there already, asks for
     the chapters and then for their summaries, and writes all three. So a step reads the last contexts and the rows
     of its own numbers, whichever step it is; a book leaves when it fails or has no more due chapters. The
-    steps are as many as there are due numbers.
+    steps are as many as there are due numbers. ``carry`` names columns of ``chapters`` that results have as well,
+    such as an id, so that texts need no join to get it.
     """
     keys, spark = ["book_id", "chapter_number"], chapters.sparkSession
     number = F.col("chapter_number")
     work = settle(plan.where(F.col("work") == "generate").select(*keys), "work")
     owners = books.select(F.col("id").alias("book_id"), F.col("title").alias("book_title"), "outline")
     until = work.groupBy("book_id").agg(F.max("chapter_number").alias("_until"))
-    told = chapters.select(*keys, title_or_default(F.col("title")).alias("title"), "summary", "notes")
+    told = chapters.select(*keys, title_or_default(F.col("title")).alias("title"), "summary", "notes", *carry)
     told = told.join(until.select("book_id"), "book_id", "left_semi")
     # In order of number, so that a step's rows lie in few files.
     told = settle(told.repartitionByRange("chapter_number").sortWithinPartitions("chapter_number"), "told")
     contexts = settle(until.withColumns({"_before": F.lit(""), "_any": F.lit(False)}), "contexts")
     base, made, before = shared_dir(spark, "by-number"), None, None
     kinds = {f.name: f.dataType for f in chapters.schema.fields}
-    schema = T.StructType([T.StructField(k, kinds[k]) for k in keys] + [T.StructField(c, T.StringType()) for c in ("content", "summary", "error")])
+    schema = T.StructType([T.StructField(k, kinds[k]) for k in [*keys, *carry]] + [T.StructField(c, T.StringType()) for c in ("content", "summary", "error")])
 
     # One row for each number that is due in some book.
     due_numbers = [r["chapter_number"] for r in work.select("chapter_number").distinct().orderBy("chapter_number").collect()]
@@ -231,13 +233,13 @@ def generate_by_number(
         notes = F.when(has(F.col("notes")), fill(templates["notes_section"], {"notes": F.col("notes")}))
         shared = {"title": F.col("book_title"), "number": number, "chapter_title": F.col("title")}
         slots = {**shared, "outline": F.col("outline"), "context": context, "notes_section": notes}
-        asked = rows.select(*keys, "book_title", "title", fill(templates["chapter"], slots).alias("prompt"))
+        asked = rows.select(*keys, *carry, "book_title", "title", fill(templates["chapter"], slots).alias("prompt"))
         texts = settle(generate_text(asked, backend, CHAPTER_TOKENS, tasks=tasks), "by-number-texts")
         given = F.col("content") if summary_input is None else F.substring("content", 1, summary_input)
         wanted = texts.withColumnRenamed("text", "content").withColumn("prompt", fill(templates["summary"], {**shared, "content": given}))
         ok = F.col("error").isNull()
         ended = generate_text(wanted, backend, SUMMARY_TOKENS, tasks=tasks)
-        ended = ended.select(*keys, F.when(ok, F.col("content")).alias("content"), F.when(ok, F.col("text")).alias("summary"), "error")
+        ended = ended.select(*keys, *carry, F.when(ok, F.col("content")).alias("content"), F.when(ok, F.col("text")).alias("summary"), "error")
         ended.write.parquet(f"{base}/step={step}")
         made, before = spark.read.schema(schema).parquet(f"{base}/step={step}"), at
     if made is None:

@@ -16,7 +16,8 @@ from quireflow.operators import gates, generate, ingest, mutations, notify, prom
 from quireflow.operators.context import initial_chapters
 from quireflow.plans import render
 from quireflow.session import settle
-from quireflow.sources.tables import append_with_defaults
+from quireflow.sources.stored import ChapterStore
+from quireflow.sources.tables import TEXTS, append_with_defaults
 
 
 def ingest_titles(submissions: DataFrame, books: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -94,6 +95,33 @@ def write_chapters(
     return chapter_batch(books, chapters, backend, as_of, auto_approve)[0]
 
 
+def write_stored_chapters(
+    books: DataFrame, store: ChapterStore, backend: generate.Backend, as_of: Column, auto_approve: bool = False
+) -> DataFrame:
+    """``chapter_batch`` on stored chapters, changed in place; returns the events.
+
+    New texts go from the tasks that make them to the store. The gates read the state, contexts the
+    summaries, and no step reads or moves the content of a chapter that was there.
+    """
+    state = store.state()
+    started = start_chapters(books, state, as_of)
+    new = settle(started.join(state.select("id"), "id", "left_anti").select(*state.drop("bucket").columns), "new-chapters")
+    if not new.isEmpty():
+        store.add(new.drop("has_content", "content_at", "summary_at").withColumns({c: F.lit(None).cast("string") for c in TEXTS}))
+    told = store.chapters(("summary",))
+    plan = settle(gates.batch_plan(books, told, auto_approve), "batch-plan")
+    made = generate.generate_by_number(plan, books, told, backend, carry=("id",))
+    done = None
+    if auto_approve:
+        failed = made.where(F.col("error").isNotNull()).groupBy("book_id").agg(F.min("chapter_number").alias("_at"))
+        due = plan.join(failed, "book_id", "left").where(F.col("_at").isNull() | (F.col("chapter_number") < F.col("_at")))
+        done = settle(due.join(told.select("id", "book_id", "chapter_number"), ["book_id", "chapter_number"]).select("id"), "approved")
+    store.patch(mutations.chapter_results(made.select("id", "content", "summary", "error")), as_of)
+    if done is not None:
+        store.patch(mutations.chapter_approvals(done), as_of)
+    return notify.chapter_batch_events(made.drop("id"))
+
+
 def revise_chapters(
     books: DataFrame, chapters: DataFrame, backend: generate.Backend, as_of: Column
 ) -> DataFrame:
