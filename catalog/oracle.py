@@ -911,6 +911,8 @@ put(
   sha256(string_agg(text, chr(10) ORDER BY section, chapter_number) || chr(10)) AS text_sha256 FROM texts GROUP BY book_id""",
 )
 
+ORACLE["write_packed_books"] = ORACLE["write_text_books"]
+
 
 def rendered(front: list, before: list, head: str, toc: str, block_rows: str, page: str) -> str:
     """Render rows from per-book rows, a chapter head, and a block-row select."""

@@ -142,6 +142,18 @@ def write_text_books(spark, sf):
     )
 
 
+@query
+def write_packed_books(spark, sf):
+    _, texts = _compiled(spark, sf)
+    path = shared_dir(spark, "packed-books")
+    patches = tables.write_packed_books(spark, texts, path, size=1 << 20)
+    pieces = tables.read_packed_books(spark, path).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("ps"))
+    text = F.array_join(F.transform("ps", lambda p: p["text"]), "")
+    return pieces.join(patches, pieces.book_id == patches.id).select(
+        "id", F.col("output_txt_path").isNotNull().alias("has_path"), F.sha2(text, 256).alias("text_sha256")
+    )
+
+
 # -- lookups and queues --------------------------------------------------------
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from quireflow.functions.text import has
 from quireflow.schemas import DEFAULTS, conform, table_schema
+from quireflow.session import settle
 
 SUBMISSION_REQUIRED = ("title",)
 SUBMISSION_OPTIONAL = ("notes_on_outline_before",)
@@ -17,14 +20,18 @@ class MissingColumn(ValueError):
     """A submission table lacks a required column."""
 
 
-def _has_broken_cells(spark: SparkSession, path: str) -> bool:
-    """Whether some line of the sheets has an odd number of quotes, as where a quoted cell goes over lines.
+def _by_kind(spark: SparkSession, path: str) -> list[tuple[bool, list[str]]]:
+    """The files of sheets in two lists: without cells that go over lines, and (True) with some.
 
-    A quote inside a quoted cell is written as two, so they count even.
+    In a file with such a cell some line has an odd number of quotes; a quote inside
+    a quoted cell is written as two, so others count even.
     """
     lines = spark.read.text(path)
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return bool(lines.where(quotes % 2 == 1).take(1))
+    told = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_or(quotes % 2 == 1).alias("broken"))
+    files = sorted((unquote(r["file"]), r["broken"]) for r in told.collect())
+    kinds = [(kind, [f for f, broken in files if broken == kind]) for kind in (False, True)]
+    return [(kind, own) for kind, own in kinds if own]
 
 
 def _source_headers(columns: Sequence[str]) -> list[str]:
@@ -88,24 +95,26 @@ def read_submissions(
     """Read a header-first table of submissions from CSV, JSON or Parquet.
 
     A sheet needs a title column only. Where it has no column of row numbers,
-    they follow from each row's place in its file. CSV sheets are split, unless
-    some cell goes over lines, which a pass over the lines finds out; then a file
-    is read per task. ``multi_line`` states it beforehand.
+    they follow from each row's place in its file. CSV sheets are split, but those with
+    cells that go over lines are read a file per task; a pass over the lines finds out
+    which. ``multi_line`` states it of all files beforehand.
     Files whose headers disagree with the first one are refused. An empty CSV
     cell is NULL.
     """
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        if multi_line is None:
-            multi_line = _has_broken_cells(spark, path)
-        reader = reader.options(header=True, multiLine=multi_line, escape='"')
-        headers = _source_headers(reader.load(path).columns)
-        # The reader renames repeated headers, so it cannot compare them.
-        reader = reader.option("enforceSchema", len(set(headers)) < len(headers))
-    raw = reader.load(path)
-    if row_number not in _source_headers(raw.columns):
-        raw = _numbered(raw, row_number)
-    return normalize_submissions(raw, row_number)
+    if fmt != "csv":
+        raw = spark.read.format(fmt).load(path)
+        return normalize_submissions(raw if row_number in _source_headers(raw.columns) else _numbered(raw, row_number), row_number)
+    parts = [(multi_line, path)] if multi_line is not None else _by_kind(spark, path)
+    reader = spark.read.options(header=True, escape='"')
+    # Of one file at least, for the header, also where there is none with rows.
+    schema = reader.option("multiLine", any(kind for kind, _ in parts)).csv(path).schema
+    headers = _source_headers(schema.names)
+    # The reader renames repeated headers, so it cannot compare them.
+    checked = {"enforceSchema": len(set(headers)) < len(headers)}
+    read = [spark.read.options(header=True, escape='"', multiLine=kind, **checked).schema(schema).csv(own) for kind, own in parts or [(False, path)]]
+    if row_number not in headers:
+        read = [_numbered(raw, row_number) for raw in read]
+    return normalize_submissions(reduce(DataFrame.unionByName, read), row_number)
 
 
 def scan(
@@ -233,3 +242,42 @@ def write_text_books(
     done = written.select(F.col("book_id").alias("id")).distinct()
     where = F.lit(f"{path}/files/book_id=") if files else F.lit(f"{table}#book_id=")
     return done.select("id", F.concat(where, F.col("id").cast("string")).alias("output_txt_path"))
+
+
+# Bytes of text in a packed file, as aimed at.
+PACKED = 64 << 20
+
+
+def write_packed_books(spark: SparkSession, texts: DataFrame, path: str, size: int = PACKED) -> DataFrame:
+    """Write compiled texts into few files, and where each book lies in them; returns (id, output_txt_path).
+
+    The rows of ``compile_text`` are dealt by ranges of (book, section, chapter), as many as their bytes ask
+    for; each range is one plain file, in order. ``<path>/manifest`` has the file, offset and length of
+    each piece of a book, in bytes; a book is one piece, but for those that lie across ranges.
+    ``read_packed_books`` reads through it.
+    """
+    order = ["book_id", "section", "chapter_number"]
+    n = (F.octet_length("text") + 1).cast("bigint").alias("n")
+    total = texts.agg(F.sum(n)).first()[0] or 0
+    dealt = texts.select(*order, "text").repartitionByRange(max(1, -(-total // size)), *order)
+    table = settle(dealt.withColumn("part", F.spark_partition_id()), "packed")
+    rows = table.repartition("part").sortWithinPartitions("part", *order)
+    rows.select("part", "text").write.mode("overwrite").partitionBy("part").text(f"{path}/files")
+    files = spark.read.format("binaryFile").load(f"{path}/files").select(F.col("part").cast("int").alias("part"), F.col("path").alias("file"))
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = table.select("part", *order, n).withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    pieces = placed.groupBy("book_id", "part").agg(F.min("at").alias("offset"), F.sum("n").alias("length"))
+    manifest = pieces.join(files, "part").select("book_id", F.col("part").alias("piece"), "file", "offset", "length")
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    done = spark.read.parquet(f"{path}/manifest").select(F.col("book_id").alias("id")).distinct()
+    return done.select("id", F.concat(F.lit(f"{path}/manifest#book_id="), F.col("id").cast("string")).alias("output_txt_path"))
+
+
+def read_packed_books(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(book_id, piece, text) of packed books, all or those of ``wanted`` (book_id); pieces in order make a book."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    if wanted is not None:
+        manifest = manifest.join(wanted.select("book_id").distinct(), "book_id", "left_semi")
+    files = spark.read.format("binaryFile").load(f"{path}/files").select(F.col("path").alias("file"), "content")
+    cut = F.expr("substring(content, CAST(offset + 1 AS INT), CAST(length AS INT))")
+    return manifest.join(files, "file").select("book_id", "piece", cut.cast("string").alias("text"))

@@ -109,3 +109,24 @@ def test_cells_with_line_breaks_are_found(spark, tmp_path):
     (tmp_path / "a.csv").write_text('title,notes_on_outline_before\nfirst,"one\ntwo, ""so"""\nsecond,n\n')
     rows = tables.read_submissions(spark, str(tmp_path)).orderBy("row_number").collect()
     assert [tuple(r) for r in rows] == [(2, "first", 'one\ntwo, "so"'), (3, "second", "n")]
+
+
+def test_only_sheets_with_cells_over_lines_are_read_whole(spark, tmp_path):
+    """Of two sheets one has a cell that goes over lines; names with blanks, a header alone, and rows in order."""
+    folder = tmp_path / "two sheets"
+    folder.mkdir()
+    (folder / "a b.csv").write_text("title,notes_on_outline_before\n" + "".join(f'"T ""{i}""",n{i}\n' for i in range(50)))
+    (folder / "c.csv").write_text('title,notes_on_outline_before\n"Over\nlines","x\n\ny"\nPlain,"1,2"\n')
+    (folder / "d.csv").write_text("title,notes_on_outline_before\n")
+    kinds = tables._by_kind(spark, str(folder))
+    assert [(kind, [f.rsplit("/", 1)[1] for f in files]) for kind, files in kinds] == [(False, ["a b.csv", "d.csv"]), (True, ["c.csv"])]
+    rows = sorted(tuple(r) for r in tables.read_submissions(spark, str(folder)).collect())
+    want = [(i + 2, f'T "{i}"', f"n{i}") for i in range(50)] + [(2, "Over\nlines", "x\n\ny"), (3, "Plain", "1,2")]
+    assert rows == sorted(want)
+
+
+def test_headers_that_disagree_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("title,notes_on_outline_before\nA,n\n")
+    (tmp_path / "b.csv").write_text('notes_on_outline_before,title\n"n\nn",B\n')
+    with pytest.raises(Exception, match="header|schema"):
+        tables.read_submissions(spark, str(tmp_path)).collect()

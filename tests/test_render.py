@@ -183,3 +183,28 @@ def test_compile_stage(spark):
     assert rows[2]["book_output_status"] is None and rows[2]["output_txt_path"] is None
     assert {r["book_id"] for r in out.texts.collect()} == {1}
     assert {r["book_id"] for r in out.word_rows.collect()} == {1}
+
+
+def test_packed_books_read_through_their_manifest(spark, tmp_path):
+    """Few files for many books; books across files; wide characters, empty texts and line breaks inside."""
+    rows = [(b, s, n, f"bük {b} {s} {n}\n" + "x" * (b % 5)) for b in range(40) for s, n in ((0, None), (1, 1), (3, 1), (3, 2))]
+    rows += [(99, 3, n, "" if n % 3 else "lang " * 20) for n in range(60)]
+    texts = spark.createDataFrame(rows, "book_id long, section int, chapter_number long, text string").repartition(5)
+    path = str(tmp_path / "packed")
+    patches = tables.write_packed_books(spark, texts, path, size=1500)
+    assert {r["id"] for r in patches.collect()} == {*range(40), 99}
+    files = [f for f in (tmp_path / "packed" / "files").rglob("part-*.txt")]
+    assert 2 <= len(files) <= 10 and all(f.stat().st_size for f in files)
+    pieces = sorted((r["book_id"], r["piece"], r["text"]) for r in tables.read_packed_books(spark, path).collect())
+    got = {b: "".join(t for x, _, t in pieces if x == b) for b in {p[0] for p in pieces}}
+    key = lambda r: (r[0], r[1], r[2] is not None, r[2] or 0)
+    want: dict = {}
+    for b, _, _, t in sorted(rows, key=key):
+        want[b] = want.get(b, "") + t + "\n"
+    assert got == want and len(pieces) > len(got)
+    one = tables.read_packed_books(spark, path, spark.createDataFrame([(7,)], "book_id long")).collect()
+    assert "".join(r["text"] for r in sorted(one, key=lambda r: r["piece"])) == want[7]
+    manifest = spark.read.parquet(f"{path}/manifest").collect()
+    for r in manifest[:20]:
+        data = open(r["file"].removeprefix("file:"), "rb").read()
+        assert want[r["book_id"]].encode().find(data[r["offset"] : r["offset"] + r["length"]]) >= 0
