@@ -46,7 +46,10 @@ def dedupe_submissions(valid: DataFrame, library: DataFrame) -> DataFrame:
     rows = valid.groupBy(*columns).agg(F.count("*").alias("_n"))
     order = F.struct("row_number", *[c for c in columns if c != "row_number"])
     keyed = rows.withColumn("_key", title_key(F.col("title"))).withColumn("_row", order)
-    held = library.select(title_key(F.col("title")).alias("_key")).distinct()
+    # Only titles that the sheet names are looked for, so the sheet's keys are the side that is broadcast or, where
+    # they are too many, that filters the library's scan before its shuffle.
+    asked = valid.select(title_key(F.col("title")).alias("_key"))
+    held = library.select(title_key(F.col("title")).alias("_key")).join(asked, "_key", "left_semi").distinct()
     first = (
         keyed.groupBy("_key")
         .agg(F.min("_row").alias("_first"))

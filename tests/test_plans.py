@@ -139,3 +139,26 @@ def test_status_patches_move_no_text(spark, tmp_path, no_broadcast):
     columns = ["id", "content", "summary", "status", "notes_status", "updated_at"]
     got = with_texts(after, path).select(columns).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want.select(columns).collect()))
+
+
+def test_a_small_sheet_does_not_shuffle_the_library(spark, tmp_path, no_broadcast):
+    """With broadcasts off, the sheet's titles filter the library's scan before it is shuffled."""
+    from quireflow.operators import ingest
+
+    spark.range(20_000).selectExpr("concat('Title ', id) AS title").write.parquet(str(tmp_path / "library"))
+    rows = [(2, "title 7 ", "n"), (3, "New", "n"), (4, "new", "n")]
+    spark.createDataFrame(rows, "row_number int, title string, notes_on_outline_before string").write.parquet(str(tmp_path / "sheet"))
+    conf = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        valid = spark.read.parquet(str(tmp_path / "sheet")).where("notes_on_outline_before = 'n'")
+        out = ingest.dedupe_submissions(valid, spark.read.parquet(str(tmp_path / "library")))
+        plan = plan_of(out)
+        got = {r["row_number"]: r["label"] for r in out.collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {2: "skipped", 3: "created", 4: "skipped"}
+    assert "might_contain" in plan or "bloom" in plan.lower(), plan
