@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The six characters that part words (0x20 and 0x09 to 0x0D).
 BLANKS = " \t\n\x0b\x0c\r"
@@ -46,6 +48,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def mapped(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name, dots included; ``run`` goes by the places of columns."""
+    names = [f"c{i}" for i in range(len(schema))]
+
+    def named(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names)
+
+    plain = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(named, plain).toDF(*schema.names)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

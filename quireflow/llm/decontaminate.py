@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from quireflow.llm.arrays import flat, pieces, run_hash, word_bounds
-from quireflow.llm.common import col, documents, fresh, scratch, settle, words
+from quireflow.llm.common import col, documents, fresh, mapped, scratch, settle, words
 
 K1, B = 1.2, 0.75
 PART = 32
@@ -281,7 +281,7 @@ def add_items(docs: DataFrame, items: DataFrame, text: str = "text", found: str
                 yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], lists], batch.schema.names)
 
         out = docs.select(*whole, lowered).withColumn(found, F.array().cast(kind))
-        return out.mapInArrow(run, T.StructType(list(out.schema.fields))).drop(lower)
+        return mapped(out, run, T.StructType(list(out.schema.fields))).drop(lower)
 
     # Several shards: a job for each, which keeps only what it found, so that one index is held at a time.
     named = settle(docs.select(*whole, F.monotonically_increasing_id().alias(row)), "texts")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quireflow.llm.arrays import flat, pieces
-from quireflow.llm.common import col, documents, fresh
+from quireflow.llm.common import col, documents, fresh, mapped
 
 SAMPLE = 3000
 SAMPLE_BYTES = 1 << 16
@@ -176,7 +176,7 @@ def add_scores(docs: DataFrame, network: Network, text: str = "text", score: str
             found = network.score(*flat(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, score])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from quireflow.llm.common import BLANK, col, documents, fresh, has_word, settle, unit_key
+from quireflow.llm.common import BLANK, col, documents, fresh, has_word, mapped, settle, unit_key
 
 MIN_WORDS = 8
 # The separators of the two kinds of unit; a paragraph ends at an empty line.
@@ -108,7 +108,7 @@ def drop_repeats(
             kind = pa.list_(pa.struct([(c, pa.int32()) for c in SPAN.names]))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], [*batch.schema.names[:last], spans])
 
-    return told.mapInArrow(run, schema)
+    return mapped(told, run, schema)
 
 
 def _without(text: str, positions: list[int], sep: str) -> tuple[str, list[tuple[int, int, int]]]:

@@ -239,7 +239,7 @@ def whiten(
     hot = F.broadcast(done.where(often).drop("n"))
     cold = done.where(~often).drop("n")
     out = grid.join(hot, x).unionByName(grid.join(hot, x, "left_anti").join(cold, x))
-    return out.select(*rows.columns, whitened, deviation), fitted
+    return out.select(*[col(out, c) for c in rows.columns], whitened, deviation), fitted
 
 
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
