@@ -11,20 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quireflow.llm import bpe, decontaminate, lines, near, quality
-from quireflow.llm.common import documents, fresh, settle
+from quireflow.llm.common import col, documents, fresh, settle
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the byte network rejects; it learns outside the held-out fold."""
     network = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    (score,) = fresh(docs, "score")
-    return quality.add_scores(docs, network, score=score).where(F.col(score) >= quality.ACCEPT).drop(score)
+    scored = quality.add_scores(docs, network)
+    score = scored.columns[-1]
+    return scored.where(F.col(score) >= quality.ACCEPT).drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop boilerplate lines; the count of characters follows the text."""
     out = lines.drop_boilerplate(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select([col(docs, c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     keep = [c for c in docs.columns if c != "text"]
-    return bpe.encode_documents(docs, tokens, public_tokenizers.PATTERN, keep=keep, ids=True)
+    plain = docs.select(*[col(docs, c).alias(f"c{i}") for i, c in enumerate(keep)], "text")
+    out = bpe.encode_documents(plain, tokens, public_tokenizers.PATTERN, keep=plain.columns[:-1], ids=True)
+    # What is made gets a longer name where a column has its own already.
+    return out.toDF(*keep, *fresh(docs.select(*[col(docs, c) for c in keep]), *out.columns[len(keep) :]))
 
 
 STAGES = [
