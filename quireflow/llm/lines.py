@@ -25,11 +25,12 @@ NEAR = 0.2
 
 
 def _units(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
+    # The text is hashed and cut before its lines are rows, which then carry neither.
     row = docs.select(
         F.struct(col(docs, doc_id).alias("i"), F.xxhash64(col(docs, text)).alias("h")).alias("row"),
         F.coalesce(F.concat(F.lit("="), col(docs, site).cast("string")), F.lit("")).alias("site"),
-        F.posexplode(lines(col(docs, text))).alias("pos", "line"),
-    )
+        lines(col(docs, text)).alias("lines"),
+    ).select("row", "site", F.posexplode("lines").alias("pos", "line"))
     return row.where(has_word(F.col("line"))).select("row", "site", "pos", unit_key(F.col("line")).alias("key"))
 
 

@@ -36,16 +36,18 @@ def repeated_units(
     """Rows (row, pos) of the units to remove; ``row`` is (id, hash of the text)."""
     parts, nth = _parts(col(docs, text), unit), ["nth"] if over_blanks else []
     if over_blanks:
-        numbered = F.transform(parts, lambda u, i: F.struct(i.alias("pos"), u.alias("unit")))
+        numbered = F.transform(F.col("parts"), lambda u, i: F.struct(i.alias("pos"), u.alias("unit")))
         exploded = F.posexplode(F.filter(numbered, lambda x: has_word(x["unit"]))).alias("nth", "x")
     else:
-        exploded = F.posexplode(parts).alias("pos", "unit")
+        exploded = F.posexplode("parts").alias("pos", "unit")
+    # The text is hashed and cut before its units are rows, which then carry neither.
+    whole = docs.select(
+        F.struct(col(docs, doc_id).alias("i"), F.xxhash64(col(docs, text)).alias("h")).alias("row"),
+        (col(docs, rank) if rank else F.lit(0)).alias("rank"),
+        parts.alias("parts"),
+    )
     units = (
-        docs.select(
-            F.struct(col(docs, doc_id).alias("i"), F.xxhash64(col(docs, text)).alias("h")).alias("row"),
-            (col(docs, rank) if rank else F.lit(0)).alias("rank"),
-            exploded,
-        )
+        whole.select("row", "rank", exploded)
         .select("row", "rank", *(["nth", "x.pos", "x.unit"] if over_blanks else ["pos", "unit"]))
         .where(has_word(F.col("unit")))
         .select(
