@@ -6,7 +6,7 @@ map-only job; explode only where rows per block are the wanted result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quireflow.functions.text import SPACE, has, let, strip
 
@@ -54,6 +54,21 @@ def clean_markdown(c: Column) -> Column:
     return let(c, lambda t: from_group(0, t))
 
 
+def with_clean_markdown(df: DataFrame, source: str, name: str) -> DataFrame:
+    """``df`` with ``clean_markdown`` of its column ``source`` as column ``name``.
+
+    A projection per group of marks: each step is computed once and in
+    generated code, where a nested expression would be interpreted.
+    """
+    df = df.withColumn(name, F.col(source))
+    for marks, *replacements in CLEANUPS:
+        done = F.col(name)
+        for pattern, replacement in replacements:
+            done = F.regexp_replace(done, pattern, replacement)
+        df = df.withColumn(name, F.when(_holds(F.col(name), marks), done).otherwise(F.col(name)))
+    return df.withColumn(name, F.coalesce(strip(F.col(name)), F.lit("")))
+
+
 def paragraphs(content: Column) -> Column:
     """Non-empty stripped pieces between blank lines, in order."""
     return F.filter(F.transform(F.split(content, "\n\n"), strip), lambda p: p != "")

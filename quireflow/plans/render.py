@@ -1,18 +1,26 @@
 """Rendering whole books: plain text and ordered rows for page writers.
 
-A chapter is rendered inside its own row: blocks are parsed into an array and
-turned into lines or render rows without a shuffle. What is ordered across
+A chapter is rendered without a shuffle: its blocks are parsed into an array
+and turned into lines inside its own row, or become narrow rows first where
+rows are the result. What is ordered across
 chapters is given by sort keys (section, chapter_number, seq, item) and not by
 numbering a book's rows, so no step needs a book in one place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quireflow.functions.markdown import blocks, bold_runs, clean_markdown
+from quireflow.functions.markdown import (
+    block_items,
+    block_text,
+    block_type,
+    blocks,
+    bold_runs,
+    clean_markdown,
+    paragraphs,
+    with_clean_markdown,
+)
 from quireflow.functions.text import (
     center_line,
     escape_markup,
@@ -28,6 +36,7 @@ WIDTH = 72
 INDENT = "    "
 TITLE, CONTENTS, GAP, CHAPTER = 0, 1, 2, 3
 FORMATS = ("docx", "pdf", "txt")
+LISTS = ("bullet_list", "numbered_list")
 
 
 def date_line(as_of: Column) -> Column:
@@ -221,11 +230,11 @@ def path_patches(results: DataFrame) -> DataFrame:
 # -- rows for page writers ----------------------------------------------------
 
 RUN = "struct<text:string,bold:boolean>"
-ROWS = f"array<struct<kind:string,style:string,runs:array<{RUN}>>>"
 
 
-def _run(text: Column, bold: bool = False) -> Column:
-    return F.array(F.struct(text.alias("text"), F.lit(bold).alias("bold")).cast(RUN))
+def _run(text: Column, bold: Column | bool = False) -> Column:
+    bold = bold if isinstance(bold, Column) else F.lit(bold)
+    return F.array(F.struct(text.alias("text"), bold.alias("bold")).cast(RUN))
 
 
 def _row(kind: str, style: str, runs: Column | None = None) -> Column:
@@ -237,105 +246,156 @@ def _row(kind: str, style: str, runs: Column | None = None) -> Column:
     )
 
 
-def _assemble(
-    books: DataFrame,
-    chapters: DataFrame,
-    front: list[Column],
-    before: list[Column],
-    entry: Column,
-    opening: Column,
-    block_rows: Callable[[Column], Column],
-    page: Column,
-) -> DataFrame:
-    """Lay out documents: front page, contents, chapters, a page break after each.
-
-    Rows are ordered by (section, chapter_number, seq, item); the fixed rows
-    around the contents have no chapter number and sections of their own. The
-    rows of a book come from one pass over books, those of a chapter, contents
-    entry included, from one pass over chapters.
-    """
+def _fixed_rows(books: DataFrame, front: list[Column], before: list[Column], page: Column) -> DataFrame:
+    """The rows of a book that stand around its contents: they have no chapter number."""
     groups = ((0, front), (1, before), (3, [page]))
-    fixed = books.select(
-        F.col("id").alias("book_id"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(section).alias("section"), F.lit(item).alias("item"), row.alias("r"))
-                    for section, rows in groups
-                    for item, row in enumerate(rows)
-                ]
-            )
-        ).alias("x"),
-    ).select(
+    laid = [
+        F.struct(F.lit(section).alias("section"), F.lit(item).alias("item"), row.alias("r"))
+        for section, rows in groups
+        for item, row in enumerate(rows)
+    ]
+    return books.select(F.col("id").alias("book_id"), F.explode(F.array(*laid)).alias("x")).select(
         "book_id",
         "x.section",
         F.lit(None).cast("int").alias("chapter_number"),
         F.lit(0).alias("seq"),
         "x.item",
-        "x.r",
-    )
-    laid = F.concat(
-        F.array(F.array(entry), F.array(opening)),
-        F.transform(render_blocks(F.col("content")), block_rows),
-        F.array(F.array(page)),
+        "x.r.kind",
+        "x.r.style",
+        "x.r.runs",
     )
-    flowing = (
+
+
+def _block_pieces(chapters: DataFrame) -> DataFrame:
+    """A narrow row for each thing that a chapter lays out, texts cleaned.
+
+    A chapter's contents entry comes first, its opening second, then a row for
+    each block or list item, and at last its page break; the three that are not
+    blocks have no ``type``. Blocks become rows before any work is done on
+    them, so that their types, texts and marks are plain columns, computed once
+    each in generated code. ``seq`` and ``item`` number the rows of a chapter;
+    nothing is shuffled for that.
+    """
+    none = F.lit(None).cast("string")
+    raw, kind = F.col("_raw"), F.col("type")
+    pieces = (
         chapters.where(written(chapters))
-        .select("book_id", "chapter_number", F.posexplode(laid).alias("_at", "_rows"))
         .select(
             "book_id",
-            F.when(F.col("_at") == 0, 2).otherwise(4).alias("section"),
             "chapter_number",
-            F.greatest(F.col("_at") - 1, F.lit(0)).alias("seq"),
-            F.posexplode("_rows").alias("item", "r"),
+            chapter_name(F.col("chapter_number"), F.col("title")).alias("name"),
+            F.posexplode(F.concat(F.array(none, none), paragraphs(F.coalesce("content", F.lit(""))), F.array(none))).alias("_at", "_raw"),
+        )
+        .withColumn("type", F.when(raw.isNotNull(), block_type(raw)))
+        .withColumn("_text", block_text(raw, kind))
+        .select(
+            "book_id",
+            "chapter_number",
+            "name",
+            "_at",
+            "type",
+            F.posexplode(
+                F.when(kind.isin(*LISTS), block_items(raw, kind)).otherwise(F.array(F.col("_text")))
+            ).alias("item", "raw"),
         )
     )
-    return fixed.unionByName(flowing).select(
-        "book_id", "section", "chapter_number", "seq", "item", "r.kind", "r.style", "r.runs"
+    return with_clean_markdown(pieces, "raw", "text")
+
+
+def _assemble(
+    books: DataFrame,
+    chapters: DataFrame,
+    front: list[Column],
+    before: list[Column],
+    entry: tuple[str, str],
+    opening: tuple[str, str],
+    block: tuple[Column, Column, Column],
+    shown: Column | None,
+    page: tuple[str, str],
+) -> DataFrame:
+    """Lay out documents: front page, contents, chapters, a page break after each.
+
+    Rows are ordered by (section, chapter_number, seq, item); the fixed rows
+    around the contents have sections of their own. The rows of a book come
+    from one pass over books, those of a chapter, contents entry included, from
+    one pass over chapters. ``block`` gives the kind, style and runs of a
+    block's row from its ``type``, ``raw`` and cleaned ``text``; blocks that
+    are not ``shown`` have none (None: all are).
+    """
+    at, other = F.col("_at"), F.col("type").isNull()
+    fixed_kinds = (entry, opening, page)
+
+    def of(i: int) -> Column:
+        first, second, last = (F.lit(names[i]) for names in fixed_kinds)
+        return F.when(other, F.when(at == 0, first).when(at == 1, second).otherwise(last)).otherwise(block[i])
+
+    runs = (
+        F.when(other & (at < 2), _run(F.col("name")))
+        .when(other, F.array().cast(f"array<{RUN}>"))
+        .otherwise(block[2])
     )
+    pieces = _block_pieces(chapters)
+    if shown is not None:
+        # A filter on the cleaned text would be moved below the cleaning, which it then repeats;
+        # one on what an outer explode makes stays where it is.
+        rest = [c for c in pieces.columns if c != "text"]
+        pieces = pieces.select(*rest, F.explode_outer(F.array("text")).alias("text")).where(other | shown)
+    flowing = pieces.select(
+        "book_id",
+        F.when(at == 0, 2).otherwise(4).alias("section"),
+        "chapter_number",
+        F.greatest(at - 1, F.lit(0)).alias("seq"),
+        "item",
+        of(0).alias("kind"),
+        of(1).alias("style"),
+        runs.alias("runs"),
+    )
+    return _fixed_rows(books, front, before, _row(*page)).unionByName(flowing)
+
+
+def _by_type(default: str, **names: str) -> Column:
+    """A name for each block type, ``default`` for those not listed."""
+    kind = F.col("type")
+    out = None
+    for block, name in names.items():
+        out = F.when(kind == block, name) if out is None else out.when(kind == block, name)
+    return out.otherwise(default)
 
 
 def render_rows_word(books: DataFrame, chapters: DataFrame, as_of: Column) -> DataFrame:
     """The paragraphs a Word writer would emit, in order."""
-    number, title = F.col("chapter_number"), F.col("title")
-    name = chapter_name(number, title)
-    blank, page = _row("blank", "Normal"), _row("page_break", "Normal")
+    title = title_or_default(F.col("title"))
+    page = ("page_break", "Normal")
+    blank = _row("blank", "Normal")
     front = [blank] * 6 + [
-        _row("title", "Normal", _run(title_or_default(title), True)),
+        _row("title", "Normal", _run(title, True)),
         blank,
         _row("date", "Normal", _run(date_line(as_of))),
-        page,
+        _row(*page),
     ]
     before = [_row("heading", "Heading 1", _run(F.lit("Table of Contents"))), blank]
 
-    def block_rows(b: Column) -> Column:
-        kind = b["type"]
-
-        def one(k: str, style: str, runs: Column) -> Column:
-            return F.array(_row(k, style, runs))
-
-        def items(style: str) -> Column:
-            return F.transform(b["items"], lambda i: _row("list", style, _run(i)))
-
-        plain = _run(b["text"])
-        cleaned_runs = F.transform(
-            bold_runs(b["raw"]),
-            lambda r: F.struct(clean_markdown(r["text"]).alias("text"), r["bold"].alias("bold")).cast(RUN),
-        )
-        out = F.when(kind == "h4", one("h4", "Normal", _run(b["text"], True)))
-        for level in (1, 2, 3):
-            out = out.when(kind == f"h{level}", one("heading", f"Heading {level}", plain))
-        return (
-            out.when(kind == "bullet_list", items("List Bullet"))
-            .when(kind == "numbered_list", items("List Number"))
-            .when(kind == "quote", one("quote", "Normal", plain))
-            .when(kind == "code", one("code", "Normal", _run(b["raw"])))
-            .otherwise(one("paragraph", "Normal", cleaned_runs))
-        )
-
-    opening = _row("heading", "Heading 1", _run(name))
+    kind, raw, text = F.col("type"), F.col("raw"), F.col("text")
+    bold = F.transform(
+        bold_runs(raw),
+        lambda r: F.struct(clean_markdown(r["text"]).alias("text"), r["bold"].alias("bold")).cast(RUN),
+    )
+    runs = (
+        F.when((kind == "paragraph") & F.contains(raw, F.lit("**")), bold)
+        .when(kind == "code", _run(raw))
+        .otherwise(_run(text, kind == "h4"))
+    )
+    kinds = _by_type(
+        "paragraph", h1="heading", h2="heading", h3="heading", h4="h4",
+        bullet_list="list", numbered_list="list", quote="quote", code="code",
+    )
+    styles = _by_type(
+        "Normal", h1="Heading 1", h2="Heading 2", h3="Heading 3",
+        bullet_list="List Bullet", numbered_list="List Number",
+    )
     return _assemble(
-        books, chapters, front, before, _row("toc", "Normal", _run(name)), opening, block_rows, page
+        books, chapters, front, before, ("toc", "Normal"), ("heading", "Heading 1"),
+        (kinds, styles, runs), None, page,
     )
 
 
@@ -344,40 +404,26 @@ def render_rows_pdf(books: DataFrame, chapters: DataFrame, as_of: Column) -> Dat
 
     Texts of blocks are escaped for its markup; titles and contents are not.
     """
-    number, title = F.col("chapter_number"), F.col("title")
-    name = chapter_name(number, title)
-    space, page = _row("spacer", "Spacer"), _row("page_break", "PageBreak")
+    title = title_or_default(F.col("title"))
+    space, page = _row("spacer", "Spacer"), ("page_break", "PageBreak")
     front = [
         space,
-        _row("title", "BookTitle", _run(title_or_default(title))),
+        _row("title", "BookTitle", _run(title)),
         space,
         _row("date", "Date", _run(date_line(as_of))),
-        page,
+        _row(*page),
     ]
     before = [_row("contents_title", "ChapterTitle", _run(F.lit("Table of Contents"))), space]
 
-    def block_rows(b: Column) -> Column:
-        kind = b["type"]
-        text = _run(escape_markup(b["text"]))
-
-        def item(prefix: Column, i: Column) -> Column:
-            return _row("body", "BookBody", _run(F.concat(prefix, escape_markup(i))))
-
-        bullets = F.transform(b["items"], lambda i: item(F.lit("\u2022 "), i))
-        numbers = F.transform(
-            b["items"], lambda i, at: item(F.concat((at + 1).cast("string"), F.lit(". ")), i)
-        )
-        return (
-            F.when(kind.isin("h1", "h2"), F.array(_row("heading2", "Heading2Custom", text)))
-            .when(kind.isin("h3", "h4"), F.array(_row("heading3", "Heading3Custom", text)))
-            .when(kind == "bullet_list", bullets)
-            .when(kind == "numbered_list", numbers)
-            .when(kind == "quote", F.array(_row("quote", "Quote", text)))
-            .when(b["text"] != "", F.array(_row("body", "BookBody", text)))
-            .otherwise(F.array().cast(ROWS))
-        )
-
-    opening = _row("chapter_title", "ChapterTitle", _run(name))
+    kind, text = F.col("type"), escape_markup(F.col("text"))
+    lead = F.when(kind == "bullet_list", "\u2022 ").otherwise(F.concat((F.col("item") + 1).cast("string"), F.lit(". ")))
+    runs = _run(F.when(kind.isin(*LISTS), F.concat(lead, text)).otherwise(text))
+    kinds = _by_type("body", h1="heading2", h2="heading2", h3="heading3", h4="heading3", quote="quote")
+    styles = _by_type(
+        "BookBody", h1="Heading2Custom", h2="Heading2Custom", h3="Heading3Custom", h4="Heading3Custom", quote="Quote"
+    )
+    shown = ~kind.isin("paragraph", "code") | (F.col("text") != "")
     return _assemble(
-        books, chapters, front, before, _row("toc", "TOC", _run(name)), opening, block_rows, page
+        books, chapters, front, before, ("toc", "TOC"), ("chapter_title", "ChapterTitle"),
+        (kinds, styles, runs), shown, page,
     )

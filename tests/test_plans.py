@@ -76,6 +76,13 @@ def test_rendering_rows_needs_no_shuffle(spark):
         assert "Exchange" not in plan_of(make(books, chapters, as_of))
 
 
+def test_rendering_rows_cleans_each_block_once(spark):
+    for name, nested in (("render_rows_word", 1), ("render_rows_pdf", 0)):
+        plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        # One projection cleans the texts of blocks; Word cleans the runs of bold paragraphs as well.
+        assert plan.count("\\*\\*([^*]+)\\*\\*, $1") == 1 + nested, name
+
+
 def test_gate_shuffles_flags_not_texts(spark, no_broadcast):
     plan = plan_of(queries()["compile_gate"](spark, SF))
     for line in plan.splitlines():

@@ -139,6 +139,19 @@ def test_word_rows(spark):
     ]
 
 
+def test_rows_of_chapters_without_blocks_and_lists_without_items(spark):
+    b = book(spark, (1, "T"))
+    c = chapters(spark, (1, 1, "space", " \n\n "), (1, 2, "empty list", "1.\nfoo\n\nlast"), (1, 3, "none", None))
+    for make in (render.render_rows_word, render.render_rows_pdf):
+        rows = make(b, c, as_of()).where("chapter_number IS NOT NULL")
+        got = {(r["chapter_number"], r["section"], r["seq"], r["item"], r["kind"]) for r in rows.collect()}
+        assert {g[:4] for g in got if g[0] == 1} == {(1, 2, 0, 0), (1, 4, 0, 0), (1, 4, 1, 0)}
+        assert {g[:4] for g in got if g[0] == 2} == {(2, 2, 0, 0), (2, 4, 0, 0), (2, 4, 2, 0), (2, 4, 3, 0)}
+        assert (2, 4, 3, 0, "page_break") in got and len(got) == 7
+    flagged = c.withColumn("has_content", F.lit(True))
+    assert render.render_rows_pdf(b, flagged, as_of()).where("chapter_number = 3").count() == 3
+
+
 def test_page_rows_escape_blocks_only(spark):
     b = book(spark, (1, "A & B"))
     c = chapters(spark, (1, 1, "x < y", "## a & b\n\n1. <i>\n2. z\n\n***\n\n```\n1 < 2\n```"))
