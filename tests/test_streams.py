@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quireflow.operators import rollups
 from quireflow.operators.mutations import latest_by_key
@@ -219,3 +220,38 @@ def test_a_batch_reads_only_the_buckets_it_touches(spark, tmp_path):
     read = state.earlier(spark, 1, spark.range(1).toDF("k"))
     assert 0 < read.count() < 100 and state.earlier(spark, 1).count() == 500
     assert "PartitionFilters: [isnotnull(bucket" in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_a_change_feed_share_entries_of_the_state(spark, tmp_path, monkeypatch):
+    """Calls and entries of the state do not grow with the chapters; a chapter's changes are its own."""
+    monkeypatch.setattr(streams, "GROUPS", 8, raising=False)
+    rng = random.Random(3)
+    rows = [(i, i * 7 % 40, i % 4, None, rng.choice(["generated", "error", "approved", None]), "yes") for i in range(600)]
+    rows.append((600, None, None, None, "generated", "yes"))
+    source = feed(spark, tmp_path / "in", rows, CHG, [0, 200, 201, 400, len(rows)])
+    out = str(tmp_path / "out")
+    query = streams.stream_transitions(source, out, f"{out}/cp")
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+    last, want = {}, []
+    for seq, book, number, _, status, _ in rows:
+        if last.get((book, number)) != status and status in ("generated", "error"):
+            want.append(seq)
+        last[book, number] = status
+    assert sorted(r["seq"] for r in spark.read.parquet(f"{out}/events").collect()) == want
+
+
+def test_larger_tables_are_fed_in_more_files(spark, tmp_path, monkeypatch):
+    from catalog import queries
+
+    spark.range(400).select(F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(queries, "FILE_ROWS", 20, raising=False)
+    out = tmp_path / "out"
+    queries._fed(spark, str(tmp_path), "events", "event_id", str(out))
+    assert len(list((out / "in").glob("*.parquet"))) == 4 * 5
+    # Rows that crowd at one end: the smallest batch sets the number.
+    spark.range(400).select((F.col("id") * F.col("id") * F.col("id")).alias("event_id")).write.parquet(str(tmp_path / "odd" / "events.parquet"))
+    fed = queries._fed(spark, str(tmp_path / "odd"), "events", "event_id", f"{out}2")
+    query = fed.writeStream.format("memory").queryName("fed").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("fed").count() == 400 and [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [252, 65, 46, 37]
