@@ -52,6 +52,8 @@ HOT = 2 << 20
 OFFSETS = 43
 # Recursion ends in memory up to so many names, which is beyond any shard.
 BASE = 1 << 22
+# Pairs of suffixes from which a copy of the text as words of eight bytes pays.
+MANY = 1 << 12
 # Never a byte of UTF-8, so pieces parted by it share nothing across it.
 PART = 0xFF
 
@@ -185,16 +187,27 @@ class Queue:
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of suffixes a and b, up to ``most``."""
     n, out = len(text), np.zeros(len(a), np.int64)
+    most_each = np.minimum(n - np.maximum(a, b), most)
+    # Where pairs are many, bytes are compared eight at a time; what lies past the end is cut off at last.
+    step = 8 if text.dtype == np.uint8 and most >= 8 and len(a) >= MANY else 1
+    words = np.concatenate([text, np.zeros(most + step, text.dtype)]) if step == 8 else text
+    if step == 8:
+        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(words, 8)).view("<u8")[:, 0]
     live = np.arange(len(a))
-    for k in range(most):
-        x, y = a[live] + k, b[live] + k
-        inside = np.maximum(x, y) < n
-        live = live[inside]
-        live = live[text[x[inside]] == text[y[inside]]]
+    for k in range(0, most, step):
+        if step == 1:
+            live = live[most_each[live] > k]
+        x, y = words[a[live] + k], words[b[live] + k]
+        same = x == y
+        out[live[same]] = k + step
+        if step == 8:
+            # The first byte that differs has the lowest bit that does.
+            last = (x ^ y)[~same]
+            out[live[~same]] = k + (np.frexp((last & (~last + np.uint64(1))).astype(np.float64))[1] - 1) // 8
+        live = live[same]
         if not len(live):
             break
-        out[live] = k + 1
-    return out
+    return np.minimum(out, most_each)
 
 
 def s_types(text: np.ndarray) -> np.ndarray:
@@ -294,12 +307,14 @@ def induce(text, types, seeds, seed_lcps, most, visit):
 
 def _doubled(names: np.ndarray) -> np.ndarray:
     """The suffix order of a string of names in memory, by doubling."""
-    n, rank, step = len(names), np.unique(names, return_inverse=True)[1].astype(np.int64), 1
+    n, rank, step = len(names), names.astype(np.int64), 1
+    if n and (names.min() < 0 or names.max() >= n):
+        rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
     while True:
         after = np.zeros(n, np.int64)
         after[: n - step] = rank[step:] + 1
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get equal ranks
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         if rank[order[-1]] == n - 1 or step >= n:
@@ -325,7 +340,10 @@ def sorted_seeds(text: np.ndarray, types: np.ndarray) -> np.ndarray:
     order = np.concatenate(found)[::-1]
     # Names: equal for equal substrings, each up to and with the next seed.
     ends = np.append(places[1:], len(text) - 1)
-    size = ends[np.searchsorted(places, order)] - order + 1
+    nth = np.zeros(len(text), np.int32)
+    nth[places] = np.arange(len(places))
+    nth = nth[order]
+    size = ends[nth] - order + 1
     same = np.zeros(len(order), bool)
     like = np.flatnonzero(size[1:] == size[:-1]) + 1
     for k in range(int(size.max())):
@@ -337,7 +355,7 @@ def sorted_seeds(text: np.ndarray, types: np.ndarray) -> np.ndarray:
             break
     same[1:] &= (order[1:] + size[1:] < len(text)) & (order[:-1] + size[:-1] < len(text))
     names = np.empty(len(order), np.int64)
-    names[np.searchsorted(places, order)] = np.cumsum(~same) - 1
+    names[nth] = np.cumsum(~same) - 1
     if names.max() == len(names) - 1:
         return order
     return places[suffix_order(names)]

@@ -127,3 +127,22 @@ def test_common_anchors_are_in_no_shard(spark, monkeypatch):
     key = lambda r: (r[0], r[4])
     assert sorted(result(spark, rows), key=key) == sorted(brute(rows), key=key)
     assert counted and counted[0] > 0
+
+
+def test_common_prefixes_by_words_of_eight_bytes(monkeypatch):
+    """Zeros and the end of the text are not taken for each other; fewer passes than bytes."""
+    monkeypatch.setattr(suffix, "MANY", 1)
+    rng = np.random.default_rng(4)
+    for case in range(60):
+        n = int(rng.integers(1, 300))
+        text = (rng.integers(0, 2, n) * 255).astype(np.uint8) if case % 3 else np.zeros(n, np.uint8)
+        a, b, most = rng.integers(0, n, 50), rng.integers(0, n, 50), int(rng.choice([1, 8, 13, 200]))
+        want = []
+        for i, j in zip(a.tolist(), b.tolist()):
+            k = 0
+            while k < most and max(i, j) + k < n and text[i + k] == text[j + k]:
+                k += 1
+            want.append(k)
+        assert suffix.common_prefix(text, a, b, most).tolist() == want
+        names = text.astype(np.int64)
+        assert suffix.common_prefix(names, a, b, most).tolist() == want
