@@ -101,3 +101,33 @@ def test_structured_words_count_apart_and_ids_keep_their_type(spark):
     for i, ws in (("u1", [word, word, ""]), ("u2", [other, ""]), (None, [word, ""])):
         assert got[i]["train_tokens"] == n and got[i]["n_known"] == sum(counts[w] > 0 for w in ws)
         assert abs(got[i]["base_score"] - base(ws)) < 1e-9
+
+
+def test_a_step_over_coded_rows_is_the_plain_gradient():
+    rng = np.random.default_rng(2)
+    noise = rng.random(lm.SYMBOLS) + 0.1
+    noise /= noise.sum()
+    model = lm.Model(noise)
+    one, two, target = rng.integers(0, lm.SYMBOLS, (3, 3000))
+    w = {k: v.astype(float) for k, v in model.w.items()}
+    drawn = np.random.default_rng(7).choice(lm.SYMBOLS, lm.NOISE, p=noise)
+    q = w["context"][one] @ w["one"] + w["context"][two] @ w["two"]
+    bias = w["bias"] - np.log(lm.NOISE * noise)
+    d_true = -1 / (1 + np.exp((q * w["out"][target]).sum(1) + bias[target]))
+    d_false = 1 / (1 + np.exp(-(q @ w["out"][drawn].T + bias[drawn])))
+    d_q = d_true[:, None] * w["out"][target] + d_false @ w["out"][drawn]
+    want = {k: np.zeros_like(v) for k, v in w.items()}
+    np.add.at(want["out"], target, d_true[:, None] * q)
+    np.add.at(want["out"], drawn, d_false.T @ q)
+    np.add.at(want["bias"], target, d_true)
+    np.add.at(want["bias"], drawn, d_false.sum(0))
+    np.add.at(want["context"], one, d_q @ w["one"].T)
+    np.add.at(want["context"], two, d_q @ w["two"].T)
+    want["one"], want["two"] = w["context"][one].T @ d_q, w["context"][two].T @ d_q
+    codes = lm._coded(one, two, target)
+    before = codes.copy()
+    model.step(codes, np.random.default_rng(7))
+    assert (codes == before).all()
+    for k, g in want.items():
+        g = g / 3000 * (lm.SYMBOLS / 64 if k in ("out", "bias", "context") else 1)
+        assert np.allclose(model.w[k], w[k] - 0.15 * g / np.sqrt(0.1 + g * g), atol=1e-5), k
