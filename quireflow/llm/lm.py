@@ -25,6 +25,8 @@ empty table. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -95,33 +97,38 @@ def _to_blocks(batches):
 class Model:
     """The log-bilinear model's arrays."""
 
-    NAMES = ("context", "one", "two", "out", "bias")
-
     def __init__(self, noise: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.noise = noise
-        self.w = {
-            "context": rng.normal(0, 0.3, (SYMBOLS, DIM)).astype(np.float32),
-            "one": np.eye(DIM, dtype=np.float32),
-            "two": (0.3 * np.eye(DIM)).astype(np.float32),
-            "out": rng.normal(0, 0.05, (SYMBOLS, DIM)).astype(np.float32),
-            "bias": np.log(noise).astype(np.float32),
+        self.chances = np.cumsum(noise) / np.sum(noise)
+        self.log_noise = np.log(NOISE * noise).astype(np.float32)
+        first = {
+            "context": rng.normal(0, 0.3, (SYMBOLS, DIM)),
+            "one": np.eye(DIM),
+            "two": 0.3 * np.eye(DIM),
+            "out": rng.normal(0, 0.05, (SYMBOLS, DIM)),
+            "bias": np.log(noise),
         }
-        self.squares = {k: np.full_like(v, 0.1) for k, v in self.w.items()}
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.w[k].ravel() for k in self.NAMES])
+        self.shapes = {k: v.shape for k, v in first.items()}
+        # All arrays in one, so that a step changes them at once.
+        self.values = np.concatenate([v.ravel() for v in first.values()]).astype(np.float32)
+        self.squares = np.full_like(self.values, 0.1)
+        self.scales = np.concatenate([np.full(v.size, 1 if k in ("one", "two") else SYMBOLS / 64, np.float32) for k, v in first.items()])
+
+    @property
+    def w(self) -> dict[str, np.ndarray]:
+        """The arrays by name, as views."""
+        parts = np.split(self.values, np.cumsum([math.prod(x) for x in self.shapes.values()])[:-1])
+        return {k: part.reshape(x) for (k, x), part in zip(self.shapes.items(), parts)}
 
     def set(self, values: np.ndarray) -> None:
-        at = 0
-        for k in self.NAMES:
-            n = self.w[k].size
-            self.w[k] = values[at : at + n].reshape(self.w[k].shape).astype(np.float32)
-            at += n
+        self.values[:] = values
 
     def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The vectors predicted after symbols ``two``, ``one``."""
-        return self.w["context"][one] @ self.w["one"] + self.w["context"][two] @ self.w["two"]
+        """The vectors predicted after symbols ``two``, ``one``; products are taken by symbol."""
+        w = self.w
+        q = (w["context"] @ w["one"]).take(one, 0)
+        q += (w["context"] @ w["two"]).take(two, 0)
+        return q
 
     def learn(self, one, two, target, rng, rate: float = 0.15) -> None:
         """A step over rows of a target and the two symbols before it."""
@@ -130,38 +137,51 @@ class Model:
     def step(self, codes, rng, rate: float = 0.15) -> None:
         """A step of noise-contrastive estimation over coded rows; the batch shares its noise samples."""
         w = self.w
-        noise = rng.choice(SYMBOLS, NOISE, p=self.noise)
-        log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        # In the order of targets, so that theirs are summed without another sort.
+        noise = self.chances.searchsorted(rng.random(NOISE), "right")
+        # By context: rows of one context share its vector and what noise adds, which are worked out once.
         codes = np.sort(codes)
-        target, one, two = codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS
+        context = codes // SYMBOLS
+        target = codes - context * SYMBOLS
+        starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        sizes = np.diff(starts, append=len(codes))
+        context = context[starts]
+        one = context // SYMBOLS
+        two = context - one * SYMBOLS
         # Rows of one symbol share what follows from it, so products are taken by symbol.
-        q = (w["context"] @ w["one"]).take(one, 0)
-        q += (w["context"] @ w["two"]).take(two, 0)
-        out, away, bias = w["out"].take(target, 0), w["out"][noise], w["bias"] - log_noise
-        true = np.einsum("ij,ij->i", q, out) + bias.take(target)
-        d_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))
-        d_false = q @ -away.T
-        d_false -= bias[noise]
+        by_one, by_two = w["context"] @ w["one"], w["context"] @ w["two"]
+        q = by_one.take(one, 0)
+        q += by_two.take(two, 0)
+        away, bias = w["out"][noise], w["bias"] - self.log_noise
+        d_false = (by_one @ -away.T - bias[noise]).take(one, 0)
+        d_false += (by_two @ -away.T).take(two, 0)
         np.clip(d_false, -30, 30, out=d_false)
         np.exp(d_false, out=d_false)
         d_false += 1
-        np.reciprocal(d_false, out=d_false)
+        np.divide(sizes.astype(np.float32)[:, None], d_false, out=d_false)
+        d_q, d_away, d_noise = d_false @ away, d_false.T @ q, np.ones(len(q), np.float32) @ d_false
+        q, out = np.repeat(q, sizes, 0), w["out"].take(target, 0)
+        true = np.einsum("ij,ij->i", q, out) + bias.take(target)
+        d_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))
         out *= d_true[:, None]
-        d_q = d_false @ away
-        d_q += out
-        n = np.float32(len(target))
-        d_away, d_noise = d_false.T @ q, np.ones(len(target), np.float32) @ d_false
+        d_q += out.take(starts, 0)
+        more = np.flatnonzero(sizes > 1)
+        if len(more):
+            later = np.ones(len(codes), bool)
+            later[starts] = False
+            at = np.cumsum(sizes[more] - 1) - (sizes[more] - 1)
+            d_q[more] += _segments(out.take(np.flatnonzero(later), 0), at)
         q *= d_true[:, None]
-        d_out = _summed(target, q)
+        d_out = _gathered(target, q)
         np.add.at(d_out, noise, d_away)
         d_bias = np.bincount(target, d_true, SYMBOLS) + np.bincount(noise, d_noise, SYMBOLS)
-        g1, g2 = _gathered(one, d_q), _gathered(two, d_q)
+        g1, g2 = _summed(one, d_q), _gathered(two, d_q)
         d_context = g1 @ w["one"].T + g2 @ w["two"].T
-        for k, g in (("context", d_context), ("out", d_out), ("bias", d_bias), ("one", w["context"].T @ g1), ("two", w["context"].T @ g2)):
-            g = (g * (SYMBOLS / 64) if k in ("context", "out", "bias") else g) / n
-            self.squares[k] += g * g
-            w[k] -= (rate * g / np.sqrt(self.squares[k])).astype(np.float32)
+        g = {"context": d_context, "one": w["context"].T @ g1, "two": w["context"].T @ g2, "out": d_out, "bias": d_bias}
+        g = np.concatenate([g[k].ravel() for k in self.shapes], dtype=np.float32, casting="same_kind")
+        g *= self.scales
+        g /= np.float32(len(codes))
+        self.squares += g * g
+        self.values -= rate * g / np.sqrt(self.squares)
 
     def log_norms(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Log of the softmax's sum over all symbols, for each context."""
@@ -174,16 +194,21 @@ class Model:
 
 
 def _coded(one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Rows of three symbols as numbers that sort by target."""
-    return (target.astype(np.int32) * SYMBOLS + one) * SYMBOLS + two
+    """Rows of three symbols as numbers that sort by context."""
+    return (one.astype(np.int32) * SYMBOLS + two) * SYMBOLS + target
+
+
+def _segments(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sums of the runs of ``values``, whose rows have an even size, from each start to the next."""
+    # As complex numbers two neighbours are added at once, which halves the time.
+    return np.add.reduceat(values.view(np.complex64), starts).view(np.float32)
 
 
 def _summed(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The sums of ``values``, whose rows come by symbol and have an even size, by symbol."""
+    """The sums of ``values``, whose rows come by symbol, by symbol."""
     out = np.zeros((SYMBOLS, values.shape[1]), np.float32)
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    # As complex numbers two neighbours are added at once, which halves the time.
-    out[rows[starts]] = np.add.reduceat(values.view(np.complex64), starts).view(np.float32)
+    out[rows[starts]] = _segments(values, starts)
     return out
 
 
@@ -230,7 +255,7 @@ def _trainer(model: Model, epochs: int, seed: int):
                     for at in range(0, len(own), BATCH):
                         model.step(own[at : at + BATCH], rng)
         if n:
-            values = pa.array(model.flat().astype(np.float64))
+            values = pa.array(model.values.astype(np.float64))
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)], ["n", "w"])
 
     return run
@@ -256,8 +281,8 @@ def _scorer(model: Model, total: int, distinct: int, shares: np.ndarray):
                     seen[place] = True
                     new = np.flatnonzero(seen & np.isnan(known))
                     known[new] = model.log_norms(new // SYMBOLS, new % SYMBOLS)
-                    q = model.predicted(one[k], two[k])
-                    logs[k] = (q * model.w["out"][s[k]]).sum(1) + model.w["bias"][s[k]] + within[tokens[k]] - known[place]
+                    q, w = model.predicted(one[k], two[k]), model.w
+                    logs[k] = np.einsum("ij,ij->i", q, w["out"].take(s[k], 0)) + w["bias"][s[k]] + within[tokens[k]] - known[place]
                 base = unigram[tokens]
                 starts = np.concatenate([[0], ends[:-1]])
                 yield pa.RecordBatch.from_arrays(

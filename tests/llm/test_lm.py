@@ -131,3 +131,38 @@ def test_a_step_over_coded_rows_is_the_plain_gradient():
     for k, g in want.items():
         g = g / 3000 * (lm.SYMBOLS / 64 if k in ("out", "bias", "context") else 1)
         assert np.allclose(model.w[k], w[k] - 0.15 * g / np.sqrt(0.1 + g * g), atol=1e-5), k
+
+
+def test_rows_of_one_context_share_their_noise(monkeypatch):
+    """3,000 rows of 60 contexts: the plain gradient, from one row of noise for each context."""
+    rng = np.random.default_rng(3)
+    noise = rng.random(lm.SYMBOLS) + 0.1
+    noise /= noise.sum()
+    model = lm.Model(noise)
+    at, target = rng.integers(0, 60, 3000), rng.integers(0, lm.SYMBOLS, 3000)
+    one, two = rng.integers(0, lm.SYMBOLS, (2, 60))
+    one[:20], two[20:40] = 7, 9
+    one, two = one[at], two[at]
+    w = {k: v.astype(float) for k, v in model.w.items()}
+    drawn = np.random.default_rng(7).choice(lm.SYMBOLS, lm.NOISE, p=noise)
+    q = w["context"][one] @ w["one"] + w["context"][two] @ w["two"]
+    bias = w["bias"] - np.log(lm.NOISE * noise)
+    d_true = -1 / (1 + np.exp((q * w["out"][target]).sum(1) + bias[target]))
+    d_false = 1 / (1 + np.exp(-(q @ w["out"][drawn].T + bias[drawn])))
+    d_q = d_true[:, None] * w["out"][target] + d_false @ w["out"][drawn]
+    want = {k: np.zeros_like(v) for k, v in w.items()}
+    np.add.at(want["out"], target, d_true[:, None] * q)
+    np.add.at(want["out"], drawn, d_false.T @ q)
+    np.add.at(want["bias"], target, d_true)
+    np.add.at(want["bias"], drawn, d_false.sum(0))
+    np.add.at(want["context"], one, d_q @ w["one"].T)
+    np.add.at(want["context"], two, d_q @ w["two"].T)
+    want["one"], want["two"] = w["context"][one].T @ d_q, w["context"][two].T @ d_q
+    codes, exps, exp = lm._coded(one, two, target), [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *rest, **named: exps.append(np.size(x)) or exp(x, *rest, **named))
+    model.step(codes, np.random.default_rng(7))
+    monkeypatch.undo()
+    assert max(exps) <= 3000 and sum(exps) <= 3000 + 60 * lm.NOISE
+    for k, g in want.items():
+        g = g / 3000 * (lm.SYMBOLS / 64 if k in ("out", "bias", "context") else 1)
+        assert np.allclose(model.w[k], w[k] - 0.15 * g / np.sqrt(0.1 + g * g), atol=1e-5), k
